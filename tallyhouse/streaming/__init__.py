@@ -1,0 +1,5 @@
+"""Empty on purpose: every metric is a batch over append-only facts.
+
+Late data is handled by the visibility cutoff, by spend revisions and by re-attribution at
+a later cutoff, not by watermarks.
+"""
