@@ -5,5 +5,6 @@ from __future__ import annotations
 
 def statements() -> dict[str, str]:
     from oracles.metrics import METRICS
+    from oracles.operators import OPERATORS
 
-    return dict(METRICS)
+    return {**METRICS, **OPERATORS}

@@ -5,15 +5,22 @@ task. Keys above a size limit therefore take a second way: their rows are partit
 (key, second), the seconds are summarised per day and the days per key. Each of these groups
 is bounded by the calendar, so even a key with a third of all rows spreads over the cluster.
 Both ways give the same rows.
+
+The prepared rows are written once to the shared folder: the size check and both ways read that
+slim table instead of repeating the joins that led to it, and a lost executor costs no more
+than its own tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.session import shared_dir
+
 HOT_KEY_ROWS = 1_000_000
 # a key is only called hot above this share of all rows too, so at most that many keys can be hot
 HOT_KEY_SHARE = 100_000
@@ -41,7 +48,7 @@ def last_before(
         *keys,
         F.col(event_ts).alias("__ts"),
         F.lit(event_rank).alias("__rank"),
-        F.struct(*tiebreak).alias("__tie"),
+        F.struct(*(tiebreak or [F.lit(0).alias("none")])).alias("__tie"),
         *[(payload if c is None else F.when(c, payload)).alias(name) for name, c in picks.items()],
     )
     probe_rows = probes.select(
@@ -50,19 +57,28 @@ def last_before(
         F.lit(probe_rank).alias("__rank"),
         F.struct(*probes.columns).alias("__probe"),
     )
-    rows = event_rows.unionByName(probe_rows, allowMissingColumns=True)
-    # for the check of key sizes only: the cheapest projection of both inputs
-    sizes = events.select(*keys).unionByName(probes.select(*keys))
-    hot = F.broadcast(_hot_keys(sizes, keys, hot_key_rows))  # at most HOT_KEY_SHARE keys
+    rows = stage(event_rows.unionByName(probe_rows, allowMissingColumns=True))
     names = list(picks)
-    tame = _running_last(rows.join(hot, list(keys), "left_anti"), keys, names)
-    spread = _spread_last(rows.join(hot, list(keys), "left_semi"), keys, names)
-    return tame.unionByName(spread).select("__probe.*", *names)
+    hot = _hot_keys(rows, keys, hot_key_rows)
+    if hot.isEmpty():
+        resolved = _running_last(rows, keys, names)
+    else:
+        hot = F.broadcast(hot)  # fewer than HOT_KEY_SHARE keys, see below
+        tame = _running_last(rows.join(hot, list(keys), "left_anti"), keys, names)
+        resolved = tame.unionByName(_spread_last(rows.join(hot, list(keys), "left_semi"), keys, names))
+    return resolved.select("__probe.*", *names)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The frame as a table written to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    overall = counts.agg(F.sum("__n").alias("__all")).scalar()
+    overall = rows.agg(F.count(F.lit(1))).scalar()
     return counts.filter(
         (F.col("__n") > limit) & (F.col("__n") > overall / HOT_KEY_SHARE)
     ).select(*keys)

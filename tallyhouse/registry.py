@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.functions.calendar import Params, half_year_params
 from tallyhouse.operators.attribution import ALL_TYPES, attribute
-from tallyhouse.plans import activation, commerce, crossdomain, marketing, saas
-from tallyhouse.session import tune
+from tallyhouse.plans import activation, commerce, crossdomain, marketing, saas, shapes
+from tallyhouse.schemas import SCHEMAS
+from tallyhouse.session import shared_dir, tune
 from tallyhouse.sources.derived import derived_tables
 from tallyhouse.sources.tables import Tables
 
 REPORT = half_year_params(1997)
-EARLY_CUTOFF = datetime(1997, 5, 15, 7)
 
 Query = Callable[[SparkSession, str], DataFrame]
 Plan = Callable[[Tables, Params], DataFrame]
@@ -32,36 +33,47 @@ PLANS: dict[str, Plan] = {
     ]
 }
 
-# plans over materialised attribution, with the conversion types each reads
-ATTRIBUTED_PLANS: dict[str, tuple[Plan, tuple[str, ...]]] = {
-    "cac_by_channel_saas": (marketing.cac_by_channel_saas, ("saas_first_payment",)),
-    "cac_by_channel_commerce": (marketing.cac_by_channel_commerce, ("commerce_first_payment",)),
-    "attributed_revenue_share": (marketing.attributed_revenue_share, ("saas_revenue", "commerce_revenue")),
-    "touch_to_payment_funnel": (marketing.touch_to_payment_funnel, ("saas_first_payment", "commerce_first_payment")),
-    "spend_up_customers_down": (marketing.spend_up_customers_down, ("saas_first_payment", "commerce_first_payment")),
-    "attribution_boundary_cases": (marketing.attribution_boundary_cases, ALL_TYPES),
-    "activation_by_channel": (activation.activation_by_channel, ("saas_first_payment",)),
-    "seller_roas": (crossdomain.seller_roas, ("commerce_revenue",)),
+# plans over materialised attribution
+ATTRIBUTED_PLANS: dict[str, Plan] = {
+    plan.__name__: plan
+    for plan in [
+        marketing.cac_by_channel_saas, marketing.cac_by_channel_commerce, marketing.attributed_revenue_share,
+        marketing.touch_to_payment_funnel, marketing.spend_up_customers_down, marketing.attribution_boundary_cases,
+        activation.activation_by_channel, crossdomain.seller_roas,
+    ]
 }
 
 
 def attributed(t: Tables, types: tuple[str, ...] = ALL_TYPES) -> DataFrame:
-    return attribute(t, [EARLY_CUTOFF, REPORT.snapshot_cutoff], REPORT.history_start, types)
+    return attribute(t, [shapes.EARLY_CUTOFF, REPORT.snapshot_cutoff], REPORT.history_start, types)
+
+
+@cache
+def _attribution_folder(application: str, sf_dir: str) -> str:
+    """Run the attribution job once per application and input; metrics only read its table."""
+    spark = SparkSession.active()
+    folder = f"{shared_dir(spark)}/attribution-{uuid4().hex}"
+    attributed(derived_tables(spark, sf_dir)).write.partitionBy("conversion_type").parquet(folder)
+    return folder
+
+
+def attributed_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables plus the written attribution results, prunable by conversion type."""
+    folder = _attribution_folder(spark.sparkContext.applicationId, sf_dir)
+    schema = SCHEMAS["attributed_conversion"]
+    return derived_tables(spark, sf_dir).replacing(attributed_conversion=spark.read.schema(schema).parquet(folder))
 
 
 def _plan_query(plan: Plan) -> Query:
     return lambda spark, sf_dir: plan(derived_tables(tune(spark), sf_dir), REPORT)
 
 
-def _attributed_query(plan: Plan, types: tuple[str, ...]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = derived_tables(tune(spark), sf_dir)
-        return plan(t.replacing(attributed_conversion=attributed(t, types)), REPORT)
-
-    return run
+def _attributed_query(plan: Plan) -> Query:
+    return lambda spark, sf_dir: plan(attributed_tables(tune(spark), sf_dir), REPORT)
 
 
 def queries() -> dict[str, Query]:
     found = {name: _plan_query(plan) for name, plan in PLANS.items()}
-    found |= {name: _attributed_query(plan, types) for name, (plan, types) in ATTRIBUTED_PLANS.items()}
+    found |= {plan.__name__: _plan_query(plan) for plan in shapes.PLAIN}
+    found |= {name: _attributed_query(plan) for name, plan in (ATTRIBUTED_PLANS | shapes.ATTRIBUTED).items()}
     return found

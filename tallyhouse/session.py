@@ -8,6 +8,7 @@ adaptive execution able to split skewed joins.
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyhouse")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -42,6 +44,18 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: the cluster's, else a fresh local one."""
+    """The shared folder for written intermediates, as the cluster names it.
+
+    Only a local session may fall back on a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="tallyhouse-")
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyhouse-")

@@ -331,7 +331,20 @@ FROM {{supplier}}""",
     "marketing_touch": _TOUCH,
 }
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# The driver's schemas, so that reading a table needs no inference job.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 
 def definition_for_spark(name: str) -> str:
@@ -342,9 +355,12 @@ def definition_for_spark(name: str) -> str:
 
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazily derived entities; a table that no plan asks for is never read."""
+    def scan(name: str) -> DataFrame:
+        return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
     def load(name: str) -> DataFrame:
         text = definition_for_spark(name)
         used = [t for t in DRIVER_TABLES if "{" + t + "}" in text]
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return spark.sql(text, **{t: scan(t) for t in used})
 
     return Tables(load, DEFINITIONS.keys())
