@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,7 +113,11 @@ def compare(actual: DataFrame, expected: DataFrame, order_by: Sequence[str] | No
         diagnosis = _multiset_failure(counted)
     else:
         positions = [actual.columns.index(c) for c in order_by]
-        diagnosis = _ordered_failure(counted, actual, positions, {actual.columns.index(c) for c in descending})
+        counted = counted.persist()  # read by up to three small actions
+        try:
+            diagnosis = _ordered_failure(counted, actual, positions, {actual.columns.index(c) for c in descending})
+        finally:
+            counted.unpersist()
     return diagnosis.select(F.col("failure_code").isNull().alias("matches"), "failure_code")
 
 
@@ -146,50 +150,53 @@ def _ordered_failure(counted: DataFrame, actual: DataFrame, order: Sequence[int]
 
     Up to the first row K (in the declared order, ties by the remaining columns) that the sides
     hold unequally often, both sequences agree. At that position the side with more of K still
-    shows K, the other side its first row after K.
+    shows K, the other side its first row after K. Only these two rows come to the driver.
     """
+    spark = actual.sparkSession
     positions = [*order, *[i for i in range(len(actual.columns)) if i not in order]]
-    keyed, ordering = counted, []
-    for n, i in enumerate(positions):
+    keyed, keys, ordering = counted, [], []
+    for i in positions:
         numeric = kind_of(actual.schema[i].dataType) in ("integer", "decimal")
         value = F.expr(f"try_cast(cells[{i}].text AS decimal(38,4))") if numeric else F.col("cells")[i]["text"]
-        keyed = keyed.withColumn(f"k{n}", value)
-        ordering.append(F.col(f"k{n}").desc_nulls_last() if i in descending else F.col(f"k{n}").asc_nulls_first())
-    keys = [f"k{n}" for n in range(len(positions))]
-    k_row = keyed.filter("surplus <> 0").orderBy(*ordering).limit(1)
-    k = k_row.select(F.struct(*keys)).scalar()
-
+        keys.append((f"k{i}", i in descending))
+        keyed = keyed.withColumn(f"k{i}", value)
+    # rows equal in value but not in kind or scale still need an order
+    keys.append(("whole", False))
+    keyed = keyed.withColumn("whole", F.to_json("cells"))
+    for name, falling in keys:
+        ordering.append(F.col(name).desc_nulls_last() if falling else F.col(name).asc_nulls_first())
+
+    if counted.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("s")).head()["s"] != 0:
+        return _verdict(spark, ROW_COUNT)
+    k = keyed.filter("surplus <> 0").orderBy(*ordering).head()
+    if k is None:
+        return _verdict(spark, None)
     after, equal_so_far = F.lit(False), F.lit(True)
-    for n, i in enumerate(positions):
-        here, there = F.col(f"k{n}"), k[f"k{n}"]
-        if i in descending:
-            later = (here.isNull() & there.isNotNull()) | F.coalesce(here < there, F.lit(False))
+    for name, falling in keys:
+        here, there = F.col(name), F.lit(k[name])
+        if k[name] is None:
+            later = F.lit(False) if falling else here.isNotNull()
         else:
-            later = (here.isNotNull() & there.isNull()) | F.coalesce(here > there, F.lit(False))
+            later = (here.isNull() | (here < there)) if falling else F.coalesce(here > there, F.lit(False))
         after = after | (equal_so_far & later)
         equal_so_far = equal_so_far & here.eqNullSafe(there)
-    following = keyed.filter(after)
-    next_ours = following.filter("ours > 0").orderBy(*ordering).limit(1).select(F.col("cells").alias("next_ours"))
-    next_theirs = following.filter("theirs > 0").orderBy(*ordering).limit(1).select(F.col("cells").alias("next_theirs"))
-    found = stack(
-        k_row.select(F.col("cells").alias("k"), F.col("surplus").alias("k_surplus")), next_ours, next_theirs,
-        counted.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("row_surplus")),
-    ).agg(*[F.max(c).alias(c) for c in ("k", "k_surplus", "next_ours", "next_theirs", "row_surplus")])
-    found = found.withColumns({
-        "a": F.when(F.col("k_surplus") > 0, F.col("k")).otherwise(F.col("next_ours")),
-        "b": F.when(F.col("k_surplus") < 0, F.col("k")).otherwise(F.col("next_theirs")),
-    })
-    differs = F.zip_with("a", "b", lambda x, y: F.when(~x.eqNullSafe(y), F.struct(x.alias("a"), y.alias("b"))))
-    pair = F.element_at(F.array_compact(differs), 1)
-    a_kind, b_kind = pair["a"]["kind"], pair["b"]["kind"]
-    return found.select(
-        F.when(F.col("row_surplus") != 0, ROW_COUNT)
-        .when(F.col("k").isNull(), F.lit(None).cast("string"))
-        .when((a_kind != b_kind) & ((a_kind == "null") | (b_kind == "null")), NULLS)
-        .when(a_kind != b_kind, TYPES)
-        .otherwise(VALUES)
-        .alias("failure_code")
-    )
+    other = "theirs" if k["surplus"] > 0 else "ours"
+    following = keyed.filter(after).filter(F.col(other) > 0).orderBy(*ordering).head()
+    return _verdict(spark, _row_failure(k["cells"], following["cells"]))
+
+
+def _row_failure(a: Sequence, b: Sequence) -> str:
+    """NULL before TYPE before VALUE, by the first differing cell of two rows."""
+    for x, y in zip(a, b):
+        if x["kind"] != y["kind"]:
+            return NULLS if "null" in (x["kind"], y["kind"]) else TYPES
+        if x["text"] != y["text"]:
+            return VALUES
+    raise ValueError("the rows are equal")
+
+
+def _verdict(spark: SparkSession, code: str | None) -> DataFrame:
+    return inline_rows(spark, "failure_code string", [(code,)])
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _attribution_folder(application: str, sf_dir: str) -> str:
     """Run the attribution job once per application and input; metrics only read its table."""
     spark = SparkSession.active()
     folder = f"{shared_dir(spark)}/attribution-{uuid4().hex}"
-    attributed(derived_tables(spark, sf_dir)).write.partitionBy("conversion_type").parquet(folder)
+    attributed(plain_tables(spark, sf_dir)).write.partitionBy("conversion_type").parquet(folder)
     return folder
 
 
@@ -61,11 +61,21 @@ def attributed_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The derived tables plus the written attribution results, prunable by conversion type."""
     folder = _attribution_folder(spark.sparkContext.applicationId, sf_dir)
     schema = SCHEMAS["attributed_conversion"]
-    return derived_tables(spark, sf_dir).replacing(attributed_conversion=spark.read.schema(schema).parquet(folder))
+    return plain_tables(spark, sf_dir).replacing(attributed_conversion=spark.read.schema(schema).parquet(folder))
+
+
+def plain_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return _planned_tables(spark.sparkContext.applicationId, sf_dir)
+
+
+@cache
+def _planned_tables(application: str, sf_dir: str) -> Tables:
+    """The logical plans of the derived tables, shared by an application's queries."""
+    return derived_tables(SparkSession.active(), sf_dir)
 
 
 def _plan_query(plan: Plan) -> Query:
-    return lambda spark, sf_dir: plan(derived_tables(tune(spark), sf_dir), REPORT)
+    return lambda spark, sf_dir: plan(plain_tables(tune(spark), sf_dir), REPORT)
 
 
 def _attributed_query(plan: Plan) -> Query:
