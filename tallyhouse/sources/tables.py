@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyhouse.schemas import SCHEMAS
 
@@ -49,8 +51,8 @@ def in_memory(spark: SparkSession, rows: Mapping[str, list[dict]]) -> Tables:
     def load(name: str) -> DataFrame:
         schema = SCHEMAS[name]
         loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-        values = [tuple(row.get(f.name) for f in schema) for row in rows.get(name, [])]
-        return spark.createDataFrame(values, loose)
+        values = [{f.name: row.get(f.name) for f in schema} for row in rows.get(name, [])]
+        return spark.createDataFrame(pa.Table.from_pylist(values, schema=to_arrow_schema(loose)), loose)
 
     return Tables(load, SCHEMAS)
 
