@@ -273,3 +273,19 @@ OPERATORS["response_completeness"] = query(["commerce_order", "platform_fee_char
 SELECT commerce_order_id AS case_id, CASE WHEN commerce_order_id % 11 = 4 THEN 'unknown' WHEN o.status = 'cancelled' THEN 'forbidden' ELSE 'missing' END AS problem
 FROM commerce_order o JOIN platform_fee_charge f USING (commerce_order_id)
 WHERE CASE WHEN commerce_order_id % 11 = 4 THEN f.status = 'succeeded' WHEN o.status = 'cancelled' THEN f.status = 'succeeded' ELSE f.status <> 'succeeded' END""")
+
+
+def _cell(kind: str, text: str, nullable: bool = False) -> str:
+    shown = f"COALESCE('\"' || {text} || '\"', 'null')"
+    label = f"CASE WHEN {text} IS NULL THEN 'null' ELSE '{kind}' END" if nullable else f"'{kind}'"
+    return f"'{{\"kind\":\"' || {label} || '\",\"text\":' || {shown} || '}}'"
+
+
+_CELLS = " || ',' || ".join([
+    _cell("string", "external_order_id"), _cell("integer", "CAST(merchant_assignment_id AS VARCHAR)"), _cell("string", "status"),
+    _cell("datetime", "strftime(completed_at, '%Y-%m-%dT%H:%M:%S.%f')", True),
+])
+_PARTS = ", ".join(f"SUM(CAST('0x' || substr(x, {1 + 12 * i}, 12) AS BIGINT)) AS s{i}" for i in range(4))
+OPERATORS["table_digest"] = query(["commerce_order"], f"""
+SELECT n AS row_count, sha256(concat_ws('|', 'external_order_id,merchant_assignment_id,status,completed_at', n, s0, s1, s2, s3)) AS content_digest
+FROM (SELECT COUNT(*) AS n, {_PARTS} FROM (SELECT sha256('{{"row":[' || {_CELLS} || ']}}') AS x FROM commerce_order))""")

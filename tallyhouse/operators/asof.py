@@ -43,13 +43,13 @@ def last_before(
     every event. With `inclusive`, an event at the probe's own instant counts.
     """
     probe_rank, event_rank = (1, 0) if inclusive else (0, 1)
-    payload = F.struct(*[F.col(c) for c in events.columns])
     event_rows = events.select(
         *keys,
         F.col(event_ts).alias("__ts"),
         F.lit(event_rank).alias("__rank"),
         F.struct(*(tiebreak or [F.lit(0).alias("none")])).alias("__tie"),
-        *[(payload if c is None else F.when(c, payload)).alias(name) for name, c in picks.items()],
+        F.struct(*events.columns).alias("__event"),
+        *[(F.lit(True) if c is None else c).alias(name) for name, c in picks.items()],
     )
     probe_rows = probes.select(
         *keys,
@@ -88,9 +88,14 @@ def _order() -> list[Column]:
     return [F.col("__ts"), F.col("__rank"), F.col("__tie")]
 
 
+def _last_event(name: str) -> Column:
+    """The event of the last row flagged for this pick."""
+    return F.last(F.when(F.col(name), F.col("__event")), ignorenulls=True)
+
+
 def _running_last(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     upto = Window.partitionBy(*keys).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumns({n: F.last(n, ignorenulls=True).over(upto) for n in names})
+    filled = rows.withColumns({n: _last_event(n).over(upto) for n in names})
     return filled.filter(F.col("__probe").isNotNull()).select("__probe", *names)
 
 
@@ -98,7 +103,7 @@ def _spread_last(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     cell, day = [*keys, "__second"], [*keys, "__day"]
     rows = rows.withColumn("__second", F.date_trunc("second", "__ts"))
     upto = Window.partitionBy(*cell).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumns({n: F.last(n, ignorenulls=True).over(upto) for n in names})
+    inside = rows.withColumns({n: _last_event(n).over(upto) for n in names})
 
     # one row per (key, second): its last events; then what earlier seconds and days carry over
     final = F.struct(*_order())

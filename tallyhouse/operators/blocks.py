@@ -132,6 +132,13 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return df.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*")
 
 
+def states_at(ts: str, tiebreak: str, as_ofs: Sequence[datetime], columns: Sequence[str]) -> list[Column]:
+    """Aggregates, one per instant: the struct of the last event strictly before it."""
+    return [
+        F.max_by(F.struct(*columns), F.when(F.col(ts) < instant(at), F.struct(ts, tiebreak))) for at in as_ofs
+    ]
+
+
 def state_as_of(
     events: DataFrame,
     key: Sequence[str],
@@ -146,10 +153,8 @@ def state_as_of(
     Returns (label, key, columns); a key without an earlier event gives no row.
     """
     latest_needed = max(as_ofs.values())
-    state = F.struct(*columns)
     picks = [
-        F.max_by(state, F.when(F.col(ts) < instant(at), F.struct(ts, tiebreak))).alias(f"__s{i}")
-        for i, at in enumerate(as_ofs.values())
+        pick.alias(f"__s{i}") for i, pick in enumerate(states_at(ts, tiebreak, list(as_ofs.values()), columns))
     ]
     snapshots = F.array(
         *[

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import Params, Period
+from tallyhouse.functions.calendar import Params, Period, instant, span_of
 from tallyhouse.functions.money import money, safe_ratio, total, total_if
 from tallyhouse.operators.blocks import (
     append_total,
@@ -17,6 +17,7 @@ from tallyhouse.operators.blocks import (
     real,
     stack,
     state_as_of,
+    states_at,
     visible,
 )
 
@@ -49,9 +50,11 @@ def snapshots(events: DataFrame, as_ofs: Mapping, label: str = "as_of") -> DataF
 
 def live(snapshot: DataFrame) -> DataFrame:
     """Applied after ranking: a later cancelled state must hide an earlier active one."""
-    return snapshot.filter(
-        F.col("status_after").isin(*LIVE_STATUSES) & (F.col("normalized_mrr_after") > 0)
-    )
+    return snapshot.filter(_is_live("status_after", "normalized_mrr_after"))
+
+
+def _is_live(status: str, mrr: str) -> Column:
+    return F.col(status).isin(*LIVE_STATUSES) & (F.col(mrr) > 0)
 
 
 def with_plan(df: DataFrame, t: TablesMap, plan_key: str, *columns: str) -> DataFrame:
@@ -116,36 +119,44 @@ def _at_edges(events: DataFrame, periods: Sequence[Period]) -> DataFrame:
 
 
 def mrr_bridge(t: TablesMap, p: Params) -> DataFrame:
+    """Opening, movements and closing per month, all from one pass over the events.
+
+    A subscription's states at the edges and its movements are aggregated together; the sums
+    over subscriptions then unfold into one row per month.
+    """
     periods = p.months(5, 6)
-    events = state_events(t, p)
-    before, after = F.col("normalized_mrr_before"), F.col("normalized_mrr_after")
-    moves = bucket_by_period(events, "effective_at", periods).select(
-        "period",
-        F.col("event_type").alias("part"),
-        F.when(F.col("event_type") == "first_activation", after)
-        .when(F.col("event_type") == "expansion", after - before)
-        .when(F.col("event_type") == "contraction", before - after)
-        .when(F.col("event_type") == "cancellation_effective", before)
-        .alias("amount"),
+    before, after, kind = F.col("normalized_mrr_before"), F.col("normalized_mrr_after"), F.col("event_type")
+    moved = {
+        "new_mrr": F.when(kind == "first_activation", after),
+        "expansion_mrr": F.when(kind == "expansion", after - before),
+        "contraction_mrr": F.when(kind == "contraction", before - after),
+        "churned_mrr": F.when(kind == "cancellation_effective", before),
+    }
+    edges = [("opening_mrr", i, q.start) for i, q in enumerate(periods)] + [("closing_mrr", i, q.end) for i, q in enumerate(periods)]
+    states = states_at(
+        "effective_at", "subscription_state_event_id", [at for _, _, at in edges], ["status_after", "normalized_mrr_after"]
     )
-    edges = _at_edges(events, periods).select(
-        F.split_part("edge", F.lit(":"), F.lit(2)).alias("period"),
-        F.split_part("edge", F.lit(":"), F.lit(1)).alias("part"),
-        after.alias("amount"),
+    happened = [q.holds(F.col("effective_at")) for q in periods]
+    per_subscription = (
+        state_events(t, p)
+        .filter(F.col("effective_at") < instant(span_of(periods).end))
+        .groupBy("subscription_id")
+        .agg(
+            *[state.alias(f"{name}_{i}") for state, (name, i, _) in zip(states, edges)],
+            *[F.sum(F.when(happened[i], amount)).alias(f"{name}_{i}") for name, amount in moved.items() for i in range(len(periods))],
+        )
     )
-
-    def part(name: str):
-        return lambda here: total_if(here & (F.col("part") == name), F.col("amount"))
-
-    measures = {
-        "opening_mrr": part("open"),
-        "new_mrr": part("first_activation"),
-        "expansion_mrr": part("expansion"),
-        "contraction_mrr": part("contraction"),
-        "churned_mrr": part("cancellation_effective"),
-        "closing_mrr": part("close"),
+    live_mrr = {
+        f"{name}_{i}": F.when(_is_live(f"{name}_{i}.status_after", f"{name}_{i}.normalized_mrr_after"), F.col(f"{name}_{i}.normalized_mrr_after"))
+        for name, i, _ in edges
     }
-    return dense_by_period(stack(edges, moves), "period", periods, measures).orderBy("report_month")
+    order = ["opening_mrr", *moved, "closing_mrr"]
+    months = [
+        F.struct(F.lit(q.label).alias("report_month"), *[total(F.col(f"{name}_{i}")).alias(name) for name in order])
+        for i, q in enumerate(periods)
+    ]
+    sums = per_subscription.withColumns(live_mrr).agg(F.array(*months).alias("months"))
+    return sums.select(F.inline("months")).orderBy("report_month")
 
 
 def _churn_rows(t: TablesMap, p: Params, periods: Sequence[Period]) -> DataFrame:
