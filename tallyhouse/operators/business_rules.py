@@ -137,12 +137,9 @@ def allocation_of_other_order(t: TablesMap, p: Params) -> DataFrame:
 
 def refund_not_reconciled(t: TablesMap, p: Params) -> DataFrame:
     """Allocations do not add up to the refund's item amount; no allocation counts as 0."""
-    rows = stack(
-        t["commerce_refund"].select("commerce_refund_id", F.col("item_refund_amount").alias("header")),
-        t["refund_item_allocation"].select("commerce_refund_id", F.col("allocated_item_amount").alias("part")),
-    )
-    sums = rows.groupBy("commerce_refund_id").agg(F.max("header").alias("header"), F.coalesce(F.sum("part"), F.lit(0)).alias("parts"))
-    return _ids(sums.filter("header <> parts"), "commerce_refund_id")
+    parts = t["refund_item_allocation"].groupBy("commerce_refund_id").agg(F.sum("allocated_item_amount").alias("parts"))
+    joined = t["commerce_refund"].join(parts, "commerce_refund_id", "left")
+    return _ids(joined.filter(F.col("item_refund_amount") != F.coalesce("parts", F.lit(0))), "commerce_refund_id")
 
 
 def campaign_scope_broken(t: TablesMap, p: Params) -> DataFrame:

@@ -13,11 +13,11 @@ from tallyhouse.operators.attribution import latest_results, with_channel_code
 from tallyhouse.operators.blocks import (
     conditions_met,
     exclude_test_chain,
-    owned_by,
     real,
     stack,
     visible,
 )
+from tallyhouse.plans.saas import along_paid_chain, succeeded_payments
 
 # Fixed values of the activation rule.
 CONDITIONS = ("member_invite", "campaign_created", "completed_order")
@@ -105,7 +105,7 @@ def activation_by_channel(t: TablesMap, p: Params) -> DataFrame:
         t["attributed_conversion"], p.snapshot_cutoff, ["saas_first_payment"],
         ["organization_id", "marketing_channel_id", "conversion_at"],
     ).filter(quarter.holds(F.col("conversion_at")))
-    first = owned_by(first, paid_attempts(t), "invoice_payment_attempt_id")
+    first = really_paid(first, t)
     first = with_channel_code(first, t["marketing_channel"], exclude_test=False)
     counts = activation_counts(t, p, quarter).filter("is_mature").select("organization_id", "condition_count")
     joined = first.select("organization_id", "channel_code").join(counts, "organization_id")
@@ -117,9 +117,9 @@ def activation_by_channel(t: TablesMap, p: Params) -> DataFrame:
     ).select("*", _rate()).orderBy("channel_code")
 
 
-def paid_attempts(t: TablesMap) -> DataFrame:
-    """Succeeded non-test payments of non-test invoices and subscriptions."""
-    invoices = exclude_test_chain(t["subscription_invoice"], [(t["subscription"], "subscription_id")])
-    paid = real(t["invoice_payment_attempt"]).filter("status = 'succeeded'")
-    return owned_by(paid, invoices, "subscription_invoice_id")
-
+def really_paid(results: DataFrame, t: TablesMap) -> DataFrame:
+    """Results of a succeeded non-test payment along a test-free chain, with its fee `amount`."""
+    payments = succeeded_payments(t).select(
+        "invoice_payment_attempt_id", "subscription_invoice_id", F.col("subscription_fee_amount").alias("amount")
+    )
+    return along_paid_chain(results.join(payments, "invoice_payment_attempt_id"), t)

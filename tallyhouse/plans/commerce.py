@@ -36,22 +36,27 @@ def orders(t: TablesMap, p: Params, merchants: bool = True) -> DataFrame:
 
 
 def items(t: TablesMap) -> DataFrame:
-    df = exclude_test_chain(t["commerce_order_item"], [(t["product"], "product_id")])
-    return df.select(
-        "commerce_order_item_id", "commerce_order_id", "product_category_code",
+    """Non-test items; their product is tested later, on the few rows a report keeps."""
+    return real(t["commerce_order_item"]).select(
+        "commerce_order_item_id", "commerce_order_id", "product_id", "product_category_code",
         F.col("discounted_item_amount").alias("gmv"),
     )
 
 
+def of_real_products(df: DataFrame, t: TablesMap) -> DataFrame:
+    return owned_by(df, real(t["product"]), "product_id")
+
+
 def sold_items(t: TablesMap, sold: DataFrame) -> DataFrame:
     """Items of not cancelled orders, with the order's columns."""
-    return items(t).join(sold.filter("status <> 'cancelled'"), "commerce_order_id")
+    lines = items(t).join(sold.filter("status <> 'cancelled'"), "commerce_order_id")
+    return of_real_products(lines, t)
 
 
 def refunded_items(t: TablesMap, p: Params, of_orders: DataFrame, periods: Sequence[Period]) -> DataFrame:
     """Refund allocations by the period in which the refund succeeded; cancelled orders count too.
 
-    Refunds are filtered and labelled before any join, so the large tables meet a small side.
+    Refunds are filtered and labelled before any join, so each large table meets a small side.
     """
     refunds = real(visible(t["commerce_refund"], p.snapshot_cutoff)).filter("status = 'succeeded'")
     refunds = bucket_by_period(refunds, "succeeded_at", periods).select(
@@ -60,11 +65,12 @@ def refunded_items(t: TablesMap, p: Params, of_orders: DataFrame, periods: Seque
     allocations = real(t["refund_item_allocation"]).select(
         "commerce_refund_id", "commerce_order_item_id", F.col("allocated_item_amount").alias("refund")
     )
-    return (
+    lines = (
         refunds.join(of_orders, "commerce_order_id")
         .join(allocations, "commerce_refund_id")
-        .join(items(t).select("commerce_order_item_id", "product_category_code"), "commerce_order_item_id")
+        .join(items(t).select("commerce_order_item_id", "product_id", "product_category_code"), "commerce_order_item_id")
     )
+    return of_real_products(lines, t)
 
 
 def charged_fees(t: TablesMap, p: Params, of_orders: DataFrame, periods: Sequence[Period]) -> DataFrame:

@@ -31,7 +31,7 @@ from tallyhouse.operators.blocks import (
     valid_at,
     visible,
 )
-from tallyhouse.plans.activation import paid_attempts
+from tallyhouse.plans.activation import really_paid
 from tallyhouse.plans.commerce import real_merchants
 
 TablesMap = Mapping[str, DataFrame]
@@ -72,15 +72,15 @@ def cac_by_channel_saas(t: TablesMap, p: Params) -> DataFrame:
         t["attributed_conversion"], p.snapshot_cutoff, ["saas_first_payment"],
         ["organization_id", "marketing_channel_id", "conversion_at"],
     ).filter(p.quarter(2).holds(F.col("conversion_at")))
-    first = owned_by(owned_by(first, paid_attempts(t), "invoice_payment_attempt_id"), real(t["organization"]), "organization_id")
+    first = owned_by(really_paid(first, t), real(t["organization"]), "organization_id")
     customers = with_channel_code(first, t["marketing_channel"]).withColumnRenamed("organization_id", "customer_id")
     return _cac(campaign_spend(t, p, p.quarter_days(2), campaigns), customers, "saas_cac")
 
 
-def completed_orders(t: TablesMap) -> DataFrame:
-    """Non-test completed orders of non-test merchants."""
-    done = real(t["commerce_order"]).filter("status = 'completed'")
-    return owned_by(done, real_merchants(t), "merchant_assignment_id")
+def really_ordered(results: DataFrame, t: TablesMap) -> DataFrame:
+    """Results of a completed non-test order of a non-test merchant."""
+    done = real(t["commerce_order"]).filter("status = 'completed'").select("commerce_order_id", "merchant_assignment_id")
+    return owned_by(results.join(done, "commerce_order_id"), real_merchants(t), "merchant_assignment_id")
 
 
 def cac_by_channel_commerce(t: TablesMap, p: Params) -> DataFrame:
@@ -90,7 +90,7 @@ def cac_by_channel_commerce(t: TablesMap, p: Params) -> DataFrame:
         t["attributed_conversion"], p.snapshot_cutoff, ["commerce_first_payment"],
         ["consumer_id", "marketing_channel_id", "conversion_at"],
     ).filter(p.quarter(2).holds(F.col("conversion_at")))
-    first = owned_by(owned_by(first, completed_orders(t), "commerce_order_id"), real(t["consumer"]), "consumer_id")
+    first = owned_by(really_ordered(first, t), real(t["consumer"]), "consumer_id")
     customers = with_channel_code(first, t["marketing_channel"]).withColumnRenamed("consumer_id", "customer_id")
     return _cac(campaign_spend(t, p, p.quarter_days(2), campaigns), customers, "commerce_cac")
 
@@ -106,18 +106,14 @@ def _revenue_results(t: TablesMap, p: Params, kind: str, subject: str, span: Per
 def attributed_revenue_share(t: TablesMap, p: Params) -> DataFrame:
     """June revenue per scope, channel and result; direct and unknown always appear."""
     june = p.months(6, 6)[0]
-    saas = _revenue_results(t, p, "saas_revenue", "organization_id", june).join(
-        paid_attempts(t).select("invoice_payment_attempt_id", F.col("subscription_fee_amount").alias("amount")),
-        "invoice_payment_attempt_id",
-    )
+    saas = really_paid(_revenue_results(t, p, "saas_revenue", "organization_id", june), t)
     saas = owned_by(saas, real(t["organization"]), "organization_id")
     fees = real(t["platform_fee_charge"]).filter("status = 'succeeded'").select(
         "platform_fee_charge_id", "commerce_order_id", F.col("fee_amount").alias("amount")
     )
-    fees = owned_by(fees, owned_by(real(t["commerce_order"]), real_merchants(t), "merchant_assignment_id"), "commerce_order_id")
-    commerce = _revenue_results(t, p, "commerce_revenue", "consumer_id", june).join(
-        fees.drop("commerce_order_id"), "platform_fee_charge_id"
-    )
+    orders = real(t["commerce_order"]).select("commerce_order_id", "merchant_assignment_id")
+    commerce = _revenue_results(t, p, "commerce_revenue", "consumer_id", june).join(fees, "platform_fee_charge_id")
+    commerce = owned_by(commerce.join(orders, "commerce_order_id"), real_merchants(t), "merchant_assignment_id")
     commerce = owned_by(commerce, real(t["consumer"]), "consumer_id")
     columns = ["marketing_channel_id", "attribution_result", "amount"]
     base = stack(
@@ -171,11 +167,11 @@ def touch_to_payment_funnel(t: TablesMap, p: Params) -> DataFrame:
     saas = latest_results(
         t["attributed_conversion"], p.snapshot_cutoff, ["saas_first_payment"], ["organization_id", "conversion_at"]
     )
-    saas = owned_by(owned_by(saas, paid_attempts(t), "invoice_payment_attempt_id"), real(t["organization"]), "organization_id")
+    saas = owned_by(really_paid(saas, t), real(t["organization"]), "organization_id")
     commerce = latest_results(
         t["attributed_conversion"], p.snapshot_cutoff, ["commerce_first_payment"], ["consumer_id", "conversion_at"]
     )
-    commerce = owned_by(owned_by(commerce, completed_orders(t), "commerce_order_id"), real(t["consumer"]), "consumer_id")
+    commerce = owned_by(really_ordered(commerce, t), real(t["consumer"]), "consumer_id")
     paid = stack(
         saas.select(F.lit("saas").alias("business_scope"), F.col("organization_id").alias("subject_id"), "conversion_at"),
         commerce.select(F.lit("commerce").alias("business_scope"), F.col("consumer_id").alias("subject_id"), "conversion_at"),

@@ -14,6 +14,7 @@ from tallyhouse.operators.blocks import (
     bucket_by_period,
     dense_by_period,
     exclude_test_chain,
+    owned_by,
     real,
     stack,
     state_as_of,
@@ -67,13 +68,24 @@ def cancellations(t: TablesMap, p: Params, events: DataFrame | None = None) -> D
     return events.filter("event_type = 'cancellation_effective'")
 
 
+def along_paid_chain(payments: DataFrame, t: TablesMap) -> DataFrame:
+    """Payments whose invoice and subscription are no test data, looked up outwards from the payments."""
+    invoices = real(t["subscription_invoice"]).select("subscription_invoice_id", "subscription_id")
+    subscriptions = real(t["subscription"]).select("subscription_id", F.col("organization_id").alias("paying_organization_id"))
+    return payments.join(invoices, "subscription_invoice_id").join(subscriptions, "subscription_id")
+
+
+def succeeded_payments(t: TablesMap) -> DataFrame:
+    return real(t["invoice_payment_attempt"]).filter("status = 'succeeded'")
+
+
 def paid_fees(t: TablesMap, p: Params) -> DataFrame:
     """Succeeded subscription payments along a test-free chain: (succeeded_at, amount)."""
-    invoices = real(t["subscription_invoice"]).join(real_subscriptions(t), "subscription_id")
-    payments = real(visible(t["invoice_payment_attempt"], p.snapshot_cutoff)).filter("status = 'succeeded'")
-    return payments.join(invoices.select("subscription_invoice_id"), "subscription_invoice_id", "left_semi").select(
-        "succeeded_at", F.col("subscription_fee_amount").alias("amount")
+    payments = visible(succeeded_payments(t), p.snapshot_cutoff).select(
+        "subscription_invoice_id", "succeeded_at", F.col("subscription_fee_amount").alias("amount")
     )
+    paid = along_paid_chain(payments, t)
+    return owned_by(paid, real(t["organization"]), "paying_organization_id", "organization_id").select("succeeded_at", "amount")
 
 
 def mrr_by_plan_asof(t: TablesMap, p: Params) -> DataFrame:

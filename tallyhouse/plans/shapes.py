@@ -26,7 +26,7 @@ from tallyhouse.operators.blocks import (
     stack,
 )
 from tallyhouse.operators.compare import baseline_delta, compare, digest, response_gaps, review_status, suite_rollup
-from tallyhouse.plans.commerce import items, orders, real_merchants, refunded_items, sold_items
+from tallyhouse.plans.commerce import items, of_real_products, orders, real_merchants, refunded_items, sold_items
 from tallyhouse.plans.marketing import visible_spend
 from tallyhouse.plans.saas import snapshots, state_events
 
@@ -82,7 +82,7 @@ def key_union(t: TablesMap, p: Params) -> DataFrame:
 
 
 def total_row(t: TablesMap, p: Params) -> DataFrame:
-    by_category = items(t).groupBy("product_category_code").agg(total(F.col("gmv")).alias("gmv"))
+    by_category = of_real_products(items(t), t).groupBy("product_category_code").agg(total(F.col("gmv")).alias("gmv"))
     with_total = append_total(by_category, "product_category_code", "TOTAL", {"gmv": total(F.col("gmv"))})
     return with_total.orderBy("sort_order", "product_category_code").drop("sort_order")
 

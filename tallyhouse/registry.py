@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,30 +47,31 @@ def attributed(t: Tables, types: tuple[str, ...] = ALL_TYPES) -> DataFrame:
     return attribute(t, [shapes.EARLY_CUTOFF, REPORT.snapshot_cutoff], REPORT.history_start, types)
 
 
-@cache
-def _attribution_folder(application: str, sf_dir: str) -> str:
-    """Run the attribution job once per application and input; metrics only read its table."""
-    spark = SparkSession.active()
-    folder = f"{shared_dir(spark)}/attribution-{uuid4().hex}"
-    attributed(plain_tables(spark, sf_dir)).write.partitionBy("conversion_type").parquet(folder)
-    return folder
-
-
-def attributed_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived tables plus the written attribution results, prunable by conversion type."""
-    folder = _attribution_folder(spark.sparkContext.applicationId, sf_dir)
-    schema = SCHEMAS["attributed_conversion"]
-    return plain_tables(spark, sf_dir).replacing(attributed_conversion=spark.read.schema(schema).parquet(folder))
+# per (application, input): the planned tables, and the folder of the written attribution table
+_PLANNED: dict[tuple[str, str], Tables] = {}
+_ATTRIBUTION: dict[tuple[str, str], str] = {}
 
 
 def plain_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return _planned_tables(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANNED:
+        _PLANNED[key] = derived_tables(spark, sf_dir)
+    return _PLANNED[key]
 
 
-@cache
-def _planned_tables(application: str, sf_dir: str) -> Tables:
-    """The logical plans of the derived tables, shared by an application's queries."""
-    return derived_tables(SparkSession.active(), sf_dir)
+def attributed_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables plus the written attribution results, prunable by conversion type.
+
+    The attribution job runs once per application and input; metrics only read its table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    t = plain_tables(spark, sf_dir)
+    if key not in _ATTRIBUTION:
+        folder = f"{shared_dir(spark)}/attribution-{uuid4().hex}"
+        attributed(t).write.partitionBy("conversion_type").parquet(folder)
+        _ATTRIBUTION[key] = folder
+    results = spark.read.schema(SCHEMAS["attributed_conversion"]).parquet(_ATTRIBUTION[key])
+    return t.replacing(attributed_conversion=results)
 
 
 def _plan_query(plan: Plan) -> Query:
