@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import instant
-from tallyhouse.operators.asof import HOT_KEY_ROWS, last_before
+from tallyhouse.operators.asof import HOT_KEY_ROWS, last_before, stage
 from tallyhouse.operators.blocks import earliest, real, stack, valid_at
 
 # Fixed values of the attribution model.
@@ -68,6 +68,8 @@ def conversions(t: Mapping[str, DataFrame], types: Sequence[str] = ALL_TYPES) ->
             .join(t["subscription"].select("subscription_id", "organization_id"), "subscription_id")
         )
         paid = _conversion(paid, "invoice_payment_attempt_id", "succeeded_at", "saas", F.col("organization_id"))
+        if set(SAAS_TYPES) <= set(types):
+            paid = stage(paid)  # both types read it: the joins above run once
         parts += [_typed(_first_only(paid), "saas_first_payment")] if "saas_first_payment" in types else []
         parts += [_typed(paid, "saas_revenue")] if "saas_revenue" in types else []
     if set(types) & set(ORDER_TYPES):
@@ -172,11 +174,13 @@ def attribute(
     in_window = F.col("touch.occurred_at") >= F.col("window_started_at")
     outcome = F.when(~complete, UNKNOWN).when(in_window, NON_DIRECT).otherwise(DIRECT)
     rows = rows.withColumn("history_complete", complete).withColumn("attribution_result", outcome)
-    direct = real(t["marketing_channel"]).filter("channel_code = 'direct' AND channel_type = 'direct'").select(
-        F.lit(DIRECT).alias("attribution_result"),
+    # an equi join on the code: the governed direct channel for direct results, nothing for others
+    direct = real(t["marketing_channel"]).filter("channel_type = 'direct'").select(
+        F.col("channel_code").alias("direct_code"),
         F.col("marketing_channel_id").alias("direct_channel_id"), "effective_from", "effective_to",
     )
-    rows = rows.join(direct, "attribution_result", "left")
+    rows = rows.withColumn("direct_code", F.when(F.col("attribution_result") == DIRECT, "direct"))
+    rows = rows.join(direct, "direct_code", "left")
     direct_channel = F.when(
         valid_at(F.col("conversion_at"), F.col("effective_from"), F.col("effective_to")), F.col("direct_channel_id")
     )

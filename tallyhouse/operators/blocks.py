@@ -189,10 +189,14 @@ def key_union_join(frames: Sequence[DataFrame], keys: Sequence[str], fill: Mappi
 
 
 def complete_rows(df: DataFrame, required: DataFrame, keys: Sequence[str], fill: Mapping[str, Column]) -> DataFrame:
-    """Append the required key rows that are absent, with the given measures."""
-    absent = required.select(*keys).join(df.select(*keys), list(keys), "left_anti")
-    filled = absent.select(*keys, *[value.alias(name) for name, value in fill.items()])
-    return df.unionByName(filled.select(*df.columns))
+    """`df` (unique on its keys) plus the required key rows it lacks, with the given measures.
+
+    One grouping over both, so that `df` is not evaluated a second time for an anti join.
+    """
+    rows = stack(df.withColumn("__have", F.lit(True)), required.select(*keys))
+    merged = rows.groupBy(*keys).agg(F.max("__have").alias("__have"), *[F.max(c).alias(c) for c in fill])
+    filled = [F.when(F.col("__have"), F.col(c)).otherwise(value).alias(c) for c, value in fill.items()]
+    return merged.select(*keys, *filled)
 
 
 def append_total(df: DataFrame, name: str, label: str, totals: Mapping[str, Column]) -> DataFrame:

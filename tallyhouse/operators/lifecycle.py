@@ -66,9 +66,10 @@ def verify(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFr
 
 
 def unload(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFrame:
-    """Stored rows that remain once the exactly owned ones are taken out."""
-    owned = _beside(source, stored, match, "inner").filter(_equal(source)).select(*match)
-    return stored.join(owned, list(match), "left_anti")
+    """Stored rows that remain once the exactly owned ones are taken out; match keys are unique in the source."""
+    wanted = source.select(*match, F.struct(*source.columns).alias("source"))
+    beside = stored.withColumn("stored", F.struct(*source.columns)).join(wanted, list(match), "left")
+    return beside.filter(F.col("source").isNull() | ~_equal(source)).select(*stored.columns)
 
 
 def row_counts(t: TablesMap) -> DataFrame:
