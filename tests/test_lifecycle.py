@@ -112,3 +112,15 @@ def test_structure_problems_are_named(spark, tmp_path):
     assert {"unresolved_reference"} <= found
     twice = records.unionByName(records)
     assert {"duplicate_record", "row_count"} <= {r["problem"] for r in nested.structure_problems(twice, nested.read_manifest(spark, root)).collect()}
+
+
+def test_written_tables_read_back_and_are_ranged_by_time(spark, tmp_path):
+    source = tables.in_memory(spark, dataset())
+    root = str(tmp_path / "model")
+    tables.write_tables(source, root, ["commerce_order", "consumer"])
+    back = tables.read_tables(spark, root)
+    for name in ("commerce_order", "consumer"):
+        assert sorted(map(repr, back[name].collect())) == sorted(map(repr, source[name].collect()))
+    plan = back["commerce_order"].filter(F.col("first_paid_at") >= F.lit("1997-06-01").cast("timestamp_ntz"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(first_paid_at" in text.split("PushedFilters")[1]

@@ -179,3 +179,26 @@ def test_empty_dataset_gives_neutral_results(spark):
     assert [m["closing_mrr"] for m in run(spark, saas.mrr_bridge, empty)] == [0, 0]
     assert len(run(spark, commerce.gmv_trend, empty)) == 6
     assert [s["cohort_share"] for s in run(spark, activation.activation_stages, empty)] == [None, None, None]
+
+
+def _plan(spark, plan, t):
+    return plan(t, PARAMS)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_the_period_and_avoid_loops_and_python(spark, tmp_path):
+    from tallyhouse.sources.tables import read_tables, write_tables
+
+    t = in_memory(spark, dataset())
+    t = t.replacing(attributed_conversion=attribute(t, [PARAMS.snapshot_cutoff], PARAMS.history_start))
+    root = str(tmp_path / "model")
+    write_tables(t, root)
+    stored = read_tables(spark, root)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for plan in (commerce.gmv_orders_aov, commerce.seller_growth_pivot, saas.mrr_bridge, marketing.cac_by_channel_saas,
+                 marketing.attributed_revenue_share, crossdomain.seller_growth_quality, activation.activation_rate):
+        text = _plan(spark, plan, stored)
+        for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+            assert unwanted not in text, plan.__name__
+    text = _plan(spark, commerce.gmv_orders_aov, stored)
+    assert "GreaterThanOrEqual(first_paid_at" in text and "LessThanOrEqual(recorded_at" in text
+    assert plan(stored, PARAMS).collect() == plan(t, PARAMS).collect()
