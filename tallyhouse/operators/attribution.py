@@ -8,7 +8,7 @@ cutoffs are resolved in one pass over the touches.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,15 +148,28 @@ def attribute(
     history_start: datetime,
     types: Sequence[str] = ALL_TYPES,
     hot_key_rows: int = HOT_KEY_ROWS,
+    since: datetime | None = None,
 ) -> DataFrame:
-    """Attribution results, one row per conversion and cutoff not before it."""
+    """Attribution results, one row per conversion and cutoff not before it.
+
+    With `since`, only conversions from that instant on are attributed, for an incremental run;
+    whether a payment is its subject's first is still told from the whole history.
+    """
     scopes = {"saas" if kind in SAAS_TYPES else "commerce" for kind in types}
     found = _mark_test_subjects(conversions(t, types), t, scopes)
     found = found.filter(F.col("conversion_at") <= instant(max(cutoffs)))
+    # touches outside every complete window are not read: before the history or the look-back began
+    reach = history_start
+    if since is not None:
+        found = found.filter(F.col("conversion_at") >= instant(since))
+        reach = max(reach, since - timedelta(hours=LOOK_BACK_HOURS))
+    touches = eligible_touches(t, scopes).filter(
+        (F.col("occurred_at") >= instant(reach)) & (F.col("occurred_at") <= instant(max(cutoffs)))
+    )
     # alternately named structs: the best touch known at each cutoff
     picks = {f"touch_{i}": F.col("known_at") <= instant(cutoff) for i, cutoff in enumerate(cutoffs)}
     resolved = last_before(
-        found, eligible_touches(t, scopes), ["scope", "subject_id"], "conversion_at", "occurred_at",
+        found, touches, ["scope", "subject_id"], "conversion_at", "occurred_at",
         ["source_event_id"], picks, hot_key_rows=hot_key_rows,
     )
     per_cutoff = F.array(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,13 @@ def cohort(t: TablesMap, p: Params, registered: Period) -> DataFrame:
     )
 
 
-def condition_events(t: TablesMap, p: Params) -> DataFrame:
-    """(organization_id, condition_name, happened_at), seen and happened in time."""
+def condition_events(t: TablesMap, p: Params, registered: Period) -> DataFrame:
+    """(organization_id, condition_name, happened_at), seen and happened in time.
+
+    No member's window reaches outside the registration period plus the window's length, so
+    that span is filtered at the scans.
+    """
+    possible = Period("possible", registered.start, min(registered.end + timedelta(days=WINDOW_DAYS), p.activation_as_of))
     invited = real(visible(t["organization_member"], p.snapshot_cutoff)).select(
         "organization_id", F.lit("member_invite").alias("condition_name"), F.col("first_invited_at").alias("happened_at")
     )
@@ -48,13 +54,13 @@ def condition_events(t: TablesMap, p: Params) -> DataFrame:
     done = exclude_test_chain(done, [(t["consumer"], "consumer_id")]).join(
         real(t["merchant"]).select("merchant_assignment_id", "organization_id"), "merchant_assignment_id"
     ).select("organization_id", F.lit("completed_order").alias("condition_name"), F.col("completed_at").alias("happened_at"))
-    return stack(invited, created, done).filter(F.col("happened_at") < instant(p.activation_as_of))
+    return stack(invited, created, done).filter(possible.holds(F.col("happened_at")))
 
 
 def activation_counts(t: TablesMap, p: Params, registered: Period) -> DataFrame:
     return conditions_met(
         cohort(t, p, registered), "organization_id", "registered_at", "window_ends_at",
-        condition_events(t, p), CONDITIONS,
+        condition_events(t, p, registered), CONDITIONS,
     )
 
 

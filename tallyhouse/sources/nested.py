@@ -47,8 +47,9 @@ def read_records(spark: SparkSession, root: str, files: Sequence[str]) -> DataFr
 def cells(records: DataFrame) -> DataFrame:
     """(table_name, record_id, column_name, value, ref) with ref set where the value is a reference."""
     flat = records.select("table_name", "record_id", F.explode("values").alias("column_name", "value"))
-    ref = F.when(F.col("value").startswith("{"), F.from_json("value", _REFERENCE))
-    return flat.withColumn("ref", ref)
+    parsed = F.from_json("value", _REFERENCE)
+    is_ref = F.col("value").startswith("{") & parsed["table"].isNotNull() & parsed["record_id"].isNotNull()
+    return flat.withColumn("ref", F.when(is_ref, parsed))
 
 
 def structure_problems(records: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -124,3 +124,14 @@ def test_append_never_overwrites_and_latest_picks_the_last_cutoff(spark):
     newest = latest_results(early.unionByName(added), CUTOFF, ["saas_revenue"], ["source_data_cutoff_at"]).collect()
     assert [r["source_data_cutoff_at"] for r in newest] == [CUTOFF]
     assert latest_results(both, at(6, 2), ["saas_revenue"], ["source_data_cutoff_at"]).collect()[0]["source_data_cutoff_at"] == at(6, 1)
+
+
+def test_incremental_run_gives_the_same_rows_as_the_whole_one(spark):
+    rows = dataset()
+    rows["invoice_payment_attempt"].append(rows["invoice_payment_attempt"][0] | {"invoice_payment_attempt_id": 2, "succeeded_at": at(6, 10)})
+    rows["marketing_touch"] += [touch(5, at(6, 10) - timedelta(hours=168), organization_id=1)]
+    kinds = ("saas_first_payment", "saas_revenue")
+    whole = run(spark, rows, types=kinds)
+    later = run(spark, rows, types=kinds, since=at(6, 10))
+    assert later == [r for r in whole if r["conversion_at"] >= at(6, 10)]
+    assert [(r["conversion_type"], r["selected_marketing_touch_id"]) for r in later] == [("saas_revenue", 5)]
