@@ -172,6 +172,14 @@ def state_as_of(
     )
 
 
+def net_by_instant(events: DataFrame, key: Sequence[str], ts: str, tiebreak: str,
+                   before: Sequence[str], after: Sequence[str]) -> DataFrame:
+    """Several changes of one key at one instant as one net change: first state before, last after."""
+    first, last = F.min_by(F.struct(*before), tiebreak), F.max_by(F.struct(*after), tiebreak)
+    netted = events.groupBy(*key, ts).agg(first.alias("__before"), last.alias("__after"))
+    return netted.select(*key, ts, "__before.*", "__after.*")
+
+
 def latest_revision(df: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff: datetime,
                     columns: Sequence[str], seen: Sequence[str] = ("recorded_at",)) -> DataFrame:
     """Filter by visibility first, then take the highest revision."""

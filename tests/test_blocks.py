@@ -84,3 +84,9 @@ def test_bounded_fails_instead_of_cutting(spark):
         blocks.bounded(df, 4)
     with pytest.raises(ValueError):
         blocks.bounded(df, 5, max_bytes=3)
+
+
+def test_changes_of_one_instant_are_netted(spark):
+    t = datetime(1997, 1, 1)
+    events = spark.createDataFrame([(1, t, 1, 50, 80), (1, t, 2, 80, 60), (1, datetime(1997, 1, 2), 3, 60, 0)], "k int, ts timestamp_ntz, id int, b int, a int")
+    assert rows(blocks.net_by_instant(events, ["k"], "ts", "id", ["b"], ["a"]).select("b", "a")) == [(50, 60), (60, 0)]
