@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import packing, quality_rules, secrets, warc
+from tallyhouse.llm import line_templates, mixing, packing, quality_knn, quality_rules, secrets, warc
 from tallyhouse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -20,6 +30,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE)
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", F.col("_n_dropped").alias("n_dropped"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -28,7 +43,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: tuple[Query, ...] = (op3_packing, op5_quality_rules, op9_secret_scans, op10_warc)
+QUERIES: tuple[Query, ...] = (
+    op1_mixing, op2_quality_knn, op3_packing, op5_quality_rules, op7_line_templates, op9_secret_scans, op10_warc,
+)
 
 
 def queries() -> dict[str, Query]:
