@@ -7,22 +7,42 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import packing, quality_rules
+from tallyhouse.llm import jaccard, line_templates, mixing, packing, quality_rules
 from tallyhouse.llm.common import checkpoint_folder, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a quality rule go."""
     return quality_rules.keep_good(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, and with them documents that have nothing else."""
+    return line_templates.without_boilerplate(docs)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that the domains reach their target weights."""
+    return mixing.mix(docs, read(spark, sf_dir, "labels"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_stage),
+    ("line_templates", line_stage),
+    ("jaccard_join", near_copy_stage),
+    ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import line_templates, mixing, packing, quality_knn, quality_rules, secrets, warc
+from tallyhouse.llm import jaccard, line_templates, mixing, packing, quality_knn, quality_rules, secrets, warc
 from tallyhouse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_chars", F.col("_n_dropped").alias("n_dropped"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    op1_mixing, op2_quality_knn, op3_packing, op5_quality_rules, op7_line_templates, op9_secret_scans, op10_warc,
+    op1_mixing, op2_quality_knn, op3_packing, op5_quality_rules, op7_line_templates, op8_jaccard_join,
+    op9_secret_scans, op10_warc,
 )
 
 
