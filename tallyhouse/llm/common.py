@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often and inside whatever lambda it is used.
+
+    The optimizer merges projections and may move an expression into a lambda that runs per element; a lambda
+    variable is never replaced by its definition.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

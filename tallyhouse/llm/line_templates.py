@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import cut, words
+from tallyhouse.llm.common import bound, cut, words
 
 LEAD = 3
 MIN_TEXTS = 20
@@ -85,10 +85,9 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     # rows without a text have no key of their own; they are spread by a random one that matches nothing
     packed = packed.withColumn("_key", F.coalesce(_key(F.col("_text")), F.unhex(F.sha1(F.uuid()))))
     joined = packed.join(gone, "_key", "left")
-    lines = F.split("_text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_positions"))
-    text = F.when(F.col("_positions").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    rest = bound(F.split("_text", "\n"), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_positions")), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("_positions").isNull(), F.col("_text")).otherwise(rest)
     out = joined.withColumn("_new", text)
     columns = []
     for name in docs.columns:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import BLANK, words
+from tallyhouse.llm.common import BLANK, bound, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -59,57 +59,59 @@ RULES = (
 )
 
 
-def _repeated(found: Column) -> Column:
-    """Positions covered by 3-word windows that occur at least twice: windows are sorted by their hash,
-    so that equal ones are neighbours, and every repeated one covers three positions."""
-    return F.sort_array(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(found) - 3, F.lit(0))),
+def _repeat_words(found: Column) -> Column:
+    """Number of positions covered by 3-word windows that occur at least twice.
+
+    Windows are sorted by their hash, so that equal ones are neighbours; each of those covers three positions.
+    """
+    windows = F.sort_array(F.transform(
+        F.sequence(F.lit(0), F.size(found) - 3),
         lambda i: F.struct(F.xxhash64(F.get(found, i), F.get(found, i + 1), F.get(found, i + 2)).alias("h"), i.alias("i")),
     ))
 
+    def covered(sorted_windows: Column) -> Column:
+        def same(w: Column, k: Column) -> Column:
+            return F.coalesce(w["h"] == F.get(sorted_windows, k)["h"], F.lit(False))
+
+        again = F.filter(sorted_windows, lambda w, k: same(w, k - 1) | same(w, k + 1))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2)))))
+
+    return F.when(F.size(found) >= 4, bound(windows, covered)).otherwise(F.lit(0))
+
+
+def _counts(text: Column) -> Column:
+    """All counts of one text as a struct."""
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANK}]"))
+
+    def of(found: Column, lined: Column) -> Column:
+        counts = {
+            "n_words": F.size(found),
+            "word_chars": F.char_length(F.array_join(found, "")),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_dup_lines": F.size(lined) - F.size(F.array_distinct(lined)),
+            "n_repeat_words": _repeat_words(found),
+            "n_lines": F.size(lined),
+            "bangs": F.regexp_count(text, F.lit("!")),
+            "stops": F.size(F.filter(found, lambda w: F.lower(w).isin(*STOP_WORDS))),
+            "ellipses": F.size(F.filter(lined, lambda line: line.rlike(rf"(\.\.\.|…)[{BLANK}]*$"))),
+            "bullets": F.size(F.filter(lined, lambda line: line.rlike(rf"^[{BLANK}]*[-*•]"))),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in counts.items()])
+
+    return bound(words(text), lambda found: bound(lines, lambda lined: of(found, lined)))
+
 
-#: one row's metrics, in the order in which each layer may use the ones before it
-def _layers(text: Column) -> list[dict[str, Column]]:
-    split = {
-        "_words": words(text),
-        "_lines": F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANK}]")),
-    }
-    found, lines = F.col("_words"), F.col("_lines")
-    sorted_windows = {
-        "_windows": F.when(F.size(found) >= 4, _repeated(found)),
-        "n_words": F.size(found).cast("long"),
-        "word_chars": F.char_length(F.array_join(found, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "_bangs": F.regexp_count(text, F.lit("!")),
-        "_stops": F.size(F.filter(found, lambda w: F.lower(w).isin(*STOP_WORDS))),
-        "_ellipses": F.size(F.filter(lines, lambda line: line.rlike(rf"(\.\.\.|…)[{BLANK}]*$"))),
-        "_bullets": F.size(F.filter(lines, lambda line: line.rlike(rf"^[{BLANK}]*[-*•]"))),
-    }
-    windows = F.col("_windows")
-    covered = {
-        "_covered": F.size(F.array_distinct(F.flatten(F.transform(
-            F.filter(windows, lambda w, k: (w["h"] == F.get(windows, k - 1)["h"]).eqNullSafe(F.lit(True))
-                     | (w["h"] == F.get(windows, k + 1)["h"]).eqNullSafe(F.lit(True))),
-            lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2),
-        )))),
-    }
-
-    def over(part: str, whole: str) -> Column:
-        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
-
-    ratios = {
-        "n_repeat_words": F.greatest(F.coalesce(F.col("_covered"), F.lit(0)), F.lit(0)).cast("long"),
-        "mean_word_chars": over("word_chars", "n_words"),
-        "symbol_word_ratio": over("n_symbols", "n_words"),
-        "bang_word_ratio": over("_bangs", "n_words"),
-        "stop_word_ratio": over("_stops", "n_words"),
-        "dup_line_ratio": over("n_dup_lines", "n_lines"),
-        "ellipsis_line_ratio": over("_ellipses", "n_lines"),
-        "bullet_line_ratio": over("_bullets", "n_lines"),
-    }
-    return [split, sorted_windows, covered, ratios]
+#: metric -> (part, whole)
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_word_ratio": ("n_symbols", "n_words"),
+    "bang_word_ratio": ("bangs", "n_words"),
+    "stop_word_ratio": ("stops", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "ellipsis_line_ratio": ("ellipses", "n_lines"),
+    "bullet_line_ratio": ("bullets", "n_lines"),
+}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -117,15 +119,17 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The input columns plus every metric, `base_failed`, `failed_rules` and `kept`."""
-    own = [c for c in docs.columns if c.lower() not in (*BASE, "_text", "failed_rules")]
-    out = docs.select(*own, F.coalesce(docs[text], F.lit("")).alias("_text"))
-    for layer in _layers(F.col("_text")):
-        out = out.withColumns(layer)
+    metrics = (*COUNTS, *RATIOS, "base_failed", "failed_rules", "kept")
+    own = [c for c in docs.columns if c.lower() not in metrics]
+    out = docs.select(*own, _counts(F.coalesce(docs[text], F.lit(""))).alias("_quality_counts"))
+    count = F.col("_quality_counts")
+    out = out.select(*own, *[count[name].alias(name) for name in COUNTS], *[
+        F.when(count[whole] > 0, count[part] / count[whole]).otherwise(F.lit(0.0)).alias(name)
+        for name, (part, whole) in RATIOS.items()])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(rule.failed(), F.lit(rule.metric)) for rule in rules]))
     out = out.withColumns({"base_failed": base, "failed_rules": failed})
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
