@@ -5,7 +5,7 @@ belongs to every domain in that proportion. Nonnegative rates r (expected copies
 fitted so that the expected domain totals, sum of r * tokens * posterior, match the targets in the least-squares
 sense. The fit is projected gradient from r = 1, in the metric that weighs each document by its tokens:
 
-    r <- max(0, r - p . step),   step = G^-1 (totals(r) - targets),   G = sum of tokens * p p'
+    r <- max(0, r - p . step),   step = (G + ridge)^-1 (totals(r) - targets),   G = sum of tokens * p p'
 
 where p is the posterior. One step is one number per domain, so a document's rate is a function of the list of
 steps taken so far: an iteration is one aggregate over the documents, and no rate is ever stored or collected.
@@ -40,6 +40,10 @@ LABELLED_PER_DOMAIN = 700
 KEPT_FEATURES = 512
 ITERATIONS = 25
 TOLERANCE = 1e-4
+#: keeps steps small for domains that hardly any document belongs to
+RIDGE = 0.01
+#: no domain is asked to repeat its tokens more often than this
+MAX_REPEATS = 4.0
 
 
 def domain_of(labels: DataFrame) -> Column:
@@ -146,6 +150,21 @@ def rate(steps: list[np.ndarray], p: Column) -> Column:
     return F.aggregate(taken, F.lit(1.0), moved)
 
 
+def reachable(natural: np.ndarray, targets: dict[str, float]) -> np.ndarray:
+    """Target shares, none above `MAX_REPEATS` times the natural share; what that leaves goes to the other domains."""
+    wanted = np.array([targets[name] for name in DOMAINS], np.float64)
+    wanted /= wanted.sum()
+    most = MAX_REPEATS * natural
+    for _ in DOMAINS:
+        over = np.maximum(wanted - most, 0).sum()
+        wanted = np.minimum(wanted, most)
+        room = wanted < most
+        if over == 0 or not room.any() or wanted[room].sum() == 0:
+            break
+        wanted[room] *= 1 + over / wanted[room].sum()
+    return wanted
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iterations: int = ITERATIONS) -> list[np.ndarray]:
     """The gradient steps; `members` has `_tokens` and `_p`, and is read once per iteration."""
     d = len(DOMAINS)
@@ -163,8 +182,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iteration
     gram = np.array([[row[f"g{i}_{j}"] for j in range(d)] for i in range(d)])
     if natural.sum() == 0:
         return []
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
-    wanted = np.array([targets[name] for name in DOMAINS]) / sum(targets.values()) * natural.sum()
+    inverse = np.linalg.inv(gram + RIDGE * np.trace(gram) * np.eye(d))
+    wanted = reachable(natural / natural.sum(), targets) * natural.sum()
     steps, reached = [], natural
     for _ in range(iterations):
         if np.abs(reached - wanted).max() <= TOLERANCE * natural.sum():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import jaccard, line_templates, mixing, packing, quality_knn, quality_rules, secrets, warc
+from tallyhouse.llm import cross_polytope, jaccard, line_templates, mixing, packing, quality_knn, quality_rules, secrets, substrings, warc
 from tallyhouse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_copies(read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_rows(read(spark, sf_dir, "documents"))
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.drop_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_chars", F.col("_n_dropped").alias("n_dropped"))
@@ -48,7 +56,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    op1_mixing, op2_quality_knn, op3_packing, op5_quality_rules, op7_line_templates, op8_jaccard_join,
+    op1_mixing, op2_quality_knn, op3_packing, op4_cross_polytope, op5_quality_rules, op6_suffix_dedup,
+    op7_line_templates, op8_jaccard_join,
     op9_secret_scans, op10_warc,
 )
 
