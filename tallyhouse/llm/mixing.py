@@ -93,14 +93,15 @@ def fit_softmax(features: np.ndarray, domains: np.ndarray, shares: np.ndarray, c
         speed_w = 0.95 * speed_w - step * (x.T @ error + 1e-3 * weights)
         speed_b = 0.95 * speed_b - step * error.sum(0)
         weights, bias = weights + speed_w, bias + speed_b
-    balanced = np.where(sizes > 0, 1 / max((sizes > 0).sum(), 1), 1e-9)
-    bias = bias + np.log(np.maximum(shares, 1e-9) / balanced)
+    # from equal weights to the shares found; a domain without a row is not predicted
+    bias = np.where(sizes > 0, bias + np.log(np.maximum(shares, 1e-9)), -50.0)
     return Classifier(kept, scale, weights, bias)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, per_domain: int = LABELLED_PER_DOMAIN) -> Classifier:
-    """Fitted on at most `per_domain` labelled rows of each domain; the shares are those of all labelled rows."""
+    """Fitted on at most `per_domain` labelled documents of each domain; the shares are those of all labelled documents."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), domain_of(labels).alias("domain")).dropna()
+    known = cut(known.join(docs.select(docs["doc_id"].cast("long").alias("doc_id")), "doc_id", "left_semi"))
     counted = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(counted.values())
     shares = np.array([counted.get(k, 0) / total if total else 1 / len(DOMAINS) for k in range(len(DOMAINS))])

@@ -40,9 +40,9 @@ class Rule:
     least: float | None = None
     most: float | None = None
 
-    def failed(self) -> Column:
-        below = F.col(self.metric) < self.least if self.least is not None else F.lit(False)
-        above = F.col(self.metric) > self.most if self.most is not None else F.lit(False)
+    def failed(self, value: Column) -> Column:
+        below = value < self.least if self.least is not None else F.lit(False)
+        above = value > self.most if self.most is not None else F.lit(False)
         return below | above
 
 
@@ -114,6 +114,20 @@ RATIOS = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+def _verdict(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Every metric and verdict of one text as one expression, which no later step can take apart and repeat."""
+    def of(count: Column) -> Column:
+        values = {name: count[name] for name in COUNTS} | {
+            name: F.when(count[whole] > 0, count[part] / count[whole]).otherwise(F.lit(0.0))
+            for name, (part, whole) in RATIOS.items()}
+        base = (count["n_words"] < MIN_WORDS) | (100 * count["n_repeat_words"] > MAX_REPEAT_PERCENT * count["n_words"])
+        failed = F.array_compact(F.array(*[F.when(rule.failed(values[rule.metric]), F.lit(rule.metric)) for rule in rules]))
+        verdicts = {"base_failed": base, "failed_rules": failed, "kept": ~base & (F.size(failed) == 0)}
+        return F.struct(*[value.alias(name) for name, value in (values | verdicts).items()])
+
+    return bound(_counts(F.coalesce(text, F.lit(""))), of)
+
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -121,18 +135,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """The input columns plus every metric, `base_failed`, `failed_rules` and `kept`."""
     metrics = (*COUNTS, *RATIOS, "base_failed", "failed_rules", "kept")
     own = [c for c in docs.columns if c.lower() not in metrics]
-    out = docs.select(*own, _counts(F.coalesce(docs[text], F.lit(""))).alias("_quality_counts"))
-    count = F.col("_quality_counts")
-    out = out.select(*own, *[count[name].alias(name) for name in COUNTS], *[
-        F.when(count[whole] > 0, count[part] / count[whole]).otherwise(F.lit(0.0)).alias(name)
-        for name, (part, whole) in RATIOS.items()])
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    failed = F.array_compact(F.array(*[F.when(rule.failed(), F.lit(rule.metric)) for rule in rules]))
-    out = out.withColumns({"base_failed": base, "failed_rules": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return docs.select(*own, _verdict(docs[text], rules).alias("_quality_verdict")).select(
+        *own, *[F.col("_quality_verdict")[name].alias(name) for name in metrics])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with exactly the columns they came with."""
-    packed = docs.select(docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return judge(packed, rules).filter("kept").select("_row.*")
+    return docs.filter(_verdict(docs["text"], rules)["kept"])
