@@ -217,8 +217,9 @@ def described(headers: dict[str, str], block: bytes) -> dict:
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """All records of the archives that the index names, one task per archive."""
-    names = index.select("archive").distinct()
-    return names.repartition("archive").mapInArrow(lambda batches: _read(folder, batches), RECORDS)
+    names = cut(index.select("archive").distinct())
+    # a stated number of partitions is not merged again because the names are small
+    return names.repartition(max(1, names.count()), "archive").mapInArrow(lambda batches: _read(folder, batches), RECORDS)
 
 
 def lookup(index: DataFrame, folder: str) -> DataFrame:
