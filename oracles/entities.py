@@ -93,7 +93,7 @@ won AS (
     AND k.occurred_at BETWEEN r.win AND r.ats AND k.processed_at <= r.cutoff AND k.recorded_at <= r.cutoff
   WHERE r.win >= @history GROUP BY ALL),
 attributed_conversion AS (
-  SELECT r.kind || ':' || COALESCE(r.pay, r.ord, r.fee) || ':' || strftime(r.cutoff, '%Y%m%d%H%M%S') AS attributed_conversion_id,
+  SELECT r.kind || ':' || COALESCE(r.pay, r.ord, r.fee) || ':' || strftime(r.cutoff, '%Y%m%d%H%M%S%f') AS attributed_conversion_id,
     r.kind AS conversion_type,
     CASE WHEN r.scope = 'saas' THEN r.subject END AS organization_id,
     CASE WHEN r.scope = 'commerce' THEN r.subject END AS consumer_id,

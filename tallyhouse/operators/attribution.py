@@ -203,7 +203,7 @@ def attribute(
         return F.when(won, F.col(f"touch.{column}"))
 
     return rows.select(
-        F.concat_ws(":", "conversion_type", "fact_key", F.date_format("source_data_cutoff_at", "yyyyMMddHHmmss"))
+        F.concat_ws(":", "conversion_type", "fact_key", F.date_format("source_data_cutoff_at", "yyyyMMddHHmmssSSSSSS"))
         .alias("attributed_conversion_id"),
         "conversion_type",
         F.when(F.col("scope") == "saas", F.col("subject_id")).alias("organization_id"),
@@ -228,7 +228,10 @@ def attribute(
 
 def append_results(existing: DataFrame, computed: DataFrame) -> DataFrame:
     """Only the results whose (type, fact, model, cutoff) is not stored yet: never overwrite."""
-    return computed.join(existing.select("attributed_conversion_id"), "attributed_conversion_id", "left_anti")
+    key = ("conversion_type", *_FACT_IDS, "model_version", "source_data_cutoff_at")
+    stored = existing.select(*[F.col(c).alias(f"_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return computed.join(stored, same, "left_anti")
 
 
 RESULT_ORDER = ("source_data_cutoff_at", "recorded_at", "attributed_conversion_id")

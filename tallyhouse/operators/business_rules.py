@@ -7,9 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyhouse.functions.calendar import Params, instant
-from tallyhouse.functions.money import monthly_amount
 from tallyhouse.operators.asof import previous_row
 from tallyhouse.operators.attribution import (
     ALL_TYPES,
@@ -75,9 +75,13 @@ def recorded_after_cutoff(t: TablesMap, p: Params) -> DataFrame:
 
 
 def overlapping_assignments(t: TablesMap, p: Params) -> DataFrame:
-    """A merchant's assignment starts before the previous one has ended."""
+    """A merchant's assignment starts before the previous one has ended; equal starts are ordered by id.
+
+    The window holds one merchant's assignments, a short history by definition.
+    """
     table = t["merchant"].select("merchant_assignment_id", "merchant_id", "assignment_valid_from", "assignment_valid_to")
-    chained = previous_row(table, ["merchant_id"], "assignment_valid_from", ["merchant_assignment_id", "assignment_valid_to"])
+    in_order = Window.partitionBy("merchant_id").orderBy("assignment_valid_from", "merchant_assignment_id")
+    chained = table.withColumn("previous", F.lag(F.struct("merchant_assignment_id", "assignment_valid_to")).over(in_order))
     end = F.col("previous.assignment_valid_to")
     broken = F.col("previous").isNotNull() & (end.isNull() | (F.col("assignment_valid_from") < end))
     return _ids(chained.filter(broken), "merchant_assignment_id")
@@ -96,8 +100,9 @@ def wrong_movement(t: TablesMap, p: Params) -> DataFrame:
 def wrong_normalization(t: TablesMap, p: Params) -> DataFrame:
     def wrong(side: str) -> Column:
         interval = F.col(f"billing_interval_{side}")
-        expected = monthly_amount(F.col(f"recurring_amount_{side}"), interval)
-        return interval.isNotNull() & (F.col(f"normalized_mrr_{side}") != expected)
+        # compared as twelve months, so that nothing is rounded
+        months = F.when(interval == "monthly", F.lit(1)).otherwise(F.lit(12))
+        return interval.isNotNull() & (F.col(f"normalized_mrr_{side}") * months != F.col(f"recurring_amount_{side}"))
 
     return _ids(t["subscription_state_event"].filter(wrong("before") | wrong("after")), "subscription_state_event_id")
 
@@ -161,10 +166,9 @@ def spend_version_gap(t: TablesMap, p: Params) -> DataFrame:
     """Versions of a campaign day are not exactly 1..n, told from aggregates only."""
     chains = t["campaign_daily_spend"].groupBy("marketing_campaign_id", "business_date").agg(
         F.count(F.lit(1)).alias("n"), F.min("version_number").alias("low"), F.max("version_number").alias("high"),
-        F.sum(F.col("version_number").cast("long")).alias("whole"),
+        F.count_distinct("version_number").alias("versions"),
     )
-    # n versions from 1 to n add up to n(n+1)/2 in every gap-free chain; DISTINCT is the unique rule's
-    broken = chains.filter("low <> 1 OR high <> n OR 2 * whole <> n * (n + 1)")
+    broken = chains.filter("low <> 1 OR high <> n OR versions <> n")
     return broken.select(F.concat_ws("/", "marketing_campaign_id", "business_date").alias("record_id"))
 
 

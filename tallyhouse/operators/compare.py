@@ -70,7 +70,9 @@ def decode(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
         "integer": (r"^-?[0-9]+$", "bigint"),
         "boolean": (r"^(true|false)$", "boolean"),
         "datetime": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}$", "timestamp_ntz"),
-        "decimal": (r"^-?[0-9]+(\.[0-9]+)?$", "decimal(38,4)"),
+        # more digits than the declared scale fail instead of being rounded away
+        **{name: (rf"^-?[0-9]+(\.[0-9]{{1,{scale}}})?$", f"decimal(38,{scale})")
+           for name, scale in [("decimal", 4), *[(f"decimal:{k}", k) for k in range(1, 19)]]},
     }
     if set(kinds) != set(df.columns):
         raise ValueError("declared kinds do not match the columns")

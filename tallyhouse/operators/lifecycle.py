@@ -25,10 +25,16 @@ def ambiguous_match_keys(df: DataFrame, match: Sequence[str]) -> DataFrame:
     return df.groupBy(*match).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
 
 
+def _same_key(match: Sequence[str]) -> Column:
+    """A NULL in a match column equals a NULL; Spark hashes this form like a plain equi join."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in match])
+
+
 def _beside(source: DataFrame, stored: DataFrame, match: Sequence[str], how: str) -> DataFrame:
     wanted = source.select(*match, F.struct(*source.columns).alias("source"))
-    kept = stored.select(*match, F.struct(*source.columns).alias("stored"))
-    return wanted.join(kept, list(match), how)
+    kept = stored.select(*[F.col(c).alias(f"_{c}") for c in match], F.struct(*source.columns).alias("stored"))
+    joined = wanted.join(kept, _same_key(match), how)
+    return joined.select(*[F.coalesce(c, f"_{c}").alias(c) for c in match], "source", "stored")
 
 
 def _equal(source: DataFrame) -> Column:
@@ -37,7 +43,7 @@ def _equal(source: DataFrame) -> Column:
 
 def new_rows(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFrame:
     """Source rows whose match key is not stored yet: what a load appends."""
-    return source.join(stored.select(*match), list(match), "left_anti")
+    return source.join(stored.select(*[F.col(c).alias(f"_{c}") for c in match]), _same_key(match), "left_anti")
 
 
 def conflicts(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFrame:
@@ -67,8 +73,8 @@ def verify(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFr
 
 def unload(source: DataFrame, stored: DataFrame, match: Sequence[str]) -> DataFrame:
     """Stored rows that remain once the exactly owned ones are taken out; match keys are unique in the source."""
-    wanted = source.select(*match, F.struct(*source.columns).alias("source"))
-    beside = stored.withColumn("stored", F.struct(*source.columns)).join(wanted, list(match), "left")
+    wanted = source.select(*[F.col(c).alias(f"_{c}") for c in match], F.struct(*source.columns).alias("source"))
+    beside = stored.withColumn("stored", F.struct(*source.columns)).join(wanted, _same_key(match), "left")
     return beside.filter(F.col("source").isNull() | ~_equal(source)).select(*stored.columns)
 
 
@@ -84,21 +90,26 @@ def count_differences(t: TablesMap, expected: DataFrame) -> DataFrame:
 
 
 def load_tables(source: TablesMap, root: str, match: Mapping[str, Sequence[str]], order: Sequence[str]) -> None:
-    """Append the missing rows of each table in order; any conflict stops before writing it.
+    """Append the missing rows of each table in order, after every table has passed every check.
 
-    Loading the same source again appends nothing.
+    Loading the same source again appends nothing. A crash between two writes leaves the tables before it
+    complete and those behind it untouched; loading again completes them.
     """
-    for name in order:
-        stored = _stored(source[name], f"{root}/{name}")
+    found = {name: _stored(source[name], f"{root}/{name}") for name in order}
+    for name, stored in found.items():
         keys = list(match[name])
         if not ambiguous_match_keys(source[name], keys).isEmpty():
             raise ValueError(f"{name}: a match key is not unique in the source")
         if stored is None:
-            source[name].write.mode("append").parquet(f"{root}/{name}")
             continue
+        wanted = source[name].select(*[F.col(c).alias(f"_{c}") for c in keys])
+        if not ambiguous_match_keys(stored.join(wanted, _same_key(keys), "left_semi"), keys).isEmpty():
+            raise ValueError(f"{name}: a match key is stored more than once")
         if not conflicts(source[name], stored, keys).isEmpty():
             raise ValueError(f"{name}: a stored row differs from the source")
-        new_rows(source[name], stored, keys).write.mode("append").parquet(f"{root}/{name}")
+    for name, stored in found.items():
+        missing = source[name] if stored is None else new_rows(source[name], stored, list(match[name]))
+        missing.write.mode("append").parquet(f"{root}/{name}")
 
 
 def verify_tables(source: TablesMap, root: str, match: Mapping[str, Sequence[str]], order: Sequence[str]) -> DataFrame:
@@ -111,12 +122,20 @@ def verify_tables(source: TablesMap, root: str, match: Mapping[str, Sequence[str
     return stack(*found).groupBy("table_name", "problem").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def unload_tables(source: TablesMap, root: str, target: str, match: Mapping[str, Sequence[str]], order: Sequence[str]) -> None:
-    """Write what remains, in reverse table order, to another folder; the input is left as it is."""
+def unload_tables(source: TablesMap, root: str, target: str, match: Mapping[str, Sequence[str]], order: Sequence[str],
+                  strict: bool = True) -> None:
+    """Write what remains, in reverse table order, to another folder; the input is left as it is.
+
+    Unless `strict` is off, an owned row that is missing or changed in the store fails the job before anything is written.
+    """
     if target.rstrip("/") == root.rstrip("/"):
         raise ValueError("the remaining rows need a folder of their own")
-    for name in reversed(order):
-        stored = _stored(source[name], f"{root}/{name}")
+    found = {name: _stored(source[name], f"{root}/{name}") for name in reversed(order)}
+    for name, stored in found.items():
+        kept = source[name].limit(0) if stored is None else stored
+        if strict and not verify(source[name], kept, list(match[name])).filter("problem <> 'excess'").isEmpty():
+            raise ValueError(f"{name}: an owned row is missing or changed")
+    for name, stored in found.items():
         if stored is not None:
             unload(source[name], stored, list(match[name])).write.parquet(f"{target}/{name}")
 
@@ -129,9 +148,12 @@ def _stored(like: DataFrame, path: str) -> DataFrame | None:
 
 
 def write_results(results: Mapping[str, DataFrame], path: str) -> None:
-    """Results as JSON lines (case_id, columns, row) in one folder per case."""
+    """Results as JSON lines (case_id, columns, row) in one folder per case: decimals as text, times to the microsecond."""
     for case_id, df in sorted(results.items()):
-        row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        exact = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema]
+        row = F.to_json(F.struct(*exact), {
+            "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+            "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
         df.select(F.lit(",".join(df.columns)).alias("columns"), row.alias("row")).write.mode("overwrite").json(
             f"{path}/case_id={case_id}"
         )
