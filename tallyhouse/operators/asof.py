@@ -1,30 +1,26 @@
 """Last event at or before a probe, per key, without an unbounded group.
 
-A running `last` over (key, time) finds the event in linear time, but puts a whole key into one
-task. Keys above a size limit therefore take a second way: their rows are partitioned by
-(key, second), the seconds are summarised per day and the days per key. Each of these groups
-is bounded by the calendar, so even a key with a third of all rows spreads over the cluster.
-Both ways give the same rows.
-
-The prepared rows are written once to the shared folder: the size check and both ways read that
-slim table instead of repeating the joins that led to it, and a lost executor costs no more
-than its own tasks.
+A running `last` over (key, time) would put a whole key into one task. Instead time is cut into
+cells that the calendar bounds, for every key alike:
+
+1. events are cut to one row per (key, instant), combined before the shuffle;
+2. a running last over the instants of a (key, second): at most a million;
+3. one over the seconds of a (key, day), and one over the days of a key, carry earlier events on;
+4. probes are joined back by (key, instant), where the other side is unique, so that adaptive
+   execution may split a hot key.
+
+Nothing is counted or written while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from uuid import uuid4
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.session import shared_dir
-
-HOT_KEY_ROWS = 1_000_000
-# a key is only called hot above this share of all rows too, so at most that many keys can be hot
-HOT_KEY_SHARE = 100_000
-
 
 def last_before(
     probes: DataFrame,
@@ -35,105 +31,67 @@ def last_before(
     tiebreak: Sequence[str],
     picks: Mapping[str, Column | None],
     inclusive: bool = True,
-    hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Probes with one struct column per pick: the last event that meets the pick's condition.
 
     `tiebreak` orders events of one instant, the greatest wins. A pick condition of None means
-    every event. With `inclusive`, an event at the probe's own instant counts.
+    every event. With `inclusive`, an event at the probe's own instant counts. NULL keys equal
+    each other; an event without an instant never counts, a probe without one finds nothing.
     """
-    probe_rank, event_rank = (1, 0) if inclusive else (0, 1)
-    event_rows = events.select(
-        *keys,
-        F.col(event_ts).alias("__ts"),
-        F.lit(event_rank).alias("__rank"),
+    names = list(picks)
+    cell = [f"__k{i}" for i in range(len(keys))]
+
+    def keyed(df: DataFrame, ts: str, *more: Column) -> DataFrame:
+        own = [F.col(k).alias(c) for k, c in zip(keys, cell, strict=True)]
+        return df.filter(F.col(ts).isNotNull()).select(*own, F.col(ts).alias("__ts"), *more)
+
+    event_rows = keyed(
+        events, event_ts,
         F.struct(*(tiebreak or [F.lit(0).alias("none")])).alias("__tie"),
         F.struct(*events.columns).alias("__event"),
-        *[(F.lit(True) if c is None else c).alias(name) for name, c in picks.items()],
+        *[(F.lit(True) if c is None else c).alias(f"__is_{n}") for n, c in picks.items()],
     )
-    probe_rows = probes.select(
-        *keys,
-        F.col(probe_ts).alias("__ts"),
-        F.lit(probe_rank).alias("__rank"),
-        F.struct(*probes.columns).alias("__probe"),
+    rows = event_rows.unionByName(keyed(probes, probe_ts, F.lit(True).alias("__asked")), allowMissingColumns=True)
+    instants = (
+        rows.groupBy(*cell, "__ts")
+        .agg(F.max("__asked").alias("__asked"),
+             *[F.max_by("__event", F.when(F.col(f"__is_{n}"), F.col("__tie"))).alias(n) for n in names])
+        .withColumn("__second", F.date_trunc("second", "__ts"))
     )
-    rows = stage(event_rows.unionByName(probe_rows, allowMissingColumns=True))
-    names = list(picks)
-    hot = _hot_keys(rows, keys, hot_key_rows)
-    if hot.isEmpty():
-        resolved = _running_last(rows, keys, names)
-    else:
-        hot = F.broadcast(hot)  # fewer than HOT_KEY_SHARE keys, see below
-        tame = _running_last(rows.join(hot, list(keys), "left_anti"), keys, names)
-        resolved = tame.unionByName(_spread_last(rows.join(hot, list(keys), "left_semi"), keys, names))
-    return resolved.select("__probe.*", *names)
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """The frame as a table written to the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = _running_last(instants, cell, names, inclusive)
+    same = [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, cell, strict=True)]
+    joined = probes.join(found, reduce(and_, [*same, F.col(probe_ts) == F.col("__ts")]), "left")
+    return joined.select(*[probes[c] for c in probes.columns], *names)
 
 
-def _hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    overall = rows.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(
-        (F.col("__n") > limit) & (F.col("__n") > overall / HOT_KEY_SHARE)
-    ).select(*keys)
+def _running_last(instants: DataFrame, keys: Sequence[str], names: Sequence[str], inclusive: bool) -> DataFrame:
+    """(keys, __ts, picks) of the asked instants: the last event up to each."""
+    def carried(groups: Sequence[str], order: str, past: int) -> list[Column]:
+        upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, past)
+        return [F.last(n, ignorenulls=True).over(upto).alias(n) for n in names]
 
+    def final(df: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+        return df.groupBy(*groups).agg(
+            *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in names])
 
-def _order() -> list[Column]:
-    return [F.col("__ts"), F.col("__rank"), F.col("__tie")]
+    second, day = [*keys, "__second"], [*keys, "__day"]
+    within_second = instants.select(*second, "__ts", "__asked", *carried(second, "__ts", 0 if inclusive else -1))
+    seconds = final(instants, second, "__ts").withColumn("__day", F.date_trunc("day", "__second"))
+    within_day = seconds.select(*second, "__day", *carried(day, "__second", -1))
+    within_key = final(seconds, day, "__second").select(*day, *carried(keys, "__day", -1))
+    earlier = _fallback(within_day, within_key, day, names)
+    return _fallback(within_second.filter("__asked"), earlier, second, names).select(*keys, "__ts", *names)
 
 
-def _last_event(name: str) -> Column:
-    """The event of the last row flagged for this pick."""
-    return F.last(F.when(F.col(name), F.col("__event")), ignorenulls=True)
-
-
-def _running_last(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    upto = Window.partitionBy(*keys).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumns({n: _last_event(n).over(upto) for n in names})
-    return filled.filter(F.col("__probe").isNotNull()).select("__probe", *names)
-
-
-def _spread_last(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    cell, day = [*keys, "__second"], [*keys, "__day"]
-    rows = rows.withColumn("__second", F.date_trunc("second", "__ts"))
-    upto = Window.partitionBy(*cell).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumns({n: _last_event(n).over(upto) for n in names})
-
-    # one row per (key, second): its last events; then what earlier seconds and days carry over
-    final = F.struct(*_order())
-    seconds = inside.groupBy(*cell).agg(
-        *[F.max_by(n, F.when(F.col(n).isNotNull(), final)).alias(n) for n in names]
-    ).withColumn("__day", F.date_trunc("day", "__second"))
-    earlier_seconds = Window.partitionBy(*day).orderBy("__second").rowsBetween(Window.unboundedPreceding, -1)
-    within_day = seconds.select(
-        *cell, "__day", *[F.last(n, ignorenulls=True).over(earlier_seconds).alias(f"__d_{n}") for n in names]
-    )
-    days = seconds.groupBy(*day).agg(
-        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__second"))).alias(n) for n in names]
-    )
-    earlier_days = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    across_days = days.select(
-        *day, *[F.last(n, ignorenulls=True).over(earlier_days).alias(f"__k_{n}") for n in names]
-    )
-    carried = within_day.join(across_days, day).select(
-        *cell, *[F.coalesce(f"__d_{n}", f"__k_{n}").alias(f"__c_{n}") for n in names]
-    )
-    return (
-        inside.filter(F.col("__probe").isNotNull())
-        .join(carried, cell)
-        .select("__probe", *[F.coalesce(n, f"__c_{n}").alias(n) for n in names])
-    )
+def _fallback(rows: DataFrame, coarse: DataFrame, on: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The rows, with a missing pick taken from the coarser cell they lie in."""
+    cells = coarse.select(*[F.col(c).alias(f"{c}_c") for c in on], *[F.col(n).alias(f"__c_{n}") for n in names])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_c")) for c in on])
+    kept = [c for c in rows.columns if c not in names]
+    return rows.join(cells, same, "left").select(*kept, *[F.coalesce(n, f"__c_{n}").alias(n) for n in names])
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str],
-                 hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def previous_row(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
     """Each row with the struct `previous` of the last row strictly earlier, per key."""
     slim = df.select(*dict.fromkeys([*keys, ts, *columns]))
-    return last_before(df, slim, keys, ts, ts, [], {"previous": None}, inclusive=False,
-                       hot_key_rows=hot_key_rows)
+    return last_before(df, slim, keys, ts, ts, [], {"previous": None}, inclusive=False)

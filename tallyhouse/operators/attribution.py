@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import instant
-from tallyhouse.operators.asof import HOT_KEY_ROWS, last_before, stage
+from tallyhouse.operators.asof import last_before
 from tallyhouse.operators.blocks import earliest, real, stack, valid_at
 
 # Fixed values of the attribution model.
@@ -68,8 +68,6 @@ def conversions(t: Mapping[str, DataFrame], types: Sequence[str] = ALL_TYPES) ->
             .join(t["subscription"].select("subscription_id", "organization_id"), "subscription_id")
         )
         paid = _conversion(paid, "invoice_payment_attempt_id", "succeeded_at", "saas", F.col("organization_id"))
-        if set(SAAS_TYPES) <= set(types):
-            paid = stage(paid)  # both types read it: the joins above run once
         parts += [_typed(_first_only(paid), "saas_first_payment")] if "saas_first_payment" in types else []
         parts += [_typed(paid, "saas_revenue")] if "saas_revenue" in types else []
     if set(types) & set(ORDER_TYPES):
@@ -147,7 +145,6 @@ def attribute(
     cutoffs: Sequence[datetime],
     history_start: datetime,
     types: Sequence[str] = ALL_TYPES,
-    hot_key_rows: int = HOT_KEY_ROWS,
     since: datetime | None = None,
 ) -> DataFrame:
     """Attribution results, one row per conversion and cutoff not before it.
@@ -170,7 +167,7 @@ def attribute(
     picks = {f"touch_{i}": F.col("known_at") <= instant(cutoff) for i, cutoff in enumerate(cutoffs)}
     resolved = last_before(
         found, touches, ["scope", "subject_id"], "conversion_at", "occurred_at",
-        ["source_event_id"], picks, hot_key_rows=hot_key_rows,
+        ["source_event_id"], picks,
     )
     per_cutoff = F.array(
         *[

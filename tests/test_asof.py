@@ -1,4 +1,4 @@
-"""Both ways of the as-of operator against brute force, with ties and one dominant key."""
+"""The as-of operator against brute force, with ties, one dominant key, NULL keys and NULL instants."""
 
 from __future__ import annotations
 
@@ -37,20 +37,36 @@ def expected(events, probes, inclusive, known_only):
     return sorted(found)
 
 
-@pytest.mark.parametrize("hot_key_rows", [10**6, 20, 0])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_last_before_equals_brute_force(spark, hot_key_rows, inclusive):
+def test_last_before_equals_brute_force(spark, inclusive):
     events, probes = data(7)
     e = spark.createDataFrame(events, "k int, ets timestamp_ntz, name string, known boolean")
     p = spark.createDataFrame(probes, "k int, pts timestamp_ntz, n int")
-    got = last_before(p, e, ["k"], "pts", "ets", ["name"], {"any": None, "known": F.col("known")}, inclusive, hot_key_rows)
+    got = last_before(p, e, ["k"], "pts", "ets", ["name"], {"any": None, "known": F.col("known")}, inclusive)
     rows = got.select("n", "any.name", F.col("known.name").alias("known")).collect()
     assert sorted((r[0], r[1]) for r in rows) == expected(events, probes, inclusive, False)
     assert sorted((r[0], r[2]) for r in rows) == expected(events, probes, inclusive, True)
 
 
-@pytest.mark.parametrize("hot_key_rows", [10**6, 0])
-def test_previous_row(spark, hot_key_rows):
+def test_previous_row(spark):
     df = spark.createDataFrame([(1, START, "a"), (1, START + timedelta(days=2), "b"), (1, START + timedelta(days=9), "c"), (2, START, "d")], "k int, ts timestamp_ntz, v string")
-    got = previous_row(df, ["k"], "ts", ["v"], hot_key_rows).select("v", "previous.v").collect()
+    got = previous_row(df, ["k"], "ts", ["v"]).select("v", "previous.v").collect()
     assert sorted(map(tuple, got)) == [("a", None), ("b", "a"), ("c", "b"), ("d", None)]
+
+
+@pytest.mark.parametrize("instants", [1, 100_000])
+def test_one_key_with_many_rows(spark, instants):
+    ids = spark.range(100_000)
+    events = ids.select(F.lit(1).alias("k"), (F.lit(START) + F.make_dt_interval(secs=F.col("id") % instants)).alias("ets"), F.col("id").alias("e"))
+    probes = ids.select(F.lit(1).alias("k"), (F.lit(START) + F.make_dt_interval(secs=F.col("id"))).alias("pts"), F.col("id").alias("n"))
+    got = last_before(probes, events, ["k"], "pts", "ets", ["e"], {"hit": None})
+    wrong = got.filter(~F.col("hit.e").eqNullSafe(F.col("n") if instants > 1 else F.lit(99_999)))
+    assert got.count() == 100_000 and wrong.count() == 0
+
+
+def test_null_keys_and_instants(spark):
+    events = spark.createDataFrame([(None, START, "a"), (1, None, "b")], "k int, ts timestamp_ntz, v string")
+    probes = spark.createDataFrame([(None, START, 1), (1, START, 2), (None, None, 3)], "k int, ts timestamp_ntz, n int")
+    got = last_before(probes, events, ["k"], "ts", "ts", ["v"], {"hit": None})
+    assert got.columns == ["k", "ts", "n", "hit"]
+    assert sorted((r.n, r.hit and r.hit.v) for r in got.collect()) == [(1, "a"), (2, None), (3, None)]

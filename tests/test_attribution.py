@@ -40,7 +40,6 @@ def test_tie_goes_to_the_greatest_source_id_by_bytes(spark):
         touch(3, tied, organization_id=1, source_event_id="x-B"),
     ]
     assert outcome(spark, rows)[1] == 2
-    assert outcome(spark, rows, hot_key_rows=0)[1] == 2
 
 
 def test_late_touch_wins_only_at_the_later_cutoff(spark):
