@@ -235,16 +235,23 @@ RESULT_ORDER = ("source_data_cutoff_at", "recorded_at", "attributed_conversion_i
 
 
 def latest_results(results: DataFrame, cutoff: datetime, types: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The newest visible non-test result per conversion."""
+    """The newest visible non-test result per conversion.
+
+    All results of a conversion carry its fact's own instant (quality rule on facts), so `conversion_at`
+    is part of the key: a period filter on the outcome reaches the scan.
+    """
     known = (
         real(results)
         .filter(F.col("conversion_type").isin(*types))
         .filter((F.col("source_data_cutoff_at") <= instant(cutoff)) & (F.col("recorded_at") <= instant(cutoff)))
     )
     facts = sorted({_fact_of(kind) for kind in types})
-    keys = ["conversion_type", *facts]
+    keys = ["conversion_type", *facts, "conversion_at"]
     best = F.max_by(F.struct(*[c for c in columns if c not in keys]), F.struct(*RESULT_ORDER))
-    return known.groupBy(*keys).agg(best.alias("__r")).select(*keys, "__r.*")
+    found = known.groupBy(*keys).agg(best.alias("__r"))
+    named = ["conversion_type", *facts]
+    rest = [c for c in columns if c not in named]
+    return found.select(*named, *[F.col(c if c in keys else f"__r.{c}").alias(c) for c in rest])
 
 
 def _fact_of(kind: str) -> str:
