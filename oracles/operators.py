@@ -222,7 +222,7 @@ USING (commerce_refund_id) WHERE COALESCE(a.v, 0) <> r.item_refund_amount"""})),
     }), attribution=True),
     "dq_visibility": query(_ALL, ", " + _FAULTY.strip() + " " + _report({
         "recorded_after_cutoff": "SELECT SUM(n) FROM (" + " UNION ALL ".join(
-            f"SELECT COUNT(*) AS n FROM {name} WHERE recorded_at > @cutoff" for name in _ALL) + ")",
+            f"SELECT COUNT(*) AS n FROM {_table(name)} WHERE recorded_at > @cutoff" for name in SCHEMAS) + ")",
         "tables_without_test_rows": "SELECT COUNT(*) FROM (" + " UNION ALL ".join(
             f"SELECT COALESCE(BOOL_OR(is_test), FALSE) AS t FROM {_table(name)}" for name in SCHEMAS) + ") WHERE NOT t",
     }), attribution=True),
@@ -282,11 +282,27 @@ def _cell(kind: str, text: str, nullable: bool = False) -> str:
     return f"'{{\"kind\":\"' || {label} || '\",\"text\":' || {shown} || '}}'"
 
 
+_STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
 _CELLS = " || ',' || ".join([
-    _cell("string", "external_order_id"), _cell("integer", "CAST(merchant_assignment_id AS VARCHAR)"), _cell("string", "status"),
-    _cell("datetime", "strftime(completed_at, '%Y-%m-%dT%H:%M:%S.%f')", True),
+    *[_cell(kind, text.format(name), nullable) for name, kind, text, nullable in [
+        ("commerce_order_id", "integer", "CAST({} AS VARCHAR)", False),
+        ("external_order_id", "string", "{}", False),
+        ("consumer_id", "integer", "CAST({} AS VARCHAR)", False),
+        ("merchant_assignment_id", "integer", "CAST({} AS VARCHAR)", False),
+        ("status", "string", "{}", False),
+        ("currency_code", "string", "{}", False),
+        ("created_at", "datetime", _STAMP, False),
+        ("first_paid_at", "datetime", _STAMP, True),
+        ("fulfilled_at", "datetime", _STAMP, True),
+        ("completed_at", "datetime", _STAMP, True),
+        ("cancelled_at", "datetime", _STAMP, True),
+        ("is_test", "boolean", "CASE WHEN {} THEN 'true' ELSE 'false' END", False),
+        ("recorded_at", "datetime", _STAMP, False),
+        ("updated_at", "datetime", _STAMP, False),
+    ]],
 ])
+_NAMES = "commerce_order_id,external_order_id,consumer_id,merchant_assignment_id,status,currency_code,created_at,first_paid_at,fulfilled_at,completed_at,cancelled_at,is_test,recorded_at,updated_at"
 _PARTS = ", ".join(f"SUM(CAST('0x' || substr(x, {1 + 12 * i}, 12) AS BIGINT)) AS s{i}" for i in range(4))
 OPERATORS["table_digest"] = query(["commerce_order"], f"""
-SELECT n AS row_count, sha256(concat_ws('|', 'external_order_id,merchant_assignment_id,status,completed_at', n, s0, s1, s2, s3)) AS content_digest
+SELECT n AS row_count, sha256(concat_ws('|', '{_NAMES}', n, s0, s1, s2, s3)) AS content_digest
 FROM (SELECT COUNT(*) AS n, {_PARTS} FROM (SELECT sha256('{{"row":[' || {_CELLS} || ']}}') AS x FROM commerce_order))""")

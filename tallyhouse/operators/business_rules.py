@@ -69,7 +69,7 @@ def text_cells(df: DataFrame, key: str) -> DataFrame:
 def recorded_after_cutoff(t: TablesMap, p: Params) -> DataFrame:
     late = [
         _ids(t[table].filter(F.col("recorded_at") > instant(p.snapshot_cutoff)), primary_key(table))
-        for table in SCHEMAS if table != "attributed_conversion"
+        for table in SCHEMAS
     ]
     return stack(*late)
 
@@ -268,12 +268,19 @@ def conversion_times_wrong(t: TablesMap, p: Params) -> DataFrame:
 
 
 def attribution_differs(t: TablesMap, p: Params, cutoffs: list[datetime]) -> DataFrame:
-    """Stored results that a fresh run at the same cutoffs does not give."""
+    """Stored results that a fresh run at the row's own cutoff does not give.
+
+    Rows meet by type, fact and cutoff, so the ids of a stored dataset may have any form; a row at
+    a cutoff that is not listed counts as different.
+    """
     fresh = attribute(t, cutoffs, p.history_start)
     compared = ["attribution_result", "reason_code", "selected_marketing_touch_id", "marketing_channel_id", "marketing_campaign_id"]
-    expected = fresh.select("attributed_conversion_id", F.struct(*compared).alias("expected"))
-    stored = t["attributed_conversion"].select("attributed_conversion_id", F.struct(*compared).alias("stored"))
-    joined = stored.join(expected, "attributed_conversion_id", "left")
+    keys = ["conversion_type", "fact", "source_data_cutoff_at"]
+    expected = fresh.withColumn("fact", _fact_id()).select(*keys, F.struct(*compared).alias("expected"))
+    stored = t["attributed_conversion"].withColumn("fact", _fact_id()).select(
+        "attributed_conversion_id", *keys, F.struct(*compared).alias("stored")
+    )
+    joined = stored.join(expected, keys, "left")
     return _ids(joined.filter(~F.col("stored").eqNullSafe(F.col("expected"))), "attributed_conversion_id")
 
 

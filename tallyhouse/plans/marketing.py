@@ -245,12 +245,18 @@ def attribution_boundary_cases(t: TablesMap, p: Params) -> DataFrame:
     ranked = ranked.withColumn("boundary_case", case).filter("boundary_case IS NOT NULL").withColumn(
         "business_scope", F.when(F.col("organization_id").isNotNull(), "saas").otherwise("commerce")
     )
-    named = (
-        ranked.join(t["invoice_payment_attempt"].select("invoice_payment_attempt_id", "external_payment_attempt_id"), "invoice_payment_attempt_id", "left")
-        .join(t["commerce_order"].select("commerce_order_id", "external_order_id"), "commerce_order_id", "left")
-        .join(t["platform_fee_charge"].select("platform_fee_charge_id", "external_fee_charge_id"), "platform_fee_charge_id", "left")
-        .withColumn("authoritative_external_id", F.coalesce("external_payment_attempt_id", "external_order_id", "external_fee_charge_id"))
-    )
+    # a result has one fact: a single join on (kind, id) instead of three on mostly NULL ids
+    facts = [
+        ("invoice_payment_attempt", "invoice_payment_attempt_id", "external_payment_attempt_id"),
+        ("commerce_order", "commerce_order_id", "external_order_id"),
+        ("platform_fee_charge", "platform_fee_charge_id", "external_fee_charge_id"),
+    ]
+    external = stack(*[
+        t[table].select(F.lit(table).alias("fact_kind"), F.col(key).alias("fact_id"), F.col(name).alias("authoritative_external_id"))
+        for table, key, name in facts
+    ])
+    kind = F.coalesce(*[F.when(F.col(key).isNotNull(), table) for table, key, _ in facts])
+    named = ranked.withColumns({"fact_kind": kind, "fact_id": fact}).join(external, ["fact_kind", "fact_id"], "left")
     kept = [
         "conversion_type", "authoritative_external_id", "conversion_at", "attribution_result", "reason_code",
         "selected_marketing_touch_id", "marketing_campaign_id", "channel_code", "channel_status",

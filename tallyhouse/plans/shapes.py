@@ -126,12 +126,14 @@ def _faulty_results(results: DataFrame) -> DataFrame:
 
 
 class _WithFaults(dict):
+    """The tables, with faulty results in place of the stored ones once a rule asks for them."""
+
     def __init__(self, t: TablesMap) -> None:
-        super().__init__(attributed_conversion=_faulty_results(t["attributed_conversion"]))
+        super().__init__()
         self._t = t
 
     def __missing__(self, name: str) -> DataFrame:
-        return self._t[name]
+        return _faulty_results(self._t[name]) if name == "attributed_conversion" else self._t[name]
 
 
 def dq_checks(t: TablesMap, p: Params) -> DataFrame:
@@ -231,12 +233,8 @@ def ambiguous_match_keys(t: TablesMap, p: Params) -> DataFrame:
     return lifecycle.ambiguous_match_keys(t["marketing_touch"], ["organization_id", "marketing_channel_id"])
 
 
-def _order_results(t: TablesMap) -> DataFrame:
-    return t["commerce_order"].select("external_order_id", "merchant_assignment_id", "status", "completed_at")
-
-
 def _variants(t: TablesMap) -> dict[str, DataFrame]:
-    base = _order_results(t)
+    base = t["commerce_order"]
     merchant, done = F.col("merchant_assignment_id"), F.col("completed_at")
     return {
         "same": base,
@@ -251,7 +249,7 @@ def _variants(t: TablesMap) -> dict[str, DataFrame]:
 
 
 def _compared(t: TablesMap, order_by) -> DataFrame:
-    base = _order_results(t)
+    base = t["commerce_order"]
     return stack(*[
         compare(variant, base, order_by).select(F.lit(name).alias("variant"), "matches", "failure_code")
         for name, variant in _variants(t).items()
@@ -267,7 +265,7 @@ def compare_ordered(t: TablesMap, p: Params) -> DataFrame:
 
 
 def table_digest(t: TablesMap, p: Params) -> DataFrame:
-    return digest(_order_results(t))
+    return digest(t["commerce_order"])
 
 
 def _case_digests(t: TablesMap, p: Params, month: int) -> DataFrame:
@@ -313,6 +311,15 @@ PLAIN = [
     ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, case_delta, case_reviews,
     response_completeness,
 ]
+# rules that never read attribution results
+PLAIN_RULES = {
+    "dq_interval_overlap": dq_interval_overlap,
+    "dq_version_gap": dq_version_gap,
+    "dq_subscription_history": dq_subscription_history,
+    "dq_owner_mismatch": dq_owner_mismatch,
+    "dq_sum_reconcile": dq_sum_reconcile,
+    "dq_touch": dq_touch,
+}
 ATTRIBUTED = {
     "attribution_two_cutoffs": attribution_two_cutoffs,
     "attribution_latest": attribution_latest,
@@ -322,13 +329,7 @@ ATTRIBUTED = {
     "dq_check_rows": dq_check_rows,
     "dq_unique": dq_unique,
     "dq_foreign_key": dq_foreign_key,
-    "dq_interval_overlap": dq_interval_overlap,
-    "dq_version_gap": dq_version_gap,
     "dq_sequence": dq_sequence,
-    "dq_subscription_history": dq_subscription_history,
-    "dq_owner_mismatch": dq_owner_mismatch,
-    "dq_sum_reconcile": dq_sum_reconcile,
-    "dq_touch": dq_touch,
     "dq_conversion": dq_conversion,
     "dq_visibility": dq_visibility,
     "dq_attribution_recheck": dq_attribution_recheck,

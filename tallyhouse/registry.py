@@ -85,5 +85,6 @@ def _attributed_query(plan: Plan) -> Query:
 def queries() -> dict[str, Query]:
     found = {name: _plan_query(plan) for name, plan in PLANS.items()}
     found |= {plan.__name__: _plan_query(plan) for plan in shapes.PLAIN}
+    found |= {name: _plan_query(plan) for name, plan in shapes.PLAIN_RULES.items()}
     found |= {name: _attributed_query(plan) for name, plan in (ATTRIBUTED_PLANS | shapes.ATTRIBUTED).items()}
     return found

@@ -38,10 +38,14 @@ def expected_counts(manifest: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, root: str, files: Sequence[str]) -> DataFrame:
-    """(source_id, table_name, match_columns, record_id, values), values as text."""
+    """(source_id, source_file, table_name, match_columns, record_id, values), values as text.
+
+    A file is one JSON value and so one task; its records are dealt out again right behind the parser.
+    """
     raw = spark.read.schema(_FILE).option("multiLine", True).json([f"{root}/{name}" for name in files])
-    tables = raw.select("source_id", F.inline("tables"))
-    return tables.select("source_id", "table_name", "match_columns", F.inline("records"))
+    tables = raw.select("source_id", F.col("_metadata.file_path").alias("source_file"), F.inline("tables"))
+    records = tables.select("source_id", "source_file", "table_name", "match_columns", F.inline("records"))
+    return records.repartition("table_name", "record_id")
 
 
 def cells(records: DataFrame) -> DataFrame:
@@ -53,10 +57,14 @@ def cells(records: DataFrame) -> DataFrame:
 
 
 def structure_problems(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(problem, detail) of duplicates, unexpected or miscounted tables, missing match columns
-    and references that resolve nowhere."""
+    """(problem, detail) of duplicates, unexpected or miscounted tables, missing match columns, references
+    that resolve nowhere, a source id in two files, and a table order that is not the dataset's tables, each once."""
     twice = records.groupBy("table_name", "record_id").count().filter("count > 1")
     sources = records.select("source_id", "table_name").distinct().groupBy("table_name").count().filter("count > 1")
+    files = records.select("source_id", "source_file").distinct().groupBy("source_id").count().filter("count > 1")
+    listed = manifest.select(F.explode("table_order").alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("times"))
+    found_tables = records.select("table_name").distinct().withColumn("present", F.lit(True))
+    order = listed.join(found_tables, "table_name", "full_outer").filter("NOT (times <=> 1) OR present IS NULL")
     counted = records.groupBy("table_name").agg(F.count(F.lit(1)).alias("found"))
     counts = expected_counts(manifest).join(counted, "table_name", "full_outer").filter(
         ~F.coalesce("row_count", F.lit(-1)).eqNullSafe(F.coalesce("found", F.lit(0)))
@@ -70,6 +78,8 @@ def structure_problems(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return stack(
         collisions.select(F.lit("id_collision").alias("problem"), F.concat_ws(":", "table_name", "id").alias("detail")),
         twice.select(F.lit("duplicate_record").alias("problem"), F.concat_ws(":", "table_name", "record_id").alias("detail")),
+        files.select(F.lit("source_in_two_files").alias("problem"), F.col("source_id").alias("detail")),
+        order.select(F.lit("table_order").alias("problem"), F.col("table_name").alias("detail")),
         sources.select(F.lit("table_in_two_sources").alias("problem"), F.col("table_name").alias("detail")),
         counts.select(F.lit("row_count").alias("problem"), F.col("table_name").alias("detail")),
         unmatched.select(F.lit("missing_match_column").alias("problem"), F.concat_ws(":", "table_name", "record_id").alias("detail")),

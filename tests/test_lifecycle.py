@@ -110,6 +110,10 @@ def test_structure_problems_are_named(spark, tmp_path):
     records = nested.read_records(spark, root, ["identity.json", "identity.json"]).limit(3)
     found = {r["problem"] for r in nested.structure_problems(records, nested.read_manifest(spark, root)).collect()}
     assert {"unresolved_reference"} <= found
+    (tmp_path / "copy.json").write_text((tmp_path / "identity.json").read_text().replace("organization\"", "person\""))
+    both = nested.read_records(spark, root, ["identity.json", "copy.json"])
+    found = {(r["problem"], r["detail"]) for r in nested.structure_problems(both, nested.read_manifest(spark, root)).collect()}
+    assert {("source_in_two_files", "identity"), ("table_order", "person")} <= found
     twice = records.unionByName(records)
     assert {"duplicate_record", "row_count"} <= {r["problem"] for r in nested.structure_problems(twice, nested.read_manifest(spark, root)).collect()}
 
