@@ -6,8 +6,14 @@ texts have it there, and otherwise variable; the line with its variable fields b
 half of its words are constant. A template found in at least `min_texts` different texts is boilerplate: its lines are
 dropped everywhere but in the text that has it first (smallest document id).
 
+A whole line, equal word by word, is boilerplate at far fewer texts, the more words it has the fewer (`WHOLE`). Texts
+whose 5-word shingles have a Jaccard similarity of 0.8 or more count as one there: near copies are a matter of whole
+documents. The similarity is an estimate from the `SKETCH` smallest shingle hashes, exact for texts with no more;
+only texts with a line in question are sketched. At `min_texts` texts nothing is compared, as for templates.
+
 Counting is over different texts, so exact copies of one document never make its lines boilerplate. All
-counts are partial aggregates before a shuffle; no leaf and no template is gathered in one task.
+counts are partial aggregates before a shuffle; no leaf and no template is gathered in one task, and of a line only
+the sketches of fewer than `min_texts` texts. Whole lines are told apart by a 64-bit hash of their words.
 
 Cases: null texts stay null; lines without a word are never dropped; a line repeated in one text counts once there;
 null ids come after all others; texts equal to the first holder keep their lines as well; an empty table gives an
@@ -17,13 +23,24 @@ Texts are told apart by a 128-bit digest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.arrays import blocks, mix, word_hashes
 from tallyhouse.llm.common import bound, cut, words
+from tallyhouse.llm.jaccard import PERCENT, shingle_sets
 
 LEAD = 3
 MIN_TEXTS = 20
+#: (words, texts): a whole line of so many words is boilerplate in so many texts that are no near copies
+WHOLE = ((50, 2), (8, 3), (4, 8))
+SKETCH = 128
+FILTER_BITS = 1 << 24
 FIELD = "<*>"
 
 
@@ -49,14 +66,115 @@ def _recurring(rows: DataFrame, by: str, min_texts: int) -> DataFrame:
     return rows.select(by, "key").distinct().groupBy(by).count().filter(F.col("count") >= min_texts).select(by)
 
 
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, hash of the word sequence, words) of every line with a word."""
+    breaks = np.flatnonzero(data == 0x0A)
+    owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    order = np.lexsort((starts, owner))
+    owner, starts = owner[order], starts[order]
+    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    found, line = word_hashes(data, np.append(starts, len(data)), lower=False)
+    if not len(found):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    counts = np.diff(np.append(first, len(line)))
+    place = np.arange(len(line)) - np.repeat(first, counts)
+    hashes = np.add.reduceat(mix(found + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
+    return owner[line[first]], number[line[first]], mix(hashes + counts.astype(np.uint64)), counts
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least = min(size for size, _ in WHOLE)
+    for batch in batches:
+        for first, _, data, offsets in blocks(batch.column(2)):
+            owner, number, hashes, counts = line_hashes(data, offsets)
+            kept = counts >= least
+            at = pa.array(owner[kept] + first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number[kept], pa.int32()),
+                 pa.array(hashes[kept].view(np.int64)), pa.array(counts[kept], pa.int32())],
+                names=["key", "doc_id", "pos", "line", "size"])
+
+
+def _filter_of(rows: DataFrame) -> Broadcast[np.ndarray]:
+    """A bitmap of `FILTER_BITS` bits with those of all keys set, so that texts need no shuffle to be picked."""
+    at = F.conv(F.substring(F.hex("key"), 1, 12), 16, 10).cast("long") % FILTER_BITS
+    bits = rows.select((at / 64).cast("long").alias("word"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    found[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return rows.sparkSession.sparkContext.broadcast(found)
+
+
+def _sketches_of(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of the texts whose keys are in the filter, and of some others."""
+    for batch in batches:
+        at = np.array([int.from_bytes(key[:6], "big") % FILTER_BITS for key in batch.column(0).to_pylist()], np.int64)
+        batch = batch.filter(pa.array((wanted[at >> 6] >> (at & 63)) & 1 == 1))
+        for first, past, data, offsets in blocks(batch.column(1)):
+            found = [one[:SKETCH].astype(np.uint64).tobytes() for one in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, past - first), pa.array(found, pa.binary())], names=["key", "sketch"])
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sketches, sorted and distinct, stand for texts of the threshold's similarity."""
+    both = np.union1d(a, b)[:SKETCH]
+    shared = np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum()
+    return 100 * int(shared) >= PERCENT * len(both)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of which enough texts are no near copy of a text before them that counts."""
+    for batch in batches:
+        kept = []
+        for line, least, sketches in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            counted: list[np.ndarray] = []
+            for sketch in (np.frombuffer(one, np.uint64) for one in sketches):
+                if len(counted) < least and not any(near(sketch, other) for other in counted):
+                    counted.append(sketch)
+            if len(counted) >= least:
+                kept.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["line"])
+
+
+def _whole_lines(texts: DataFrame, min_texts: int) -> DataFrame:
+    """(key, pos) of the lines to drop as repeated whole lines."""
+    lines = texts.select("key", "doc_id", "text").mapInArrow(_lines_of, "key binary, doc_id long, pos int, line long, size int")
+    digest = F.xxhash64("key")
+    again = lines.groupBy("line").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("line")
+    lines = cut(lines.join(again, "line"))
+    holders = lines.groupBy("line", "key").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
+    least = F.lit(min_texts)
+    for size, count in sorted(WHOLE):
+        least = F.when(F.col("size") >= size, F.lit(min(count, min_texts))).otherwise(least)
+    counted = holders.groupBy("line").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min(
+        F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    counted = cut(counted.select("line", "n", least.alias("least"), F.col("first.key").alias("holder")).filter("n >= least"))
+    few = holders.join(counted.filter(F.col("n") < min_texts).select("line", "least"), "line").select("line", "least", "key", "doc_id")
+    few = cut(few)
+    # the copies of one text are cut to one row before the shuffle
+    wanted = _filter_of(few)
+    sketches = texts.select("key", "text").mapInArrow(lambda batches: _sketches_of(wanted.value, batches), "key binary, sketch binary")
+    sketches = sketches.groupBy("key").agg(F.first("sketch").alias("sketch"))
+    gathered = few.join(sketches, "key").groupBy("line").agg(F.max("least").alias("least"), F.sort_array(F.collect_list(
+        F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sketch"))).alias("held"))
+    apart = gathered.select("line", "least", F.transform("held", lambda h: h["sketch"]).alias("held")).mapInArrow(_apart, "line long")
+    known = counted.select("line", "holder")
+    boilerplate = known.join(counted.filter(F.col("n") >= min_texts).select("line").union(apart), "line", "left_semi")
+    return lines.join(boilerplate, "line").filter("key <> holder").select("key", "pos")
+
+
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(key, positions): the line numbers to drop from each different text."""
     texts = _ids(docs).select(_key(F.col("text")).alias("key"), "doc_id", "text")
+    whole = _whole_lines(texts, min_texts)
     leaves = texts.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words(F.col("line")).alias("w"))
-    leaves = leaves.filter(F.size("w") > 0).select("key", _leaf(F.col("w")).alias("leaf"))
-    frequent = _recurring(leaves, "leaf", min_texts)
+    # one exchange serves both the counts and the join
+    leaves = leaves.filter(F.size("w") > 0).select(_leaf(F.col("w")).alias("leaf"), "key").distinct()
+    frequent = leaves.groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf")
     # only texts that hold a line of a frequent leaf go on
-    marked = leaves.distinct().join(frequent, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves"))
+    marked = leaves.join(frequent, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves"))
     numbered = texts.join(marked, "key").select("key", "doc_id", "leaves", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = cut(
         numbered.withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
@@ -75,6 +193,7 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     first = shaped.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("template", F.col("first.key").alias("holder"))
     gone = shaped.join(boilerplate, "template").join(first, "template").filter("key <> holder")
+    gone = gone.select("key", "pos").union(whole)
     return gone.groupBy("key").agg(F.collect_set("pos").alias("positions"))
 
 

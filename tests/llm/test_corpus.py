@@ -152,6 +152,41 @@ def test_line_templates_equal_brute_force(spark):
     assert line_templates.drop_lines(docs(spark, [])).count() == 0
 
 
+def test_whole_lines_go_at_few_texts(spark):
+    rng = random.Random(12)
+
+    def prose(count):
+        return " ".join(f"w{rng.randint(0, 10**6)}x" for _ in range(count))
+
+    passage, footer, short, table, brief = prose(60), prose(8), prose(4), " ".join(str(k) for k in range(9)), "Read more"
+    texts = [f"{prose(90)}\n{passage}\n{prose(30)}" for _ in range(2)]
+    texts += [f"{prose(90)}\n{prose(7)}\n{footer}\n{table}" for _ in range(3)] + [f"{short}\n{brief}\n{prose(70)}" for _ in range(9)]
+    pair = prose(9)
+    texts += [f"{prose(40)}\n{pair}" for _ in range(2)]
+    whole = [prose(60), prose(55), prose(12)]
+    near = ["\n".join([*whole, f"{prose(2)}"]) for _ in range(6)]
+    texts += [*near, texts[0], None, "", f"{passage}\r\n{footer} and one more", None]
+    out = [r.text for r in line_templates.drop_lines(docs(spark, texts)).orderBy("doc_id").collect()]
+    want = list(texts)
+    want[1] = "\n".join(texts[1].split("\n")[::2])
+    for k in (3, 4):
+        want[k] = "\n".join(texts[k].split("\n")[:2])
+    for k in range(6, 14):
+        want[k] = "\n".join(texts[k].split("\n")[1:])
+    want[-2] = f"{footer} and one more"
+    assert out == want
+
+
+def test_line_hashes_equal_a_plain_loop():
+    texts = ["", "a b\n\n b  a\n", "\n", "", "b a", "a b c\r\na b", "\n\nb a"]
+    data, offsets = arrays.text_bytes(pa.array(texts))
+    got = list(zip(*line_templates.line_hashes(data, offsets), strict=True))
+    want = [(k, n, line.split()) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if line.split()]
+    assert [(k, n, size) for k, n, _, size in got] == [(k, n, len(w)) for k, n, w in want]
+    assert len({h for _, _, h, _ in got}) == len({tuple(w) for _, _, w in want})
+    assert all((a[2] == b[2]) == (x[2] == y[2]) for a, x in zip(got, want, strict=True) for b, y in zip(got, want, strict=True))
+
+
 def test_quality_votes_on_held_out_rows(spark):
     frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality_knn.score(frame, quality_knn.fit(frame, labels)).join(labels, "doc_id").filter("held_out").collect()
