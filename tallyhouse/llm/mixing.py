@@ -10,7 +10,9 @@ sense. The fit is projected gradient from r = 1, in the metric that weighs each
 where p is the posterior. One step is one number per domain, so a document's rate is a function of the list of
 steps taken so far: an iteration is one aggregate over the documents, and no rate is ever stored or collected.
 
-Copies are whole: the rate rounded up or down at random, by a hash of the text, in proportion to its fraction.
+Copies are whole: the rate rounded up or down at random in proportion to its fraction, by a hash of the id and the
+text, so that the copies of one text are rounded apart. Rows that are equal in both are told apart by their place in
+the input as it is read.
 
 The default domains are `clean`, `low` and `toxic` by the columns of `labels`. Cases: null and empty texts have no
 tokens, so they do not move the totals, and a posterior like any other text; a document without a known posterior
@@ -196,8 +198,18 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iteration
     return steps
 
 
-def _chance(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _rows(docs: DataFrame, own: Column) -> DataFrame:
+    """`_own`, the number `_chance` in [0, 1) that rounds the row's rate, and `_text`."""
+    rows = docs.select(own.alias("_own"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"),
+                       docs["doc_id"].cast("long").alias("_id"), F.monotonically_increasing_id().alias("_place"))
+    rows = rows.select("_own", "_text", "_place", F.xxhash64(F.col("_id").isNull(), "_id", "_text", F.lit(3)).alias("_hash"))
+    again = cut(rows.groupBy("_hash").count().filter("count > 1").select("_hash", F.lit(True).alias("_again")))
+    salt = F.lit(0).cast("long")
+    if not again.isEmpty():
+        rows = rows.join(again, "_hash", "left")
+        salt = F.when(F.col("_again"), F.col("_place")).otherwise(salt)
+    chance = F.pmod(F.xxhash64("_hash", salt), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.select("_own", chance.alias("_chance"), "_text")
 
 
 def _with_copies(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
@@ -212,15 +224,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     small = memberships(docs.select(text.alias("_text")), classifier)
     steps = fit_rates(cut(small), targets)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_own"), _chance(text).alias("_chance"), text.alias("_text"))
+    rows = _rows(docs, F.struct(*[docs[c] for c in docs.columns]))
     found = _with_copies(memberships(rows, classifier), steps).filter("_copies > 0")
     return found.select(F.explode(F.array_repeat("_own", F.col("_copies").cast("int"))).alias("_own")).select("_own.*")
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, one posterior per domain, rate and copies of every document."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _chance(text).alias("_chance"), text.alias("_text"))
+    rows = _rows(docs, docs["doc_id"].cast("long")).withColumnRenamed("_own", "doc_id")
     members = cut(memberships(rows, fit_classifier(docs, labels)))
     found = _with_copies(members, fit_rates(members, targets))
     return found.select("doc_id", F.col("_tokens").alias("n_tokens"),

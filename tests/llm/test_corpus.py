@@ -224,6 +224,22 @@ def test_mixing_reaches_its_targets(spark):
     assert np.allclose(out[["p_clean", "p_low", "p_toxic"]].sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("same_id", [False, True])
+def test_mixing_realises_its_rates_where_one_text_is_a_third(spark, same_id):
+    frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = frame.collect()
+    one = next(r for r in rows if r.text and 300 < len(r.text.split()) < 600)
+    copies = [(one.doc_id if same_id else 10**6 + k, *one[1:]) for k in range(len(rows) // 2)]
+    out = mixing.report(frame.union(spark.createDataFrame(copies, frame.schema)), labels).toPandas()
+    group = out[(out.doc_id == one.doc_id) | (out.doc_id >= 10**6)]
+    assert len(group) == len(copies) + 1 and abs(group.copies.mean() - group.rate.mean()) < 0.11
+    part, total = out.rate % 1, (out.rate * out.n_tokens).sum()
+    for name in mixing.DOMAINS:
+        mass = out.n_tokens * out[f"p_{name}"]
+        noise = (mass**2 * part * (1 - part)).sum() ** 0.5 / total
+        assert abs((mass * (out.copies - out.rate)).sum() / total) < 4 * noise + 1e-4
+
+
 def test_mixing_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     frame = docs(spark, [None, "a b c", "# # #", "", "a b c"]).withColumnsRenamed({"lang": "_rate", "source": "_p"})
