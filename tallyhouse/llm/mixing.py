@@ -5,9 +5,11 @@ belongs to every domain in that proportion. Nonnegative rates r (expected copies
 fitted so that the expected domain totals, sum of r * tokens * posterior, match the targets in the least-squares
 sense. The fit is projected gradient from r = 1, in the metric that weighs each document by its tokens:
 
-    r <- max(0, r - p . step),   step = (G + ridge)^-1 (totals(r) - targets),   G = sum of tokens * p p'
+    r <- max(0, r - p . step),   step = (G + ridge)^-1 (totals(r) - targets),   G = sum of tokens * p p' where r > 0
 
-where p is the posterior. One step is one number per domain, so a document's rate is a function of the list of
+where p is the posterior. It ends within `TOLERANCE`; after `ITERATIONS` steps without that, the best rates so far are
+taken, a warning is given, and the wanted and reached shares in the report show the gap. Targets are as given,
+but a domain without mass cannot be reached by any rate: its target goes to the others in proportion. One step is one number per domain, so a document's rate is a function of the list of
 steps taken so far: an iteration is one aggregate over the documents, and no rate is ever stored or collected.
 
 Copies are whole: the rate rounded up or down at random in proportion to its fraction, by a hash of the id and the
@@ -16,12 +18,13 @@ the input as it is read.
 
 The default domains are `clean`, `low` and `toxic` by the columns of `labels`. Cases: null and empty texts have no
 tokens, so they do not move the totals, and a posterior like any other text; a document without a known posterior
-takes the shares of the labelled table; domains without a token or a labelled row get no step; an empty table gives no
+takes the shares of the labelled table; domains without mass, as those without a labelled row, get no step; an empty table gives no
 row; repeated rows are separate documents with the same rate; other columns pass through in `mix`.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,12 +43,12 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
 LABELLED_PER_DOMAIN = 700
 KEPT_FEATURES = 512
-ITERATIONS = 25
+ITERATIONS = 60
 TOLERANCE = 1e-4
-#: keeps steps small for domains that hardly any document belongs to
-RIDGE = 0.01
-#: no domain is asked to repeat its tokens more often than this
-MAX_REPEATS = 4.0
+#: relative to each domain's own weight, so that rare domains move as fast as the others
+RIDGE = 1e-6
+#: share of the tokens below which a domain has no mass
+NO_MASS = 1e-9
 
 
 def domain_of(labels: DataFrame) -> Column:
@@ -153,49 +156,56 @@ def rate(steps: list[np.ndarray], p: Column) -> Column:
     return F.aggregate(taken, F.lit(1.0), moved)
 
 
-def reachable(natural: np.ndarray, targets: dict[str, float]) -> np.ndarray:
-    """Target shares, none above `MAX_REPEATS` times the natural share; what that leaves goes to the other domains."""
+@dataclass(frozen=True)
+class Fit:
+    """The gradient steps, and the shares asked for and reached by the rates."""
+
+    steps: list[np.ndarray]
+    wanted: np.ndarray
+    reached: np.ndarray
+
+
+def wanted_shares(natural: np.ndarray, targets: dict[str, float]) -> np.ndarray:
+    """The targets as shares; those of domains without mass go to the others."""
     wanted = np.array([targets[name] for name in DOMAINS], np.float64)
-    wanted /= wanted.sum()
-    most = MAX_REPEATS * natural
-    for _ in DOMAINS:
-        over = np.maximum(wanted - most, 0).sum()
-        wanted = np.minimum(wanted, most)
-        room = wanted < most
-        if over == 0 or not room.any() or wanted[room].sum() == 0:
-            break
-        wanted[room] *= 1 + over / wanted[room].sum()
-    return wanted
-
-
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iterations: int = ITERATIONS) -> list[np.ndarray]:
-    """The gradient steps; `members` has `_tokens` and `_p`, and is read once per iteration."""
+    held = np.where(natural > NO_MASS, wanted, 0)
+    if held.sum() == 0:
+        return natural
+    return held / held.sum()
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iterations: int = ITERATIONS) -> Fit:
+    """`members` has `_tokens` and `_p`, and is read once per iteration."""
     d = len(DOMAINS)
-    p, tokens = F.col("_p"), F.col("_tokens")
-
-    def total(*factors: Column) -> Column:
-        product = tokens.cast("double")
-        for factor in factors:
-            product = product * factor
-        return F.coalesce(F.sum(product), F.lit(0.0))
-
-    row = members.agg(*[total(p[i]).alias(f"t{i}") for i in range(d)],
-                      *[total(p[i], p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]).first()
-    natural = np.array([row[f"t{i}"] for i in range(d)])
-    gram = np.array([[row[f"g{i}_{j}"] for j in range(d)] for i in range(d)])
-    if natural.sum() == 0:
-        return []
-    inverse = np.linalg.inv(gram + RIDGE * np.trace(gram) * np.eye(d))
-    wanted = reachable(natural / natural.sum(), targets) * natural.sum()
-    steps, reached = [], natural
-    for _ in range(iterations):
-        if np.abs(reached - wanted).max() <= TOLERANCE * natural.sum():
-            break
-        steps.append(inverse @ (reached - wanted))
-        r = rate(steps, p)
-        row = members.agg(*[total(p[i], r).alias(f"t{i}") for i in range(d)]).first()
-        reached = np.array([row[f"t{i}"] for i in range(d)])
-    return steps
+    p, tokens = F.col("_p"), F.col("_tokens").cast("double")
+
+    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals at the rates after `steps`, and G."""
+        mass = tokens * F.col("_r")
+        active = F.when(F.col("_r") > 0, tokens).otherwise(0.0)
+        sums = [F.sum(mass * p[i]) for i in range(d)] + [F.sum(active * p[i] * p[j]) for i in range(d) for j in range(d)]
+        row = members.select("_tokens", "_p", rate(steps, p).alias("_r")).agg(*[F.coalesce(v, F.lit(0.0)) for v in sums]).first()
+        return np.array(row[:d]), np.array(row[d:]).reshape(d, d)
+
+    totals, gram = measure([])
+    size = totals.sum()
+    if size == 0:
+        return Fit([], np.zeros(d), np.zeros(d))
+    shares = totals / size
+    wanted, open_domains = wanted_shares(shares, targets), np.flatnonzero(shares > NO_MASS)
+    steps, best = [], (np.abs(shares - wanted).max(), 0, shares)
+    while best[0] > TOLERANCE and len(steps) < iterations:
+        gram = gram[np.ix_(open_domains, open_domains)] / size
+        step = np.zeros(d)
+        step[open_domains] = np.linalg.solve(
+            gram + RIDGE * np.diag(np.maximum(np.diag(gram), NO_MASS)), (shares - wanted)[open_domains])
+        steps.append(step)
+        totals, gram = measure(steps)
+        shares = totals / size
+        best = min(best, (np.abs(shares - wanted).max(), len(steps), shares), key=lambda found: found[0])
+    if best[0] > TOLERANCE:
+        warnings.warn(f"mixing targets not met: wanted {wanted.tolist()}, reached {best[2].tolist()}", stacklevel=2)
+    return Fit(steps[: best[1]], wanted, best[2])
 
 
 def _rows(docs: DataFrame, own: Column) -> DataFrame:
@@ -223,17 +233,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     classifier = fit_classifier(docs, labels)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     small = memberships(docs.select(text.alias("_text")), classifier)
-    steps = fit_rates(cut(small), targets)
+    fit = fit_rates(cut(small), targets)
     rows = _rows(docs, F.struct(*[docs[c] for c in docs.columns]))
-    found = _with_copies(memberships(rows, classifier), steps).filter("_copies > 0")
+    found = _with_copies(memberships(rows, classifier), fit.steps).filter("_copies > 0")
     return found.select(F.explode(F.array_repeat("_own", F.col("_copies").cast("int"))).alias("_own")).select("_own.*")
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, tokens, one posterior per domain, rate and copies of every document."""
+    """doc_id, tokens, one posterior per domain, rate and copies of every document; wanted and reached share of each domain."""
     rows = _rows(docs, docs["doc_id"].cast("long")).withColumnRenamed("_own", "doc_id")
     members = cut(memberships(rows, fit_classifier(docs, labels)))
-    found = _with_copies(members, fit_rates(members, targets))
+    fit = fit_rates(members, targets)
+    found = _with_copies(members, fit.steps)
+    shares = [F.lit(float(values[k])).alias(f"{kind}_{name}") for kind, values in (("wanted", fit.wanted), ("reached", fit.reached))
+              for k, name in enumerate(DOMAINS)]
     return found.select("doc_id", F.col("_tokens").alias("n_tokens"),
                         *[F.col("_p")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)],
-                        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+                        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *shares)

@@ -240,6 +240,28 @@ def test_mixing_realises_its_rates_where_one_text_is_a_third(spark, same_id):
         assert abs((mass * (out.copies - out.rate)).sum() / total) < 4 * noise + 1e-4
 
 
+@pytest.mark.parametrize("rare", [0.005, 0.0012])
+def test_rates_reach_the_given_targets_of_a_rare_domain(spark, rare):
+    rng = np.random.default_rng(4)
+    natural = np.array([0.976 - rare, 0.024, rare])
+    odds = rng.normal(size=(6000, 3))
+    odds[np.arange(6000), rng.choice(3, 6000, p=natural)] += 5
+    odds = np.exp(odds + np.log(natural))
+    members = spark.createDataFrame(
+        [(int(n), (p / p.sum()).tolist()) for n, p in zip(rng.integers(10, 900, 6000), odds, strict=True)], "_tokens long, _p array<double>")
+    fit = mixing.fit_rates(members.coalesce(1).cache())
+    assert fit.wanted.tolist() == pytest.approx([0.9, 0.07, 0.03])
+    assert fit.reached.tolist() == pytest.approx([0.9, 0.07, 0.03], abs=mixing.TOLERANCE)
+    with pytest.warns(UserWarning, match="targets not met"):
+        poor = mixing.fit_rates(members, iterations=0)
+    assert poor.wanted[2] == pytest.approx(0.03) and poor.reached[2] < 0.01
+
+
+def test_targets_change_only_where_a_domain_has_no_mass():
+    assert mixing.wanted_shares(np.array([0.9, 0.1, 0]), mixing.TARGETS).tolist() == pytest.approx([0.9 / 0.97, 0.07 / 0.97, 0])
+    assert mixing.wanted_shares(np.array([0.9, 0.0999, 0.0001]), mixing.TARGETS).tolist() == pytest.approx([0.9, 0.07, 0.03])
+
+
 def test_mixing_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     frame = docs(spark, [None, "a b c", "# # #", "", "a b c"]).withColumnsRenamed({"lang": "_rate", "source": "_p"})
