@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 Fit: up to `LABELLED_PER_CLASS` labelled rows of each label (smallest hash of the id first) give a term
-matrix; a truncated SVD of it is the latent space. The space and the labelled vectors, at most
+matrix, of letter-class trigrams, repetition shares and the presence of hashed words, the words of a text at unit length
+together like its trigrams; a truncated SVD of it is the latent space. The space and the labelled vectors, at most
 2 * LABELLED_PER_CLASS rows of `DIMENSIONS` numbers, are broadcast; nothing else is. Score: every
 document is mapped to the space in blocks, its cosines with all labelled vectors are one matrix product, and
 the `NEIGHBOURS` nearest vote with weights that rise with their similarity.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.arrays import blocks
-from tallyhouse.llm.features import style
+from tallyhouse.llm.features import SHARES, TRIGRAMS, style_and_words
 
 LABELLED_PER_CLASS = 1500
 DIMENSIONS = 48
@@ -31,12 +32,22 @@ NEIGHBOURS = 15
 SHARPNESS = 8.0
 SHARE_WEIGHT = 1.5
 THRESHOLD = 0.3
+#: texts whose dense term rows are held at once
+ROWS = 256
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def text_terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(documents, terms): style features, then hashed words."""
+    found = style_and_words(data, offsets)
+    words = found[:, TRIGRAMS + SHARES :]
+    words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
+    return found
+
+
 @dataclass(frozen=True)
 class Space:
     """Term weights, the latent directions, and the labelled vectors with their labels."""
@@ -60,13 +71,13 @@ class Space:
         return np.clip((weights * self.labels[nearest]).sum(1) / weights.sum(1), 0, 1)
 
 
-def fit_space(terms: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Space:
+def fit_space(terms: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, shares: slice = slice(-4, None)) -> Space:
     """Truncated SVD of the weighted term matrix by subspace iteration from a fixed start."""
     if not len(terms):
         return Space(np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), labels)
     present = (terms > 0).sum(0)
     weights = np.log((1 + len(terms)) / (1 + present)).astype(np.float32) + 0.2
-    weights[-4:] = SHARE_WEIGHT
+    weights[shares] = SHARE_WEIGHT
     weighted = terms * weights
     k = min(dimensions, *weighted.shape)
     basis = np.random.Generator(np.random.PCG64(11)).standard_normal((weighted.shape[1], k)).astype(np.float32)
@@ -111,13 +122,13 @@ def sample_features(docs: DataFrame, ids: list[int], features) -> dict[int, tupl
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = LABELLED_PER_CLASS) -> Space:
     chosen = labelled_sample(labels, label, per_class)
-    found = sample_features(docs, [i for i, _ in chosen], style) if chosen else {}
+    found = sample_features(docs, [i for i, _ in chosen], text_terms) if chosen else {}
     chosen = [(i, value) for i, value in chosen if i in found]
-    terms = np.zeros((len(chosen), style(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]), np.float32)
+    terms = np.zeros((len(chosen), text_terms(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]), np.float32)
     for row, (doc_id, _) in enumerate(chosen):
         at, values = found[doc_id]
         terms[row, at] = values
-    return fit_space(terms, np.array([value for _, value in chosen], np.float64))
+    return fit_space(terms, np.array([value for _, value in chosen], np.float64), shares=slice(TRIGRAMS, TRIGRAMS + SHARES))
 
 
 def score(docs: DataFrame, space: Space) -> DataFrame:
@@ -128,7 +139,9 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for first, past, data, offsets in blocks(batch.column(1)):
-                out[first:past] = shared.value.scores(style(data, offsets))
+                for at in range(0, past - first, ROWS):
+                    some = offsets[at : at + ROWS + 1]
+                    out[first + at : first + at + len(some) - 1] = shared.value.scores(text_terms(data[some[0] : some[-1]], some - some[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
     scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, score double")

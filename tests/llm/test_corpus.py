@@ -194,6 +194,15 @@ def test_quality_votes_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_quality_is_told_by_words_of_one_shape(spark):
+    rng = random.Random(3)
+    good, bad = ([a + str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(100, 160)] for a in "vw")
+    texts = [" ".join(rng.choices(bad if k % 2 else good, k=40)) for k in range(80)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    out = quality_knn.score(docs(spark, texts), quality_knn.fit(docs(spark, texts), labels)).filter("doc_id >= 60").collect()
+    assert [r.predicted for r in sorted(out)] == [1 - k % 2 for k in range(60, 80)]
+
+
 def test_quality_votes_on_odd_rows(spark):
     texts = [None, "", "good text here", "bad ### text", "good text here", "x" * 100_000]
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1), (None, 0), (2, None), (77, 0)], "doc_id long, quality int")
