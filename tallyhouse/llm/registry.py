@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import cross_polytope, jaccard, line_templates, mixing, packing, quality_knn, quality_rules, secrets, substrings, warc
+from tallyhouse.llm import (
+    centroids, cross_polytope, jaccard, line_templates, mixing, packing, periodic_runs, quality_knn, quality_rules, secrets, substrings,
+    token_files, warc,
+)
 from tallyhouse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +58,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustering(read(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_rows(read(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES: tuple[Query, ...] = (
     op1_mixing, op2_quality_knn, op3_packing, op4_cross_polytope, op5_quality_rules, op6_suffix_dedup,
     op7_line_templates, op8_jaccard_join,
-    op9_secret_scans, op10_warc,
+    op9_secret_scans, op10_warc, op11_centroids, op12_periodic_runs, op13_token_files,
 )
 
 
