@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 from uuid import uuid4
 
@@ -38,12 +39,14 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import checkpoint_folder, cut
 from tallyhouse.llm.huffman import BLOCK_IDS, Code, code_lengths
-from tallyhouse.llm.packing import CACHED_WORDS, END_ID, TextIds, vocabulary_path
+from tallyhouse.llm.packing import END_ID, TextIds, vocabulary_path
 from tallyhouse.llm.warc import _filesystem
 
 SECTION_IDS = 1 << 20
 #: ids per file at most, where spark.sql.shuffle.partitions files would be larger
 FILE_IDS = 1 << 26
+#: stretches whose ids a worker remembers; only speed depends on it
+CACHED_CHUNKS = 800_000
 MAGIC = b"TOKHUF01"
 SIZE, HEAD, ENTRY, FOOTER = struct.Struct("<I"), struct.Struct("<QQIII"), struct.Struct("<QQQ"), struct.Struct("<I8s")
 
@@ -55,26 +58,46 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 class ChunkIds(TextIds):
     """Ids of whole texts, remembered by stretch between white space; no token spans white space."""
 
-    #: what the short way cannot take; see SIMPLE
-    other = re.compile("[^\t\n\r -~¡-ɏ]|<\\|").search
+    #: what the short way cannot take, besides "<|"; see SIMPLE
+    other = re.compile("[^\t\n\r -~¡-ɏ]").search
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self)
+
+    def of_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.of_word(chunk)
+        if chunk[:-1].isalpha() and not chunk[-1].isnumeric():
+            return self.chunks[chunk[:-1]] + self.of_word(chunk[-1])
+        return b"".join(map(self.of_word, self.split(chunk)))
 
     def __call__(self, text: str) -> bytes:
-        if self.other(text):
-            return super().__call__(text)
-        if len(self.chunks) > CACHED_WORDS:
-            self.chunks = {}
-        chunks, known = text.lower().split(), self.chunks
-        for chunk in set(chunks).difference(known):
-            known[chunk] = b"".join(map(self.of_word, self.split(chunk)))
-        return b"".join(map(known.__getitem__, chunks))
+        if "<|" in text or self.other(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks.clear()
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+
+
+class _Chunks(dict):
+    def __init__(self, encoder: ChunkIds):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encoder.of_chunk(chunk)
+        return ids
+
+
+@cache
+def _encoder(path: str) -> ChunkIds:
+    """One per process, so that the tasks of a worker share what it remembers."""
+    return ChunkIds(path)
 
 
 def _tokenised(path: str, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, end = ChunkIds(path), np.array([END_ID], "<u4").tobytes()
+    encode, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
