@@ -10,7 +10,7 @@ code is built from these counts. The documents are then ranged by id and each pa
 
 A section holds whole documents of about `SECTION_IDS` ids. Blocks of a section decode independently from their bit
 offsets, so any stretch of ids is read without decoding the rest. The index names file and place of every section;
-reading deals sections, not files, to tasks.
+reading deals runs of sections, not files, to tasks.
 
 Files go to the shared folder of the session. A task puts its attempt in the file's name and the index has the names of
 the attempts that counted, so a lost or doubled task cannot mix two versions. Only sums reach the driver: one count
@@ -28,7 +28,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, groupby
+from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
@@ -43,10 +44,12 @@ from tallyhouse.llm.packing import END_ID, TextIds, vocabulary_path
 from tallyhouse.llm.warc import _filesystem
 
 SECTION_IDS = 1 << 20
+#: sections that a reading task takes on, where files are larger
+TASK_SECTIONS = 8
 #: ids per file at most, where spark.sql.shuffle.partitions files would be larger
 FILE_IDS = 1 << 26
 #: stretches whose ids a worker remembers; only speed depends on it
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 250_000
 MAGIC = b"TOKHUF01"
 SIZE, HEAD, ENTRY, FOOTER = struct.Struct("<I"), struct.Struct("<QQIII"), struct.Struct("<QQQ"), struct.Struct("<I8s")
 
@@ -289,17 +292,21 @@ def _symbols(path: str) -> int:
 
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, root = _filesystem(folder)
-    for batch in batches:
-        for row in batch.to_pylist():
-            with store.open_input_file(f"{root}/{row['name']}") as source:
-                section = FileReader(source).section(row["place"], row["size"])
-            ids = memoryview(section.ids().astype("<u4").tobytes())
-            ends = np.cumsum(section.counts)
-            starts = ends - section.counts
-            crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [section.doc_ids, pa.array(starts + (row["base"] + row["first"])), pa.array(section.counts),
-                 pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    for name, rows in groupby((row for batch in batches for row in batch.to_pylist()), itemgetter("name")):
+        with store.open_input_file(f"{root}/{name}") as source:
+            reader = FileReader(source)
+            yield from (_documents(reader.section(row["place"], row["size"]), row["base"] + row["first"]) for row in rows)
+
+
+def _documents(section: Section, before: int) -> pa.RecordBatch:
+    """The documents of a section that has `before` ids before it."""
+    ids = memoryview(section.ids().astype("<u4").tobytes())
+    ends = np.cumsum(section.counts)
+    starts = ends - section.counts
+    crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [section.doc_ids, pa.array(starts + before), pa.array(section.counts), pa.array(crcs, pa.int64())],
+        names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_files(index: DataFrame, folder: str) -> DataFrame:
@@ -311,7 +318,8 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
     bases = list(accumulate((row.n for row in sizes[:-1]), initial=0))
     files = spark.createDataFrame([(row.file, base) for row, base in zip(sizes, bases, strict=True)], "file long, base long")
     # sections are small rows that stand for much work: a stated number of partitions is not merged again
-    dealt = index.join(files, "file").repartition(sum(row.sections for row in sizes))
+    tasks = max(len(sizes), sum(row.sections for row in sizes) // TASK_SECTIONS)
+    dealt = index.join(files, "file").repartitionByRange(tasks, "file", "place").sortWithinPartitions("file", "place")
     return dealt.select("name", "place", "size", "first", "base").mapInArrow(lambda batches: _read(folder, batches), ROWS)
 
 
