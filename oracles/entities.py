@@ -84,7 +84,7 @@ candidate AS (
 run AS (
   SELECT f.*, c.cutoff, f.ats - INTERVAL 168 HOUR AS win,
     f.fact_test OR COALESCE(o.is_test, u.is_test, FALSE) AS is_test
-  FROM fact f JOIN (VALUES (@early), (@cutoff)) AS c(cutoff) ON f.ats <= c.cutoff
+  FROM fact f JOIN {cutoffs}
   LEFT JOIN organization o ON f.scope = 'saas' AND o.organization_id = f.subject
   LEFT JOIN consumer u ON f.scope = 'commerce' AND u.consumer_id = f.subject),
 won AS (
@@ -113,12 +113,15 @@ attributed_conversion AS (
 """
 
 
-def query(entities: list[str], sql: str, attribution: bool = False, ctes: str = "") -> str:
+TWO_CUTOFFS = "(VALUES (@early), (@cutoff)) AS c(cutoff) ON f.ats <= c.cutoff"
+
+
+def query(entities: list[str], sql: str, attribution: bool = False, ctes: str = "", cutoffs: str = TWO_CUTOFFS) -> str:
     """A statement over the named entities; extra CTEs may follow them."""
     names = list(dict.fromkeys(entities + (ATTRIBUTION_ENTITIES if attribution else [])))
     parts = [f"{name} AS ({entity(name)})" for name in names]
     if attribution:
-        parts.append(_ATTRIBUTION.strip())
+        parts.append(_ATTRIBUTION.strip().replace("{cutoffs}", cutoffs))
     if ctes:
         parts.append(ctes.strip())
     return bind(f"WITH {', '.join(parts)} {sql}")

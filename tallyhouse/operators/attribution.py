@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import instant
 from tallyhouse.operators.asof import last_before
+from tallyhouse.operators.bitemporal import last_known_before
 from tallyhouse.operators.blocks import earliest, real, stack, valid_at
 
 # Fixed values of the attribution model.
@@ -178,8 +179,30 @@ def attribute(
     rows = resolved.withColumn(
         "window_started_at", F.col("conversion_at") - F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOURS")
     ).select(*found.columns, "window_started_at", F.inline(per_cutoff))
-    rows = rows.filter(F.col("conversion_at") <= F.col("source_data_cutoff_at"))
+    return _outcomes(rows.filter(F.col("conversion_at") <= F.col("source_data_cutoff_at")), t, history_start)
 
+
+def attribute_at(t: Mapping[str, DataFrame], asked: DataFrame, history_start: datetime) -> DataFrame:
+    """Attribution results of the asked (conversion_type, fact_key, source_data_cutoff_at), each at its own cutoff.
+
+    One pass for any number of different cutoffs. What no fact stands for, or is asked at a cutoff before the
+    conversion, gives no row; asking twice gives one row.
+    """
+    keys = ["conversion_type", "fact_key", "source_data_cutoff_at"]
+    found = _mark_test_subjects(conversions(t), t, {"saas", "commerce"})
+    rows = found.join(asked.select(*keys).distinct(), ["conversion_type", "fact_key"]).filter(
+        F.col("conversion_at") <= F.col("source_data_cutoff_at")
+    ).withColumn("window_started_at", F.col("conversion_at") - F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOURS"))
+    touches = eligible_touches(t, {"saas", "commerce"}).filter(F.col("occurred_at") >= instant(history_start))
+    resolved = last_known_before(
+        rows, touches, ["scope", "subject_id"], "conversion_at", "source_data_cutoff_at", "occurred_at", "known_at",
+        ["source_event_id"], "touch",
+    )
+    return _outcomes(resolved, t, history_start)
+
+
+def _outcomes(rows: DataFrame, t: Mapping[str, DataFrame], history_start: datetime) -> DataFrame:
+    """Results of conversions with the struct `touch` of the last eligible touch known at their cutoff."""
     complete = F.col("window_started_at") >= instant(history_start)
     in_window = F.col("touch.occurred_at") >= F.col("window_started_at")
     outcome = F.when(~complete, UNKNOWN).when(in_window, NON_DIRECT).otherwise(DIRECT)

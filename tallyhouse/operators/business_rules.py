@@ -17,7 +17,7 @@ from tallyhouse.operators.attribution import (
     LOOK_BACK_HOURS,
     MODEL_VERSION,
     UNKNOWN,
-    attribute,
+    attribute_at,
     conversions,
 )
 from tallyhouse.operators.blocks import latest, stack, valid_at
@@ -267,19 +267,20 @@ def conversion_times_wrong(t: TablesMap, p: Params) -> DataFrame:
     return _ids(t["attributed_conversion"].filter(~right), "attributed_conversion_id")
 
 
-def attribution_differs(t: TablesMap, p: Params, cutoffs: list[datetime]) -> DataFrame:
+def attribution_differs(t: TablesMap, p: Params) -> DataFrame:
     """Stored results that a fresh run at the row's own cutoff does not give.
 
-    Rows meet by type, fact and cutoff, so the ids of a stored dataset may have any form; a row at
-    a cutoff that is not listed counts as different.
+    Rows meet by type, fact and cutoff, so the ids of a stored dataset may have any form; cutoffs may be as many as
+    there are rows. A row whose fact is missing, or later than its cutoff, counts as different.
     """
-    fresh = attribute(t, cutoffs, p.history_start)
-    compared = ["attribution_result", "reason_code", "selected_marketing_touch_id", "marketing_channel_id", "marketing_campaign_id"]
     keys = ["conversion_type", "fact", "source_data_cutoff_at"]
-    expected = fresh.withColumn("fact", _fact_id()).select(*keys, F.struct(*compared).alias("expected"))
+    compared = ["attribution_result", "reason_code", "selected_marketing_touch_id", "marketing_channel_id", "marketing_campaign_id"]
     stored = t["attributed_conversion"].withColumn("fact", _fact_id()).select(
         "attributed_conversion_id", *keys, F.struct(*compared).alias("stored")
     )
+    asked = stored.select("conversion_type", F.col("fact").cast("string").alias("fact_key"), "source_data_cutoff_at")
+    fresh = attribute_at(t, asked, p.history_start)
+    expected = fresh.withColumn("fact", _fact_id()).select(*keys, F.struct(*compared).alias("expected"))
     joined = stored.join(expected, keys, "left")
     return _ids(joined.filter(~F.col("stored").eqNullSafe(F.col("expected"))), "attributed_conversion_id")
 

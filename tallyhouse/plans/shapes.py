@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.calendar import Params
 from tallyhouse.functions.money import money, total
 from tallyhouse.operators import business_rules, lifecycle, quality
-from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, latest_results
+from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, attribute_at, conversions, latest_results
 from tallyhouse.operators.blocks import (
     append_total,
     bucket_by_period,
@@ -54,6 +54,15 @@ def attribution_two_cutoffs(t: TablesMap, p: Params) -> DataFrame:
     return stored.unionByName(append_results(stored, attribute(t, [EARLY_CUTOFF, p.snapshot_cutoff], p.history_start)))
 
 
+def attribution_own_cutoffs(t: TablesMap, p: Params) -> DataFrame:
+    """Every conversion attributed at a cutoff of its own: one of fifty days, by its fact."""
+    fact = F.col("fact_key").cast("bigint")
+    start = F.lit(str(EARLY_CUTOFF)).cast("timestamp_ntz")
+    asked = conversions(t).select("conversion_type", "fact_key", (
+        start + F.make_dt_interval(days=(fact % 50).cast("int"), hours=(fact % 7).cast("int"))).alias("source_data_cutoff_at"))
+    return attribute_at(t, asked, p.history_start)
+
+
 def attribution_latest(t: TablesMap, p: Params) -> DataFrame:
     return latest_results(
         t["attributed_conversion"], p.snapshot_cutoff, ALL_TYPES,
@@ -182,8 +191,8 @@ dq_visibility = _rules("recorded_after_cutoff", "tables_without_test_rows")
 
 
 def dq_attribution_recheck(t: TablesMap, p: Params) -> DataFrame:
-    """Stored results that differ from a fresh run at the same cutoffs."""
-    return business_rules.attribution_differs(_WithFaults(t), p, [EARLY_CUTOFF, p.snapshot_cutoff])
+    """Stored results that differ from a fresh run, each at its own cutoff."""
+    return business_rules.attribution_differs(_WithFaults(t), p)
 
 
 def dq_text_formats(t: TablesMap, p: Params) -> DataFrame:
@@ -306,7 +315,7 @@ def response_completeness(t: TablesMap, p: Params) -> DataFrame:
 
 # operators over the derived tables alone, and those that also read attribution results
 PLAIN = [
-    state_asof_multi, latest_spend_revision, attribution_last_touch, densify_periods, key_union, total_row, required_rows,
+    state_asof_multi, latest_spend_revision, attribution_last_touch, attribution_own_cutoffs, densify_periods, key_union, total_row, required_rows,
     merchants_without_sales, dq_line_key, dq_text_formats, load_upsert_check, verify_rows, unload_rows,
     ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, case_delta, case_reviews,
     response_completeness,

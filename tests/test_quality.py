@@ -65,7 +65,7 @@ def test_clean_sample_violates_nothing(clean):
         assert [r for r in report(clean).collect() if r["violations"]] == []
     names = [n for n in business_rules.RULES if n != "tables_without_test_rows"]
     assert [r for r in business_rules.rule_report(clean, PARAMS, names).collect() if r["violations"]] == []
-    assert business_rules.attribution_differs(clean, PARAMS, [PARAMS.snapshot_cutoff]).count() == 0
+    assert business_rules.attribution_differs(clean, PARAMS).count() == 0
 
 
 @pytest.mark.parametrize("table, index, change, rule", MUTATIONS)
@@ -171,7 +171,7 @@ def test_wrong_result_is_found_by_a_fresh_run(spark, clean):
         row["attributed_conversion_id"] = f"row-{number}"
     kept[0]["reason_code"] = "identity_unresolved"
     t = clean.replacing(attributed_conversion=in_memory(spark, {"attributed_conversion": kept})["attributed_conversion"])
-    found = business_rules.attribution_differs(t, PARAMS, [PARAMS.snapshot_cutoff]).collect()
+    found = business_rules.attribution_differs(t, PARAMS).collect()
     assert [r["record_id"] for r in found] == [kept[0]["attributed_conversion_id"]]
 
 
