@@ -262,17 +262,6 @@ SELECT UNNEST(['PASS', 'FAIL_ACTION', 'FAIL_STRUCTURE', 'FAIL_EXECUTION', 'FAIL_
 FROM commerce_order"""),
 }
 
-_DELTA = """
-o AS (SELECT CAST(merchant_assignment_id AS VARCHAR) AS case_id, CAST(SUM(commerce_order_id) AS VARCHAR) AS d FROM commerce_order WHERE first_paid_at >= @may AND first_paid_at < @jun GROUP BY 1),
-n AS (SELECT CAST(merchant_assignment_id AS VARCHAR) AS case_id, CAST(SUM(commerce_order_id) AS VARCHAR) AS d FROM commerce_order WHERE first_paid_at >= @jun AND first_paid_at < @jul GROUP BY 1)
-"""
-OPERATORS["case_delta"] = query(["commerce_order"], """
-SELECT case_id, o.d AS old_digest, n.d AS new_digest, o.d IS NOT NULL AND o.d IS DISTINCT FROM n.d AS changed, o.d IS NULL AS is_new
-FROM o FULL JOIN n USING (case_id)""", ctes=_DELTA)
-OPERATORS["case_reviews"] = query(["commerce_order"], """
-SELECT case_id, CASE WHEN CAST(case_id AS BIGINT) % 2 = 0 OR n.d IS NULL THEN 'expected growth' END AS change_reason,
-  CASE WHEN CAST(case_id AS BIGINT) % 2 = 0 OR n.d IS NULL THEN 'matches_reviewed' ELSE 'review_required' END AS review_status
-FROM o FULL JOIN n USING (case_id)""", ctes=_DELTA)
 OPERATORS["response_completeness"] = query(["commerce_order", "platform_fee_charge"], """
 SELECT commerce_order_id AS case_id, CASE WHEN commerce_order_id % 11 = 4 THEN 'unknown' WHEN o.status = 'cancelled' THEN 'forbidden' ELSE 'missing' END AS problem
 FROM commerce_order o JOIN platform_fee_charge f USING (commerce_order_id)
@@ -309,3 +298,51 @@ _PARTS = ", ".join(f"SUM(CAST('0x' || substr(x, {1 + 12 * i}, 12) AS BIGINT)) AS
 OPERATORS["table_digest"] = query(["commerce_order"], f"""
 SELECT n AS row_count, sha256(concat_ws('|', '{_NAMES}', n, s0, s1, s2, s3)) AS content_digest
 FROM (SELECT COUNT(*) AS n, {_PARTS} FROM (SELECT sha256('{{"row":[' || {_CELLS} || ']}}') AS x FROM commerce_order))""")
+
+
+def _digest(at: str, period: str) -> str:
+    """Digests per merchant of a month's orders, spelt out: the sums of four slices of each row's hash."""
+    row = f"""sha256('{{"at":' || {at} || ',"cells":[' || {_cell("string", "external_order_id")} || ',' || {_cell("string", "status")} || ']}}')"""
+    return f"""SELECT CAST(m AS VARCHAR) AS case_id, sha256(concat_ws('|', n, s0, s1, s2, s3)) AS d FROM (
+  SELECT m, COUNT(*) AS n, {_PARTS} FROM (SELECT merchant_assignment_id AS m, {row} AS x FROM commerce_order WHERE {period}) GROUP BY m)"""
+
+
+_MAY, _JUNE = "first_paid_at >= @may AND first_paid_at < @jun", "first_paid_at >= @jun AND first_paid_at < @jul"
+_DELTA = f"""
+ob AS ({_digest("'null'", _MAY)}), oe AS ({_digest("commerce_order_id", _MAY)}),
+nb AS ({_digest("'null'", _JUNE)}), ne AS ({_digest("commerce_order_id", _JUNE)}),
+delta AS (SELECT case_id, ob.d AS old_business_digest, oe.d AS old_expected_digest, nb.d AS new_business_digest, ne.d AS new_expected_digest
+  FROM ob JOIN oe USING (case_id) FULL JOIN (nb JOIN ne USING (case_id)) USING (case_id))
+"""
+OPERATORS["case_delta"] = query(["commerce_order"], """
+SELECT *, COALESCE(old_expected_digest <> new_expected_digest, FALSE) AS changed, old_business_digest IS NULL AS is_new,
+  new_business_digest IS NULL AS is_gone FROM delta""", ctes=_DELTA)
+OPERATORS["case_reviews"] = query(["commerce_order"], """
+SELECT case_id, CASE WHEN good THEN 'expected growth' END AS change_reason, CASE WHEN good THEN 'may,june' ELSE '' END AS scenario_ids,
+  CASE WHEN good THEN 'matches_reviewed' ELSE 'review_required' END AS review_status
+FROM (SELECT case_id, CAST(case_id AS BIGINT) % 2 = 0 AS good FROM delta)""", ctes=_DELTA)
+OPERATORS["suite_report"] = query(["commerce_order"], """
+SELECT CAST(c AS VARCHAR) AS case_id,
+  CASE WHEN w = 0 THEN 'deferred' WHEN w <= 3 THEN 'request_clarification' ELSE 'execute_sql' END AS expected_action,
+  CASE WHEN w = 7 THEN NULL WHEN w IN (1, 2, 4) THEN 'request_clarification' ELSE 'execute_sql' END AS actual_action,
+  CASE WHEN w IN (0, 7) THEN 'NOT_EVALUATED' WHEN w IN (2, 3, 4) THEN 'FAIL_ACTION' WHEN w = 5 THEN 'FAIL_STRUCTURE'
+    WHEN w = 6 THEN 'FAIL_EXECUTION' WHEN w IN (8, 9, 10) OR spoilt THEN 'FAIL_RESULT' ELSE 'PASS' END AS status,
+  CASE WHEN w IN (2, 3, 4) THEN 'action' WHEN w = 5 THEN 'structure' WHEN w = 6 THEN 'execution'
+    WHEN w IN (8, 9, 10) OR spoilt THEN 'comparison' END AS failed_stage,
+  CASE w WHEN 0 THEN 'DEFERRED_SCHEMA_DEPENDENCY' WHEN 7 THEN 'MISSING_RESPONSE' WHEN 2 THEN 'CLARIFICATION_CODE_MISMATCH'
+    WHEN 3 THEN 'EXPECTED_REQUEST_CLARIFICATION' WHEN 4 THEN 'EXPECTED_EXECUTE_SQL' WHEN 5 THEN 'UNKNOWN_TABLE' WHEN 6 THEN 'QUERY_TIMEOUT'
+    WHEN 8 THEN 'COLUMN_COUNT_MISMATCH' WHEN 9 THEN 'COLUMN_NAME_MISMATCH' WHEN 10 THEN 'COLUMN_ORDER_MISMATCH'
+    ELSE CASE WHEN spoilt THEN CASE w WHEN 11 THEN 'ROW_COUNT_MISMATCH' WHEN 12 THEN 'NULL_MISMATCH' WHEN 13 THEN 'TYPE_MISMATCH'
+      WHEN 14 THEN CASE WHEN c // 16 % 2 = 0 THEN 'VALUE_MISMATCH' ELSE 'UNORDERED_MULTISET_MISMATCH' END END END END AS failure_code,
+  CASE WHEN w = 5 THEN 'WILDCARD_SELECT' ELSE '' END AS secondary_codes, NOT spoilt AS same_rows
+FROM (SELECT consumer_id AS c, consumer_id % 16 AS w, CASE consumer_id % 16 WHEN 11 THEN BOOL_OR(third) WHEN 13 THEN BOOL_OR(third)
+    WHEN 14 THEN BOOL_OR(third) WHEN 12 THEN BOOL_OR(third AND completed_at IS NOT NULL) ELSE FALSE END AS spoilt
+  FROM (SELECT *, commerce_order_id % 3 = 0 AS third FROM commerce_order) GROUP BY 1)""")
+OPERATORS["result_sink"] = query(["commerce_order", "commerce_refund"], f"""
+SELECT 'refunds' AS case_id, 'total_refund_amount,commerce_refund_id,succeeded_at' AS columns,
+  ROW_NUMBER() OVER (ORDER BY total_refund_amount, commerce_refund_id) - 1 AS position,
+  'decimal:' || CAST(total_refund_amount AS VARCHAR) || '|string:' || commerce_refund_id || '|' ||
+    COALESCE('datetime:' || {_STAMP.format("succeeded_at")}, 'null') AS row FROM commerce_refund
+UNION ALL SELECT 'sales', 'first_paid_at,commerce_order_id,is_test', ROW_NUMBER() OVER (ORDER BY first_paid_at NULLS FIRST, commerce_order_id) - 1,
+  COALESCE('datetime:' || {_STAMP.format("first_paid_at")}, 'null') || '|integer:' || commerce_order_id || '|boolean:' ||
+    CASE WHEN is_test THEN 'true' ELSE 'false' END FROM commerce_order""")

@@ -11,7 +11,8 @@ probe brings its own pair (t, c). It is cut into one-dimensional ones:
 
 A key with n events costs n log n / 2 small rows, so a key without revisions pays little. No window spans a whole key
 or block: sums and maxima run over the instants of a second, the seconds of a day and the days of a key, so
-each window is bounded by the calendar for every key alike. Nothing is counted or written while the plan is built.
+each window is bounded by the calendar for every key alike. What several steps read (the slim events and probes, the
+numbers, the blocks) is written to the shared checkpoint folder once, so building the plan runs these jobs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.session import staged
+
 Fold = Callable[[Column], Column]
 
 
@@ -87,21 +90,20 @@ def last_known_before(
 
     tie = F.struct(*(tiebreak or [F.lit(0).alias("none")])).alias("__tie")
     dated = events.filter(F.col(event_ts).isNotNull() & F.col(known_ts).isNotNull())
-    marks = keyed(dated, F.col(event_ts).alias("__ts"), tie, F.col(known_ts).alias("__known")).groupBy(
-        *cell, "__ts", "__tie").agg(F.min("__known").alias("__known"))
-    asked = keyed(probes.filter(F.col(probe_ts).isNotNull() & F.col(cutoff).isNotNull()),
-                  F.col(probe_ts).alias("__ts"), F.col(cutoff).alias("__cut")).distinct()
+    marks = staged(keyed(dated, F.col(event_ts).alias("__ts"), tie, F.col(known_ts).alias("__known")).groupBy(
+        *cell, "__ts", "__tie").agg(F.min("__known").alias("__known")))
+    asked = staged(keyed(probes.filter(F.col(probe_ts).isNotNull() & F.col(cutoff).isNotNull()),
+                         F.col(probe_ts).alias("__ts"), F.col(cutoff).alias("__cut")).distinct())
 
     # 1. numbers of the instants
     instants = marks.select(*cell, "__ts", F.lit(1).alias("__n")).unionByName(
         asked.select(*cell, "__ts", F.lit(0).alias("__n"))).groupBy(*cell, "__ts").agg(F.max("__n").cast("long").alias("__n"))
-    numbered = running(instants, cell, "__ts", "__n", F.sum)
     # how many there are decides the largest block
     sizes = instants.groupBy(*cell).agg(F.sum("__n").alias("__all"))
+    numbered = staged(_beside(running(instants, cell, "__ts", "__n", F.sum), sizes, cell))
 
     # 2. blocks of events and probes
-    placed = _beside(_beside(marks, numbered, [*cell, "__ts"]), sizes, cell)
-    event_blocks = placed.withColumn("__level", F.explode(F.expr(
+    event_blocks = _beside(marks, numbered, [*cell, "__ts"]).withColumn("__level", F.explode(F.expr(
         "filter(sequence(0, length(bin(__all)) - 1), b -> shiftright(__n - 1, b) % 2 = 0)"))).select(
         *cell, "__level", F.expr("shiftright(__n - 1, __level)").alias("__block"), F.col("__known").alias("__at"),
         F.struct("__ts", "__tie").alias("__pick"))
@@ -111,9 +113,9 @@ def last_known_before(
 
     # 3. the last event of a block known by each cutoff asked for
     block = [*cell, "__level", "__block"]
-    steps = event_blocks.unionByName(
+    steps = staged(event_blocks.unionByName(
         probe_blocks.select(*block, F.col("__cut").alias("__at")), allowMissingColumns=True).groupBy(
-        *block, "__at").agg(F.max("__pick").alias("__pick"))
+        *block, "__at").agg(F.max("__pick").alias("__pick")))
     best = running(steps, block, "__at", "__pick", F.max)
 
     # 4. the best block of a probe

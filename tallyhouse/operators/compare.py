@@ -1,19 +1,20 @@
 """Strict comparison of result tables, and roll-ups over many comparisons.
 
 Cells are compared as (kind, fixed text) without coercion or tolerance. Everything stays
-distributed: multisets are compared by signed counts, and an ordered comparison looks only
-for the first position in the declared order at which the two sides differ.
+distributed: multisets are compared by signed counts, and in an ordered comparison the two sides
+meet by their place in the declared order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.operators.blocks import inline_rows, stack
+from tallyhouse.operators.positions import with_positions
 
 # Failure codes, earliest stage first, and the statuses of a suite.
 COLUMN_COUNT, COLUMN_NAME, COLUMN_ORDER = "COLUMN_COUNT_MISMATCH", "COLUMN_NAME_MISMATCH", "COLUMN_ORDER_MISMATCH"
@@ -104,23 +105,18 @@ def compare(actual: DataFrame, expected: DataFrame, order_by: Sequence[str] | No
     if failure is not None:
         spark = actual.sparkSession
         return inline_rows(spark, "matches boolean, failure_code string", [("false", failure)])
+    if order_by is not None:
+        return _verdict(_ordered_failure(actual, expected, order_by, descending))
     both = stack(
         actual.select(_cells(actual.schema).alias("cells"), F.lit(1).alias("side")),
         expected.select(_cells(expected.schema).alias("cells"), F.lit(-1).alias("side")),
     )
-    counted = both.groupBy("cells").agg(
-        F.sum("side").alias("surplus"), F.count_if(F.col("side") > 0).alias("ours"), F.count_if(F.col("side") < 0).alias("theirs")
-    )
-    if order_by is None:
-        diagnosis = _multiset_failure(counted)
-    else:
-        positions = [actual.columns.index(c) for c in order_by]
-        counted = counted.persist()  # read by up to three small actions
-        try:
-            diagnosis = _ordered_failure(counted, actual, positions, {actual.columns.index(c) for c in descending})
-        finally:
-            counted.unpersist()
-    return diagnosis.select(F.col("failure_code").isNull().alias("matches"), "failure_code")
+    counted = both.groupBy("cells").agg(F.sum("side").alias("surplus"))
+    return _verdict(_multiset_failure(counted))
+
+
+def _verdict(found: DataFrame) -> DataFrame:
+    return found.select(F.col("failure_code").isNull().alias("matches"), "failure_code")
 
 
 def _multiset_failure(counted: DataFrame) -> DataFrame:
@@ -147,58 +143,28 @@ def _multiset_failure(counted: DataFrame) -> DataFrame:
     )
 
 
-def _ordered_failure(counted: DataFrame, actual: DataFrame, order: Sequence[int], descending: set[int]) -> DataFrame:
-    """The cells at the first differing position decide.
+def first_difference(ours: Column, theirs: Column) -> Column:
+    """The failure code of the first cell that differs: NULL before other kinds, kinds before texts."""
+    def code(a: Column, b: Column) -> Column:
+        nulls = (a["kind"] == "null") | (b["kind"] == "null")
+        return F.when(a["kind"] != b["kind"], F.when(nulls, NULLS).otherwise(TYPES)).when(~a["text"].eqNullSafe(b["text"]), VALUES)
+
+    return F.get(F.filter(F.zip_with(ours, theirs, code), lambda c: c.isNotNull()), F.lit(0))
 
-    Up to the first row K (in the declared order, ties by the remaining columns) that the sides
-    hold unequally often, both sequences agree. At that position the side with more of K still
-    shows K, the other side its first row after K. Only these two rows come to the driver.
-    """
-    spark = actual.sparkSession
-    positions = [*order, *[i for i in range(len(actual.columns)) if i not in order]]
-    keyed, keys, ordering = counted, [], []
-    for i in positions:
-        numeric = kind_of(actual.schema[i].dataType) in ("integer", "decimal")
-        value = F.expr(f"try_cast(cells[{i}].text AS decimal(38,4))") if numeric else F.col("cells")[i]["text"]
-        keys.append((f"k{i}", i in descending))
-        keyed = keyed.withColumn(f"k{i}", value)
-    # rows equal in value but not in kind or scale still need an order
-    keys.append(("whole", False))
-    keyed = keyed.withColumn("whole", F.to_json("cells"))
-    for name, falling in keys:
-        ordering.append(F.col(name).desc_nulls_last() if falling else F.col(name).asc_nulls_first())
-
-    if counted.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("s")).head()["s"] != 0:
-        return _verdict(spark, ROW_COUNT)
-    k = keyed.filter("surplus <> 0").orderBy(*ordering).head()
-    if k is None:
-        return _verdict(spark, None)
-    after, equal_so_far = F.lit(False), F.lit(True)
-    for name, falling in keys:
-        here, there = F.col(name), F.lit(k[name])
-        if k[name] is None:
-            later = F.lit(False) if falling else here.isNotNull()
-        else:
-            later = (here.isNull() | (here < there)) if falling else F.coalesce(here > there, F.lit(False))
-        after = after | (equal_so_far & later)
-        equal_so_far = equal_so_far & here.eqNullSafe(there)
-    other = "theirs" if k["surplus"] > 0 else "ours"
-    following = keyed.filter(after).filter(F.col(other) > 0).orderBy(*ordering).head()
-    return _verdict(spark, _row_failure(k["cells"], following["cells"]))
-
-
-def _row_failure(a: Sequence, b: Sequence) -> str:
-    """NULL before TYPE before VALUE, by the first differing cell of two rows."""
-    for x, y in zip(a, b):
-        if x["kind"] != y["kind"]:
-            return NULLS if "null" in (x["kind"], y["kind"]) else TYPES
-        if x["text"] != y["text"]:
-            return VALUES
-    raise ValueError("the rows are equal")
-
-
-def _verdict(spark: SparkSession, code: str | None) -> DataFrame:
-    return inline_rows(spark, "failure_code string", [(code,)])
+
+def _ordered_failure(actual: DataFrame, expected: DataFrame, order_by: Sequence[str], descending: Sequence[str]) -> DataFrame:
+    """Row count first, then the first differing cell at the first place that differs."""
+    sides = [
+        with_positions(df, order_by, descending, "__place").select("__place", F.lit(side).alias("side"), _cells(df.schema).alias("cells"))
+        for df, side in ((actual, 1), (expected, -1))
+    ]
+    ours, theirs = F.when(F.col("side") > 0, F.col("cells")), F.when(F.col("side") < 0, F.col("cells"))
+    places = stack(*sides).groupBy("__place").agg(F.sum("side").alias("surplus"), F.max(ours).alias("ours"), F.max(theirs).alias("theirs"))
+    code = first_difference(F.col("ours"), F.col("theirs"))
+    found = places.select("__place", "surplus", code.alias("code")).agg(
+        F.coalesce(F.sum("surplus"), F.lit(0)).alias("row_surplus"),
+        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("__place"))).alias("code"))
+    return found.select(F.when(F.col("row_surplus") != 0, ROW_COUNT).otherwise(F.col("code")).alias("failure_code"))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -236,24 +202,3 @@ def response_gaps(expected: DataFrame, responses: DataFrame) -> DataFrame:
         responses.join(expected, "case_id", "left_anti").select("case_id", F.lit("unknown").alias("problem")),
         responses.join(deferred, "case_id", "left_semi").select("case_id", F.lit("forbidden").alias("problem")),
     )
-
-
-def baseline_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old and new digest per case: (case_id, old_digest, new_digest, changed, is_new)."""
-    joined = old.select("case_id", F.col("digest").alias("old_digest")).join(
-        new.select("case_id", F.col("digest").alias("new_digest")), "case_id", "full_outer"
-    )
-    is_new = F.col("old_digest").isNull()
-    changed = ~is_new & ~F.col("old_digest").eqNullSafe(F.col("new_digest"))
-    return joined.withColumn("changed", changed).withColumn("is_new", is_new)
-
-
-def review_status(delta: DataFrame, reviewed: DataFrame, digests: Sequence[str]) -> DataFrame:
-    """A reviewed reason is reused only if all digests still match, else a review is required."""
-    earlier = reviewed.select("case_id", F.struct(*digests).alias("seen"), "change_reason")
-    joined = delta.withColumn("now", F.struct(*digests)).join(earlier, "case_id", "left")
-    same = F.col("now").eqNullSafe(F.col("seen"))
-    return joined.select(
-        "case_id", F.when(same, F.col("change_reason")).alias("change_reason"),
-        F.when(same, "matches_reviewed").otherwise("review_required").alias("review_status"),
-    )

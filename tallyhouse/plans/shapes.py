@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Params
 from tallyhouse.functions.money import money, total
-from tallyhouse.operators import business_rules, lifecycle, quality
+from tallyhouse.operators import business_rules, lifecycle, quality, suite
 from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, attribute_at, conversions, latest_results
 from tallyhouse.operators.blocks import (
     append_total,
@@ -25,10 +26,12 @@ from tallyhouse.operators.blocks import (
     key_union_join,
     stack,
 )
-from tallyhouse.operators.compare import baseline_delta, compare, digest, response_gaps, review_status, suite_rollup
+from tallyhouse.operators.compare import _cells as cells_of
+from tallyhouse.operators.compare import compare, digest, response_gaps, suite_rollup
 from tallyhouse.plans.commerce import items, of_real_products, orders, real_merchants, refunded_items, sold_items
 from tallyhouse.plans.marketing import visible_spend
 from tallyhouse.plans.saas import snapshots, state_events
+from tallyhouse.session import shared_dir
 
 TablesMap = Mapping[str, DataFrame]
 EARLY_CUTOFF = datetime(1997, 5, 15, 7)
@@ -277,32 +280,107 @@ def table_digest(t: TablesMap, p: Params) -> DataFrame:
     return digest(t["commerce_order"])
 
 
-def _case_digests(t: TablesMap, p: Params, month: int) -> DataFrame:
-    """A case per merchant; its digest is that of the merchant's order ids in the month."""
-    found = bucket_by_period(t["commerce_order"], "first_paid_at", p.months(month, month))
-    ids = F.sum("commerce_order_id").cast("string")
-    return found.groupBy(F.col("merchant_assignment_id").cast("string").alias("case_id")).agg(ids.alias("digest"))
-
-
 def suite_counts(t: TablesMap, p: Params) -> DataFrame:
     """Orders as evaluated cases, by a status taken from their own."""
     status = F.when(F.col("status") == "completed", "PASS").when(F.col("status") == "paid", "FAIL_RESULT").otherwise("NOT_EVALUATED")
     return suite_rollup(t["commerce_order"].select(F.col("external_order_id").alias("case_id"), status.alias("status")))
 
 
+def _case_orders(t: TablesMap) -> DataFrame:
+    """Orders as result rows: a case per consumer, placed by order id."""
+    shown = t["commerce_order"].select("external_order_id", "merchant_assignment_id", "status", "completed_at", "consumer_id", "commerce_order_id")
+    cells = shown.select("external_order_id", "merchant_assignment_id", "status", "completed_at")
+    return shown.select(
+        F.col("consumer_id").cast("string").alias("case_id"), F.col("commerce_order_id").alias("position"),
+        cells_of(cells.schema).alias("cells"), "consumer_id", "commerce_order_id", "completed_at")
+
+
+_SHOWN = ["external_order_id", "merchant_assignment_id", "status", "completed_at"]
+
+
+def _suite(t: TablesMap) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A suite with a case per consumer; sixteen ways to answer, dealt by consumer id, alternately ordered and not."""
+    rows = _case_orders(t)
+    people = rows.select("case_id", "consumer_id").distinct()
+    way = F.col("consumer_id") % 16
+    names = F.array(*[F.lit(c) for c in _SHOWN])
+    cases = people.select(
+        "case_id",
+        F.when(way == 0, suite.DEFERRED).when(way.between(1, 3), suite.CLARIFY).otherwise(suite.EXECUTE).alias("expected_action"),
+        F.when(way.between(1, 3), "unclear_period").alias("clarification_code"),
+        F.when(F.floor(F.col("consumer_id") / 16) % 2 == 0, suite.ORDERED).otherwise(suite.UNORDERED).alias("mode"),
+        names.alias("columns"))
+    answered = (
+        F.when(way == 8, F.slice(names, 1, 3)).when(way == 9, F.array(*[F.lit(f"x_{c}") for c in _SHOWN]))
+        .when(way == 10, F.reverse(names)).otherwise(names))
+    responses = people.filter(way != 7).select(
+        "case_id", F.when(way.isin(1, 2, 4), suite.CLARIFY).otherwise(suite.EXECUTE).alias("action"),
+        F.when(way.isin(1, 4), "unclear_period").when(way == 2, "unclear_scope").alias("clarification_code"),
+        F.when(way == 5, F.array(F.lit("WILDCARD_SELECT"), F.lit("UNKNOWN_TABLE"))).alias("structure_codes"),
+        F.when(way == 6, "QUERY_TIMEOUT").alias("execution_code"), answered.alias("columns"))
+    third = F.col("commerce_order_id") % 3 == 0
+
+    def changed(place: int, **parts: object) -> Column:
+        cell = F.struct(*[F.lit(parts[k]).cast("string").alias(k) if k in parts else F.col("cells")[place][k].alias(k) for k in ("kind", "text")])
+        return F.concat(F.slice("cells", 1, place), F.array(cell), F.slice("cells", place + 2, 4))
+
+    spoiled = (
+        F.when((way == 12) & third, changed(3, kind="null", text=None)).when((way == 13) & third, changed(1, kind="decimal"))
+        .when((way == 14) & third, changed(2, text="archived")).otherwise(F.col("cells")))
+    actual = rows.filter(~((way == 11) & third)).select("case_id", "position", spoiled.alias("cells"))
+    return cases, responses, actual, rows.select("case_id", "position", "cells")
+
+
+def suite_report(t: TablesMap, p: Params) -> DataFrame:
+    """Every case's outcome, and whether both sides hold the same rows."""
+    report = suite.suite_report(*_suite(t))
+    return report.select(
+        "case_id", "expected_action", "actual_action", "status", "failed_stage", "failure_code",
+        F.array_join("secondary_codes", ",").alias("secondary_codes"),
+        F.col("expected_digest").eqNullSafe(F.col("actual_digest")).alias("same_rows"))
+
+
+def _case_digests(t: TablesMap, p: Params, month: int) -> DataFrame:
+    """A case per merchant: the digests of its orders of a month, by content alone and with their places."""
+    found = bucket_by_period(t["commerce_order"], "first_paid_at", p.months(month, month))
+    shown = found.select("external_order_id", "status")
+    rows = found.select(F.col("merchant_assignment_id").cast("string").alias("case_id"), F.col("commerce_order_id").alias("position"),
+                        cells_of(shown.schema).alias("cells"))
+    business = suite.row_digests(rows, F.lit(suite.UNORDERED)).withColumnRenamed("digest", "business_digest")
+    expected = suite.row_digests(rows, F.lit(suite.ORDERED)).withColumnRenamed("digest", "expected_digest")
+    return business.join(expected, "case_id")
+
+
+_DIGESTS = ["business_digest", "expected_digest"]
+
+
 def case_delta(t: TablesMap, p: Params) -> DataFrame:
-    return baseline_delta(_case_digests(t, p, 5), _case_digests(t, p, 6))
+    return suite.delta(_case_digests(t, p, 5), _case_digests(t, p, 6), _DIGESTS)
 
 
 def case_reviews(t: TablesMap, p: Params) -> DataFrame:
-    """Reviews of the May/June change, half of them for digests that have moved on since."""
-    delta = case_delta(t, p)
-    stale = F.col("case_id").cast("bigint") % 2 == 1
-    reviewed = delta.select(
-        "case_id", F.when(stale, F.concat("new_digest", F.lit("?"))).otherwise(F.col("new_digest")).alias("new_digest"),
-        "old_digest", F.lit("expected growth").alias("change_reason"),
-    )
-    return review_status(delta, reviewed, ["old_digest", "new_digest"])
+    """Reviews of the May/June change; half of them saw another digest, each time another one of the four."""
+    changes = case_delta(t, p)
+    number = F.col("case_id").cast("bigint")
+    seen = [f"{side}_{d}" for side in ("old", "new") for d in _DIGESTS]
+    reviewed = changes.select(
+        "case_id", *[F.when(number % 8 == 2 * k + 1, F.concat(F.coalesce(c, F.lit("")), F.lit("?"))).otherwise(F.col(c)).alias(c) for k, c in enumerate(seen)],
+        F.lit("expected growth").alias("change_reason"), F.array(F.lit("may"), F.lit("june")).alias("scenario_ids"))
+    found = suite.reviews(changes, reviewed, _DIGESTS)
+    return found.withColumn("scenario_ids", F.array_join("scenario_ids", ","))
+
+
+def result_sink(t: TablesMap, p: Params) -> DataFrame:
+    """Two results written in their declared order and read back by place."""
+    spark = t["commerce_order"].sparkSession
+    path = f"{shared_dir(spark)}/results-{uuid4().hex}"
+    refunds = t["commerce_refund"].select("total_refund_amount", "commerce_refund_id", "succeeded_at")
+    sold = t["commerce_order"].select("first_paid_at", "commerce_order_id", "is_test")
+    suite.write_suite({"refunds": refunds, "sales": sold}, path,
+                      {"refunds": ["total_refund_amount", "commerce_refund_id"], "sales": ["first_paid_at", "commerce_order_id"]})
+    back = suite.read_suite(spark, path)
+    return back.select("case_id", F.array_join("columns", ",").alias("columns"), "position",
+                       F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["kind"], c["text"])), "|").alias("row"))
 
 
 def response_completeness(t: TablesMap, p: Params) -> DataFrame:
@@ -317,7 +395,7 @@ def response_completeness(t: TablesMap, p: Params) -> DataFrame:
 PLAIN = [
     state_asof_multi, latest_spend_revision, attribution_last_touch, attribution_own_cutoffs, densify_periods, key_union, total_row, required_rows,
     merchants_without_sales, dq_line_key, dq_text_formats, load_upsert_check, verify_rows, unload_rows,
-    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, case_delta, case_reviews,
+    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, case_delta, case_reviews, result_sink,
     response_completeness,
 ]
 # rules that never read attribution results

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,6 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and goes on from there, for what is read several times."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 @cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tallyhouse-")

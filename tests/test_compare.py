@@ -98,13 +98,6 @@ def test_rollups(spark):
     results = spark.createDataFrame([("a", "PASS"), ("b", "PASS"), ("c", "FAIL_RESULT")], "case_id string, status string")
     counts = {r["status"]: r["cases"] for r in C.suite_rollup(results).collect()}
     assert counts == {s: 0 for s in C.STATUSES} | {"PASS": 2, "FAIL_RESULT": 1}
-    old = spark.createDataFrame([("a", "1"), ("b", "2")], "case_id string, digest string")
-    new = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "case_id string, digest string")
-    delta = C.baseline_delta(old, new)
-    assert sorted((r["case_id"], r["changed"], r["is_new"]) for r in delta.collect()) == [("a", False, False), ("b", True, False), ("c", False, True)]
-    reviewed = spark.createDataFrame([("b", "2", "3", "why"), ("a", "1", "9", "old")], "case_id string, old_digest string, new_digest string, change_reason string")
-    status = {r["case_id"]: (r["change_reason"], r["review_status"]) for r in C.review_status(delta, reviewed, ["old_digest", "new_digest"]).collect()}
-    assert status == {"a": (None, "review_required"), "b": ("why", "matches_reviewed"), "c": (None, "review_required")}
 
 
 def test_response_gaps(spark):
