@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.blocks import stack
-from tallyhouse.operators.rules import CHECKS, UNIQUE, references
+from tallyhouse.operators.blocks import inline_rows, stack
+from tallyhouse.operators.rules import CHECKS, REFERENCES, UNIQUE
 from tallyhouse.schemas import primary_key
 
 TablesMap = Mapping[str, DataFrame]
@@ -54,21 +56,55 @@ def check_report(t: TablesMap) -> DataFrame:
     )
 
 
+def _with_zeros(counted: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(table_name, rule, violations) of all rules, 0 where nothing was counted."""
+    zeros = inline_rows(counted.sparkSession, "table_name string, rule string, violations bigint", [(*rule, "0") for rule in rules])
+    return stack(zeros, counted.select("table_name", "rule", "violations")).groupBy("table_name", "rule").agg(
+        F.sum("violations").alias("violations"))
+
+
+def _keys(df: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(rule, key) of every row and rule whose columns are all set: one pass over the table for all its rules."""
+    keys = [
+        F.struct(F.lit(rule).alias("rule"), F.when(
+            reduce(and_, [F.col(c).isNotNull() for c in columns]), F.to_json(F.struct(*[F.col(c).cast("string") for c in columns]))).alias("key"))
+        for rule, columns in rules
+    ]
+    return df.select(F.inline(F.array(*keys))).filter("key IS NOT NULL")
+
+
 def unique_report(t: TablesMap) -> DataFrame:
-    return stack(
-        *[
-            unique(t[table], columns.split()).agg(F.count(F.lit(1)).alias("violations"))
-            .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
-            for table, rule, columns in UNIQUE
-        ]
-    )
+    """Keys held by several rows, for all rules: each table is read once and all keys meet in one grouping."""
+    tables: dict[str, list[tuple[str, Sequence[str]]]] = {}
+    for table, rule, columns in UNIQUE:
+        tables.setdefault(table, []).append((rule, columns))
+    keys = stack(*[_keys(t[table], rules).select(F.lit(table).alias("table_name"), "rule", "key") for table, rules in tables.items()])
+    doubled = keys.groupBy("table_name", "rule", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = doubled.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("violations"))
+    return _with_zeros(counted, [(table, rule) for table, rule, _ in UNIQUE])
 
 
 def foreign_key_report(t: TablesMap) -> DataFrame:
-    return stack(
-        *[
-            foreign_key(t[child], column, t[parent], primary_key(parent)).agg(F.count(F.lit(1)).alias("violations"))
-            .select(F.lit(child).alias("table_name"), F.lit(column).alias("rule"), "violations")
-            for child, column, parent in references()
-        ]
-    )
+    """Child rows without their parent, for all references: each table is read once.
+
+    Children are first cut to one row per (reference, key), so a key meets its parent next to at most one row per
+    reference, however many children it has.
+    """
+    children: dict[str, list[tuple[str, str]]] = {}
+    for child, column, parent in REFERENCES:
+        children.setdefault(child, []).append((column, parent))
+    asked = stack(*[
+        t[child].select(F.lit(child).alias("table_name"), F.inline(F.array(*[
+            F.struct(F.lit(column).alias("rule"), F.lit(parent).alias("parent"), F.col(column).cast("string").alias("key"))
+            for column, parent in columns]))).filter("key IS NOT NULL")
+        for child, columns in children.items()
+    ]).groupBy("table_name", "rule", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    there = stack(*[
+        t[parent].select(F.lit(parent).alias("parent"), F.col(primary_key(parent)).cast("string").alias("key"))
+        for parent in dict.fromkeys(parent for _, _, parent in REFERENCES)
+    ]).withColumn("here", F.lit(True))
+    both = asked.select("parent", "key", F.struct("table_name", "rule", "n").alias("child")).unionByName(there, allowMissingColumns=True)
+    met = both.groupBy("parent", "key").agg(F.max("here").alias("here"), F.collect_list("child").alias("children"))
+    lost = met.filter("here IS NULL").select(F.inline("children"))
+    counted = lost.groupBy("table_name", "rule").agg(F.sum("n").alias("violations"))
+    return _with_zeros(counted, [(child, column) for child, column, _ in REFERENCES])

@@ -31,6 +31,7 @@ from tallyhouse.operators.compare import compare, digest, response_gaps, suite_r
 from tallyhouse.plans.commerce import items, of_real_products, orders, real_merchants, refunded_items, sold_items
 from tallyhouse.plans.marketing import visible_spend
 from tallyhouse.plans.saas import snapshots, state_events
+from tallyhouse.schemas import INSTANT, INT, LONG, MONEY, SCHEMAS, TEXT, primary_key
 from tallyhouse.session import shared_dir
 
 TablesMap = Mapping[str, DataFrame]
@@ -148,8 +149,41 @@ class _WithFaults(dict):
         return _faulty_results(self._t[name]) if name == "attributed_conversion" else self._t[name]
 
 
+def _digit(name: str) -> Column:
+    """0 to 15 by the row's key: by its number, which the small tables have without gaps, else by its text."""
+    key = F.col(primary_key(name)).cast("string")
+    digit = F.conv(F.substring(F.md5(key), 1, 1), 16, 10).cast("int")
+    return F.coalesce((key.try_cast("bigint") % 16).cast("int"), digit)
+
+
+def _spoiled(df: DataFrame, name: str) -> DataFrame:
+    """Most rows with one kind of fault each: amounts, codes and numbers, order of times, missing or odd times, links."""
+    digit, columns = _digit(name), []
+    for place, field in enumerate(SCHEMAS[name]):
+        found, kind = F.col(field.name), field.dataType
+        if place == 0:
+            value = found
+        elif kind == MONEY:
+            value = F.when(digit < 6, (F.lit(-1) - found).cast(MONEY)).otherwise(found)
+        elif kind == TEXT:
+            value = F.when(digit.between(3, 5), "").otherwise(found)
+        elif kind == INT:
+            value = F.when(digit.between(3, 5), 0).otherwise(found)
+        elif kind == INSTANT:
+            value = F.when(digit.between(6, 8), found - F.make_dt_interval(days=F.lit(400 * place)))
+            if field.nullable:
+                value = value.when(digit.between(9, 11), None).when(digit == 15, F.lit("1990-01-01").cast("timestamp_ntz"))
+            value = value.otherwise(found)
+        elif kind == LONG and field.nullable:
+            value = F.when(digit.between(12, 14), 7).otherwise(found)
+        else:
+            value = found
+        columns.append(value.cast(kind).alias(field.name))
+    return df.select(*columns)
+
+
 def dq_checks(t: TablesMap, p: Params) -> DataFrame:
-    return quality.check_report(_WithFaults(t))
+    return quality.check_report({name: _spoiled(t[name], name) for name in SCHEMAS})
 
 
 def dq_check_rows(t: TablesMap, p: Params) -> DataFrame:
@@ -160,7 +194,8 @@ def dq_check_rows(t: TablesMap, p: Params) -> DataFrame:
 
 
 def dq_unique(t: TablesMap, p: Params) -> DataFrame:
-    return quality.unique_report(t)
+    """Every unique rule, with a fifth of the rows stored twice."""
+    return quality.unique_report({name: stack(t[name], t[name].filter(_digit(name) < 3)) for name in SCHEMAS})
 
 
 def dq_line_key(t: TablesMap, p: Params) -> DataFrame:
@@ -169,7 +204,8 @@ def dq_line_key(t: TablesMap, p: Params) -> DataFrame:
 
 
 def dq_foreign_key(t: TablesMap, p: Params) -> DataFrame:
-    return quality.foreign_key_report(_WithFaults(t))
+    """Every reference, with a fifth of the rows of each table missing."""
+    return quality.foreign_key_report({name: t[name].filter(_digit(name) >= 3) for name in SCHEMAS})
 
 
 def _rules(*names: str):

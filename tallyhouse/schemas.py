@@ -4,51 +4,332 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The column names and types of the model. `long`, `int`, `small`, `ts` (naive UTC
-# instant, microseconds), `date`, `money`, `bool`; `str` where nothing is said; `?` nullable.
-_COLUMNS = {
-    "organization": "organization_id:long external_organization_id organization_name status registered_at:ts closed_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "organization_member": "organization_member_id:long external_membership_id organization_id:long external_account_id? status first_invited_at:ts? accepted_at:ts? effective_from:ts effective_to:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "consumer": "consumer_id:long external_consumer_id status first_identified_at:ts created_at:ts closed_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "merchant": "merchant_assignment_id:long merchant_id:long external_merchant_id organization_id:long merchant_name status applied_at:ts? approved_at:ts? activated_at:ts? closed_at:ts? assignment_valid_from:ts assignment_valid_to:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "saas_plan_version": "saas_plan_version_id:long plan_code version_number:small plan_name tier_code billing_interval recurring_amount:money currency_code status effective_from:ts effective_to:ts? is_test:bool created_at:ts recorded_at:ts updated_at:ts",
-    "subscription": "subscription_id:long external_subscription_id organization_id:long current_plan_version_id:long? current_status created_at:ts first_activated_at:ts? current_period_started_at:ts? current_period_ends_at:ts? cancel_scheduled_at:ts? cancellation_effective_at:ts? expires_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "subscription_state_event": "subscription_state_event_id:long source_event_id subscription_id:long event_type status_before? status_after? plan_version_before_id:long? plan_version_after_id:long? billing_interval_before? billing_interval_after? recurring_amount_before:money recurring_amount_after:money normalized_mrr_before:money normalized_mrr_after:money currency_code effective_at:ts created_at:ts is_test:bool recorded_at:ts",
-    "subscription_invoice": "subscription_invoice_id:long external_invoice_id subscription_id:long status subscription_fee_amount:money tax_amount:money one_time_amount:money total_amount:money currency_code issued_at:ts? due_at:ts? voided_at:ts? paid_at:ts? created_at:ts is_test:bool recorded_at:ts updated_at:ts",
-    "invoice_payment_attempt": "invoice_payment_attempt_id:long external_payment_attempt_id provider_transaction_id? subscription_invoice_id:long status subscription_fee_amount:money tax_amount:money one_time_amount:money total_amount:money currency_code attempted_at:ts succeeded_at:ts? failed_at:ts? cancelled_at:ts? failure_code? is_test:bool recorded_at:ts",
-    "product": "product_id:long external_product_id merchant_assignment_id:long product_title category_code status created_at:ts first_published_at:ts? archived_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "commerce_order": "commerce_order_id:long external_order_id consumer_id:long merchant_assignment_id:long status currency_code created_at:ts first_paid_at:ts? fulfilled_at:ts? completed_at:ts? cancelled_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "commerce_order_item": "commerce_order_item_id:long external_order_item_id commerce_order_id:long product_id:long product_category_code quantity:int discounted_item_amount:money currency_code created_at:ts is_test:bool recorded_at:ts",
-    "commerce_refund": "commerce_refund_id:long external_refund_id commerce_order_id:long status item_refund_amount:money tax_refund_amount:money shipping_refund_amount:money total_refund_amount:money currency_code reason_code? requested_at:ts processed_at:ts? succeeded_at:ts? failed_at:ts? cancelled_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "refund_item_allocation": "refund_item_allocation_id:long external_refund_allocation_id commerce_refund_id:long commerce_order_item_id:long allocated_item_amount:money currency_code created_at:ts corrected_at:ts? is_test:bool recorded_at:ts updated_at:ts",
-    "platform_fee_charge": "platform_fee_charge_id:long external_fee_charge_id provider_charge_id? commerce_order_id:long status fee_amount:money currency_code attempted_at:ts succeeded_at:ts? failed_at:ts? cancelled_at:ts? is_test:bool recorded_at:ts",
-    "marketing_channel": "marketing_channel_id:long channel_code channel_name channel_type status effective_from:ts effective_to:ts? is_test:bool created_at:ts recorded_at:ts updated_at:ts",
-    "marketing_campaign": "marketing_campaign_id:long external_campaign_id organization_id:long merchant_assignment_id:long? primary_channel_id:long business_scope campaign_name status created_at:ts started_at:ts? ended_at:ts? status_updated_at:ts is_test:bool recorded_at:ts updated_at:ts",
-    "campaign_daily_spend": "campaign_daily_spend_id:long marketing_campaign_id:long business_date:date version_number:small supersedes_campaign_daily_spend_id:long? spend_amount:money currency_code finalized_at:ts is_test:bool recorded_at:ts",
-    "marketing_touch": "marketing_touch_id:long source_event_id marketing_channel_id:long marketing_campaign_id:long? organization_id:long? consumer_id:long? touch_type quality_status occurred_at:ts received_at:ts processed_at:ts? is_test:bool recorded_at:ts",
-    "attributed_conversion": "attributed_conversion_id:str conversion_type organization_id:long? consumer_id:long? invoice_payment_attempt_id:long? commerce_order_id:long? platform_fee_charge_id:long? selected_marketing_touch_id:long? marketing_channel_id:long? marketing_campaign_id:long? attribution_result reason_code model_version conversion_at:ts window_started_at:ts history_complete:bool source_data_cutoff_at:ts attributed_at:ts is_test:bool recorded_at:ts",
-}
+LONG, INT, TEXT, DAY, FLAG = T.LongType(), T.IntegerType(), T.StringType(), T.DateType(), T.BooleanType()
+INSTANT = T.TimestampNTZType()  # naive UTC, microseconds
+MONEY = T.DecimalType(19, 4)
 
-_TYPES = {
-    "long": T.LongType(),
-    "int": T.IntegerType(),
-    "small": T.IntegerType(),
-    "str": T.StringType(),
-    "ts": T.TimestampNTZType(),
-    "date": T.DateType(),
-    "money": T.DecimalType(19, 4),
-    "bool": T.BooleanType(),
+# The columns of the model as (name, type, nullable).
+COLUMNS: dict[str, tuple[tuple[str, T.DataType, bool], ...]] = {
+    "organization": (
+        ("organization_id", LONG, False),
+        ("external_organization_id", TEXT, False),
+        ("organization_name", TEXT, False),
+        ("status", TEXT, False),
+        ("registered_at", INSTANT, False),
+        ("closed_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "organization_member": (
+        ("organization_member_id", LONG, False),
+        ("external_membership_id", TEXT, False),
+        ("organization_id", LONG, False),
+        ("external_account_id", TEXT, True),
+        ("status", TEXT, False),
+        ("first_invited_at", INSTANT, True),
+        ("accepted_at", INSTANT, True),
+        ("effective_from", INSTANT, False),
+        ("effective_to", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "consumer": (
+        ("consumer_id", LONG, False),
+        ("external_consumer_id", TEXT, False),
+        ("status", TEXT, False),
+        ("first_identified_at", INSTANT, False),
+        ("created_at", INSTANT, False),
+        ("closed_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "merchant": (
+        ("merchant_assignment_id", LONG, False),
+        ("merchant_id", LONG, False),
+        ("external_merchant_id", TEXT, False),
+        ("organization_id", LONG, False),
+        ("merchant_name", TEXT, False),
+        ("status", TEXT, False),
+        ("applied_at", INSTANT, True),
+        ("approved_at", INSTANT, True),
+        ("activated_at", INSTANT, True),
+        ("closed_at", INSTANT, True),
+        ("assignment_valid_from", INSTANT, False),
+        ("assignment_valid_to", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "saas_plan_version": (
+        ("saas_plan_version_id", LONG, False),
+        ("plan_code", TEXT, False),
+        ("version_number", INT, False),
+        ("plan_name", TEXT, False),
+        ("tier_code", TEXT, False),
+        ("billing_interval", TEXT, False),
+        ("recurring_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("status", TEXT, False),
+        ("effective_from", INSTANT, False),
+        ("effective_to", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("created_at", INSTANT, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "subscription": (
+        ("subscription_id", LONG, False),
+        ("external_subscription_id", TEXT, False),
+        ("organization_id", LONG, False),
+        ("current_plan_version_id", LONG, True),
+        ("current_status", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("first_activated_at", INSTANT, True),
+        ("current_period_started_at", INSTANT, True),
+        ("current_period_ends_at", INSTANT, True),
+        ("cancel_scheduled_at", INSTANT, True),
+        ("cancellation_effective_at", INSTANT, True),
+        ("expires_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "subscription_state_event": (
+        ("subscription_state_event_id", LONG, False),
+        ("source_event_id", TEXT, False),
+        ("subscription_id", LONG, False),
+        ("event_type", TEXT, False),
+        ("status_before", TEXT, True),
+        ("status_after", TEXT, True),
+        ("plan_version_before_id", LONG, True),
+        ("plan_version_after_id", LONG, True),
+        ("billing_interval_before", TEXT, True),
+        ("billing_interval_after", TEXT, True),
+        ("recurring_amount_before", MONEY, False),
+        ("recurring_amount_after", MONEY, False),
+        ("normalized_mrr_before", MONEY, False),
+        ("normalized_mrr_after", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("effective_at", INSTANT, False),
+        ("created_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "subscription_invoice": (
+        ("subscription_invoice_id", LONG, False),
+        ("external_invoice_id", TEXT, False),
+        ("subscription_id", LONG, False),
+        ("status", TEXT, False),
+        ("subscription_fee_amount", MONEY, False),
+        ("tax_amount", MONEY, False),
+        ("one_time_amount", MONEY, False),
+        ("total_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("issued_at", INSTANT, True),
+        ("due_at", INSTANT, True),
+        ("voided_at", INSTANT, True),
+        ("paid_at", INSTANT, True),
+        ("created_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "invoice_payment_attempt": (
+        ("invoice_payment_attempt_id", LONG, False),
+        ("external_payment_attempt_id", TEXT, False),
+        ("provider_transaction_id", TEXT, True),
+        ("subscription_invoice_id", LONG, False),
+        ("status", TEXT, False),
+        ("subscription_fee_amount", MONEY, False),
+        ("tax_amount", MONEY, False),
+        ("one_time_amount", MONEY, False),
+        ("total_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("attempted_at", INSTANT, False),
+        ("succeeded_at", INSTANT, True),
+        ("failed_at", INSTANT, True),
+        ("cancelled_at", INSTANT, True),
+        ("failure_code", TEXT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "product": (
+        ("product_id", LONG, False),
+        ("external_product_id", TEXT, False),
+        ("merchant_assignment_id", LONG, False),
+        ("product_title", TEXT, False),
+        ("category_code", TEXT, False),
+        ("status", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("first_published_at", INSTANT, True),
+        ("archived_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "commerce_order": (
+        ("commerce_order_id", LONG, False),
+        ("external_order_id", TEXT, False),
+        ("consumer_id", LONG, False),
+        ("merchant_assignment_id", LONG, False),
+        ("status", TEXT, False),
+        ("currency_code", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("first_paid_at", INSTANT, True),
+        ("fulfilled_at", INSTANT, True),
+        ("completed_at", INSTANT, True),
+        ("cancelled_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "commerce_order_item": (
+        ("commerce_order_item_id", LONG, False),
+        ("external_order_item_id", TEXT, False),
+        ("commerce_order_id", LONG, False),
+        ("product_id", LONG, False),
+        ("product_category_code", TEXT, False),
+        ("quantity", INT, False),
+        ("discounted_item_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "commerce_refund": (
+        ("commerce_refund_id", LONG, False),
+        ("external_refund_id", TEXT, False),
+        ("commerce_order_id", LONG, False),
+        ("status", TEXT, False),
+        ("item_refund_amount", MONEY, False),
+        ("tax_refund_amount", MONEY, False),
+        ("shipping_refund_amount", MONEY, False),
+        ("total_refund_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("reason_code", TEXT, True),
+        ("requested_at", INSTANT, False),
+        ("processed_at", INSTANT, True),
+        ("succeeded_at", INSTANT, True),
+        ("failed_at", INSTANT, True),
+        ("cancelled_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "refund_item_allocation": (
+        ("refund_item_allocation_id", LONG, False),
+        ("external_refund_allocation_id", TEXT, False),
+        ("commerce_refund_id", LONG, False),
+        ("commerce_order_item_id", LONG, False),
+        ("allocated_item_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("corrected_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "platform_fee_charge": (
+        ("platform_fee_charge_id", LONG, False),
+        ("external_fee_charge_id", TEXT, False),
+        ("provider_charge_id", TEXT, True),
+        ("commerce_order_id", LONG, False),
+        ("status", TEXT, False),
+        ("fee_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("attempted_at", INSTANT, False),
+        ("succeeded_at", INSTANT, True),
+        ("failed_at", INSTANT, True),
+        ("cancelled_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "marketing_channel": (
+        ("marketing_channel_id", LONG, False),
+        ("channel_code", TEXT, False),
+        ("channel_name", TEXT, False),
+        ("channel_type", TEXT, False),
+        ("status", TEXT, False),
+        ("effective_from", INSTANT, False),
+        ("effective_to", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("created_at", INSTANT, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "marketing_campaign": (
+        ("marketing_campaign_id", LONG, False),
+        ("external_campaign_id", TEXT, False),
+        ("organization_id", LONG, False),
+        ("merchant_assignment_id", LONG, True),
+        ("primary_channel_id", LONG, False),
+        ("business_scope", TEXT, False),
+        ("campaign_name", TEXT, False),
+        ("status", TEXT, False),
+        ("created_at", INSTANT, False),
+        ("started_at", INSTANT, True),
+        ("ended_at", INSTANT, True),
+        ("status_updated_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+        ("updated_at", INSTANT, False),
+    ),
+    "campaign_daily_spend": (
+        ("campaign_daily_spend_id", LONG, False),
+        ("marketing_campaign_id", LONG, False),
+        ("business_date", DAY, False),
+        ("version_number", INT, False),
+        ("supersedes_campaign_daily_spend_id", LONG, True),
+        ("spend_amount", MONEY, False),
+        ("currency_code", TEXT, False),
+        ("finalized_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "marketing_touch": (
+        ("marketing_touch_id", LONG, False),
+        ("source_event_id", TEXT, False),
+        ("marketing_channel_id", LONG, False),
+        ("marketing_campaign_id", LONG, True),
+        ("organization_id", LONG, True),
+        ("consumer_id", LONG, True),
+        ("touch_type", TEXT, False),
+        ("quality_status", TEXT, False),
+        ("occurred_at", INSTANT, False),
+        ("received_at", INSTANT, False),
+        ("processed_at", INSTANT, True),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
+    "attributed_conversion": (
+        ("attributed_conversion_id", TEXT, False),
+        ("conversion_type", TEXT, False),
+        ("organization_id", LONG, True),
+        ("consumer_id", LONG, True),
+        ("invoice_payment_attempt_id", LONG, True),
+        ("commerce_order_id", LONG, True),
+        ("platform_fee_charge_id", LONG, True),
+        ("selected_marketing_touch_id", LONG, True),
+        ("marketing_channel_id", LONG, True),
+        ("marketing_campaign_id", LONG, True),
+        ("attribution_result", TEXT, False),
+        ("reason_code", TEXT, False),
+        ("model_version", TEXT, False),
+        ("conversion_at", INSTANT, False),
+        ("window_started_at", INSTANT, False),
+        ("history_complete", FLAG, False),
+        ("source_data_cutoff_at", INSTANT, False),
+        ("attributed_at", INSTANT, False),
+        ("is_test", FLAG, False),
+        ("recorded_at", INSTANT, False),
+    ),
 }
 
-
-def _field(text: str) -> T.StructField:
-    name, _, kind = text.rstrip("?").partition(":")
-    return T.StructField(name, _TYPES[kind or "str"], text.endswith("?"))
-
-
 SCHEMAS: dict[str, T.StructType] = {
-    table: T.StructType([_field(column) for column in columns.split()])
-    for table, columns in _COLUMNS.items()
+    table: T.StructType([T.StructField(*column) for column in columns]) for table, columns in COLUMNS.items()
 }
 
 

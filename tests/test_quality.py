@@ -8,7 +8,7 @@ import pytest
 
 from tallyhouse.operators import business_rules, quality
 from tallyhouse.operators.attribution import attribute
-from tallyhouse.operators.rules import CHECKS, UNIQUE, references
+from tallyhouse.operators.rules import CHECKS, REFERENCES, UNIQUE
 from tallyhouse.schemas import SCHEMAS, primary_key
 from tallyhouse.sources.tables import in_memory
 from tests.sample import PARAMS, at, dataset, money, spend
@@ -49,7 +49,7 @@ MUTATIONS = [
 
 def test_rule_counts():
     assert sum(map(len, CHECKS.values())) == 116
-    assert len(UNIQUE) == 28 and len(references()) == 35
+    assert len(UNIQUE) == 28 and len(REFERENCES) == 35
     assert set(CHECKS) == set(SCHEMAS) and len(SCHEMAS) == 20
 
 
