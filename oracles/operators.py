@@ -173,7 +173,7 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY conversion_type, attribution_result ORDE
 SELECT commerce_order_id, product_id, COUNT(*) AS row_count FROM commerce_order_item GROUP BY 1, 2 HAVING COUNT(*) > 1"""),
     "dq_foreign_key": query(_ALL, _keys(), attribution=True),
     "dq_interval_overlap": query(["merchant"], _report({"overlapping_assignments": """
-SELECT COUNT(*) FROM merchant a JOIN merchant b ON a.merchant_id = b.merchant_id
+SELECT COUNT(DISTINCT b.merchant_assignment_id) FROM merchant a JOIN merchant b ON a.merchant_id = b.merchant_id
   AND (a.assignment_valid_from, a.merchant_assignment_id) < (b.assignment_valid_from, b.merchant_assignment_id)
 WHERE b.assignment_valid_from < COALESCE(a.assignment_valid_to, TIMESTAMP '9999-01-01')"""})),
     "dq_version_gap": query(["campaign_daily_spend"], _report({

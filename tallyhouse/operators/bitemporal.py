@@ -43,15 +43,15 @@ def _plus(*parts: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
 
 
-def running(rows: DataFrame, keys: Sequence[str], ts: str, value: str, fold: Fold) -> DataFrame:
-    """`value` folded over the rows of the same keys up to each `ts`; rows are unique on (keys, ts).
+def running(rows: DataFrame, keys: Sequence[str], ts: str, value: str, fold: Fold, inclusive: bool = True) -> DataFrame:
+    """`value` folded over the rows of the same keys up to each `ts`, or before it; rows are unique on (keys, ts).
 
     `fold` is `F.sum` or `F.max`; NULL values count nothing.
     """
     join = _plus if fold is F.sum else F.greatest
     rows = rows.withColumn("__second", F.date_trunc("second", ts))
     second, day = [*keys, "__second"], [*keys, "__day"]
-    upto = Window.partitionBy(*second).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*second).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
     def before(groups: Sequence[str], order: str) -> Column:
         return fold(F.col("__part")).over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyhouse.functions.calendar import Params, instant
 from tallyhouse.operators.asof import previous_row
@@ -21,6 +20,7 @@ from tallyhouse.operators.attribution import (
     conversions,
 )
 from tallyhouse.operators.blocks import latest, stack, valid_at
+from tallyhouse.operators.intervals import overlapping
 from tallyhouse.schemas import SCHEMAS, primary_key
 
 TablesMap = Mapping[str, DataFrame]
@@ -75,16 +75,9 @@ def recorded_after_cutoff(t: TablesMap, p: Params) -> DataFrame:
 
 
 def overlapping_assignments(t: TablesMap, p: Params) -> DataFrame:
-    """A merchant's assignment starts before the previous one has ended; equal starts are ordered by id.
-
-    The window holds one merchant's assignments, a short history by definition.
-    """
-    table = t["merchant"].select("merchant_assignment_id", "merchant_id", "assignment_valid_from", "assignment_valid_to")
-    in_order = Window.partitionBy("merchant_id").orderBy("assignment_valid_from", "merchant_assignment_id")
-    chained = table.withColumn("previous", F.lag(F.struct("merchant_assignment_id", "assignment_valid_to")).over(in_order))
-    end = F.col("previous.assignment_valid_to")
-    broken = F.col("previous").isNotNull() & (end.isNull() | (F.col("assignment_valid_from") < end))
-    return _ids(chained.filter(broken), "merchant_assignment_id")
+    """A merchant's assignment starts before any earlier one has ended; equal starts are ordered by id."""
+    found = overlapping(t["merchant"], ["merchant_id"], "assignment_valid_from", "assignment_valid_to", "merchant_assignment_id")
+    return _ids(found, "merchant_assignment_id")
 
 
 def wrong_movement(t: TablesMap, p: Params) -> DataFrame:
