@@ -372,3 +372,9 @@ SELECT 'refunds' AS case_id, 'total_refund_amount,commerce_refund_id,succeeded_a
 UNION ALL SELECT 'sales', 'first_paid_at,commerce_order_id,is_test', ROW_NUMBER() OVER (ORDER BY first_paid_at NULLS FIRST, commerce_order_id) - 1,
   COALESCE('datetime:' || {_STAMP.format("first_paid_at")}, 'null') || '|integer:' || commerce_order_id || '|boolean:' ||
     CASE WHEN is_test THEN 'true' ELSE 'false' END FROM commerce_order""")
+OPERATORS["load_then_read"] = query(["commerce_order", "consumer"], """
+SELECT version, table_name, COUNT(*) AS row_count, CAST(SUM(id) AS BIGINT) AS id_sum FROM (
+  SELECT 'consumer' AS table_name, consumer_id AS id, consumer_id % 3 <> 0 AS first FROM consumer
+  UNION ALL SELECT 'commerce_order', commerce_order_id, consumer_id % 3 <> 0 FROM commerce_order
+) JOIN (VALUES (1), (2), (3)) v(version) ON CASE version WHEN 1 THEN first WHEN 2 THEN TRUE ELSE table_name = 'consumer' OR NOT first END
+GROUP BY ALL""")

@@ -28,6 +28,7 @@ from tallyhouse.operators.blocks import (
 )
 from tallyhouse.operators.compare import _cells as cells_of
 from tallyhouse.operators.compare import compare, digest, response_gaps, suite_rollup
+from tallyhouse.operators.versions import Store
 from tallyhouse.plans.commerce import items, of_real_products, orders, real_merchants, refunded_items, sold_items
 from tallyhouse.plans.marketing import visible_spend
 from tallyhouse.plans.saas import snapshots, state_events
@@ -273,6 +274,23 @@ def unload_rows(t: TablesMap, p: Params) -> DataFrame:
     return left.select("commerce_order_id", "external_order_id", "status")
 
 
+def load_then_read(t: TablesMap, p: Params) -> DataFrame:
+    """Three versions of a store: most rows of two tables, all rows, and what is left without the orders loaded first."""
+    spark = t["commerce_order"].sparkSession
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid4().hex}")
+    match, order = {"consumer": ["external_consumer_id"], "commerce_order": ["external_order_id"]}, ["consumer", "commerce_order"]
+    whole = {name: t[name] for name in order}
+    first = {"consumer": whole["consumer"].filter("consumer_id % 3 <> 0"), "commerce_order": whole["commerce_order"].filter("consumer_id % 3 <> 0")}
+    found = [store.load(first, match, order), store.load(whole, match, order), store.load(whole, match, order),
+             store.unload({"commerce_order": first["commerce_order"]}, match, ["commerce_order"])]
+    parts = []
+    for version in dict.fromkeys(found):
+        back = store.read(whole, version)
+        parts += [back[name].agg(F.count(F.lit(1)).alias("row_count"), F.sum(primary_key(name)).alias("id_sum")).select(
+            F.lit(version).alias("version"), F.lit(name).alias("table_name"), "row_count", "id_sum") for name in order]
+    return stack(*parts)
+
+
 def content_counts(t: TablesMap, p: Params) -> DataFrame:
     return lifecycle.row_counts(t)
 
@@ -431,7 +449,7 @@ def response_completeness(t: TablesMap, p: Params) -> DataFrame:
 PLAIN = [
     state_asof_multi, latest_spend_revision, attribution_last_touch, attribution_own_cutoffs, densify_periods, key_union, total_row, required_rows,
     merchants_without_sales, dq_line_key, dq_text_formats, load_upsert_check, verify_rows, unload_rows,
-    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, case_delta, case_reviews, result_sink,
+    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, load_then_read, case_delta, case_reviews, result_sink,
     response_completeness,
 ]
 # rules that never read attribution results
