@@ -136,6 +136,7 @@ FROM state JOIN {months(1, 6)} ON as_of = b""", ctes=_EVENTS),
 SELECT marketing_campaign_id, business_date, amount AS spend_amount FROM seen
 WHERE business_date >= DATE '1997-04-01' AND business_date < DATE '1997-07-01'""", ctes=_SEEN_SPEND),
     "attribution_last_touch": query([], "SELECT * FROM attributed_conversion WHERE source_data_cutoff_at = @cutoff", attribution=True),
+    "attribution_incremental": query([], "SELECT * FROM attributed_conversion WHERE source_data_cutoff_at = @cutoff", attribution=True),
     "attribution_two_cutoffs": query([], "SELECT * FROM attributed_conversion", attribution=True),
     "attribution_own_cutoffs": query([], "SELECT * FROM attributed_conversion", attribution=True, cutoffs="""
 (SELECT i AS day, j AS hour, @early + INTERVAL (i) DAY + INTERVAL (j) HOUR AS cutoff FROM range(50) a(i), range(7) b(j)) c

@@ -17,6 +17,7 @@ from tallyhouse.functions.calendar import instant
 from tallyhouse.operators.asof import last_before
 from tallyhouse.operators.bitemporal import last_known_before
 from tallyhouse.operators.blocks import earliest, real, stack, valid_at
+from tallyhouse.session import staged
 
 # Fixed values of the attribution model.
 MODEL_VERSION = "last_non_direct_168h_v1"
@@ -201,6 +202,49 @@ def attribute_at(t: Mapping[str, DataFrame], asked: DataFrame, history_start: da
     return _outcomes(resolved, t, history_start)
 
 
+def reattribute(t: Mapping[str, DataFrame], stored: DataFrame, old: datetime, new: datetime, history_start: datetime) -> DataFrame:
+    """Attribution results at `new`, given all results at `old`: only what can have changed is resolved again.
+
+    A result can change where a touch that became known in between lies in the conversion's window, and is missing
+    where the conversion itself lies in between. All other conversions take over their stored result under the new
+    cutoff. The result equals a whole run at `new`, as long as facts, channels and campaigns have not changed.
+    """
+    found = conversions(t).filter(F.col("conversion_at") <= instant(new))
+    between = eligible_touches(t, {"saas", "commerce"}).filter(
+        (F.col("known_at") > instant(old)) & (F.col("known_at") <= instant(new)) & (F.col("occurred_at") >= instant(history_start)))
+    keys = ["scope", "subject_id"]
+    # the last of these touches before a conversion lies in its window, or none does
+    reached = last_before(
+        found.select("conversion_type", "fact_key", "conversion_at", *keys), between.select(*keys, "occurred_at"),
+        keys, "conversion_at", "occurred_at", [], {"newly": None})
+    start = F.col("conversion_at") - F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOURS")
+    touched = reached.filter((F.col("conversion_at") > instant(old)) | (F.col("newly.occurred_at") >= start))
+    asked = staged(touched.select("conversion_type", "fact_key", *keys, instant(new).alias("source_data_cutoff_at")))
+    # touches of subjects that are asked for, nobody else's
+    subjects = asked.select(*keys).distinct()
+    own = F.when(F.col("organization_id").isNotNull(), "saas").otherwise("commerce")
+    wanted = t["marketing_touch"].withColumn("scope", own).withColumn(
+        "subject_id", F.coalesce("organization_id", "consumer_id")).join(subjects, keys, "left_semi").drop(*keys)
+    fresh = attribute_at({**{name: t[name] for name in _READ}, "marketing_touch": wanted}, asked, history_start)
+
+    fact = F.coalesce(*_FACT_IDS).cast("string")
+    untouched = stored.filter(F.col("source_data_cutoff_at") == instant(old)).withColumn("fact_key", fact).join(
+        asked.select("conversion_type", "fact_key"), ["conversion_type", "fact_key"], "left_anti")
+    renewed = untouched.withColumns({
+        "attributed_conversion_id": _result_id(instant(new)),
+        "source_data_cutoff_at": instant(new), "attributed_at": instant(new), "recorded_at": instant(new),
+    })
+    return fresh.unionByName(renewed.select(*fresh.columns))
+
+
+_READ = ("invoice_payment_attempt", "subscription_invoice", "subscription", "commerce_order", "platform_fee_charge",
+         "organization", "consumer", "marketing_channel", "marketing_campaign")
+
+
+def _result_id(cutoff: Column) -> Column:
+    return F.concat_ws(":", "conversion_type", "fact_key", F.date_format(cutoff, "yyyyMMddHHmmssSSSSSS"))
+
+
 def _outcomes(rows: DataFrame, t: Mapping[str, DataFrame], history_start: datetime) -> DataFrame:
     """Results of conversions with the struct `touch` of the last eligible touch known at their cutoff."""
     complete = F.col("window_started_at") >= instant(history_start)
@@ -223,8 +267,7 @@ def _outcomes(rows: DataFrame, t: Mapping[str, DataFrame], history_start: dateti
         return F.when(won, F.col(f"touch.{column}"))
 
     return rows.select(
-        F.concat_ws(":", "conversion_type", "fact_key", F.date_format("source_data_cutoff_at", "yyyyMMddHHmmssSSSSSS"))
-        .alias("attributed_conversion_id"),
+        _result_id(F.col("source_data_cutoff_at")).alias("attributed_conversion_id"),
         "conversion_type",
         F.when(F.col("scope") == "saas", F.col("subject_id")).alias("organization_id"),
         F.when(F.col("scope") == "commerce", F.col("subject_id")).alias("consumer_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import Params, Period, instant, span_of
@@ -26,6 +26,8 @@ from tallyhouse.operators.blocks import (
 LIVE_STATUSES = ("active", "cancel_scheduled")
 STATE_COLUMNS = ("organization_id", "status_after", "plan_version_after_id", "normalized_mrr_after")
 
+MONEY_SUM = "decimal(29,4)"
+
 TablesMap = Mapping[str, DataFrame]
 
 
@@ -124,12 +126,6 @@ def mrr_snapshot_trend(t: TablesMap, p: Params) -> DataFrame:
     )
 
 
-def _at_edges(events: DataFrame, periods: Sequence[Period]) -> DataFrame:
-    """Live states at every period start ('open:<label>') and end ('close:<label>'), one pass."""
-    edges = {f"open:{q.label}": q.start for q in periods} | {f"close:{q.label}": q.end for q in periods}
-    return live(snapshots(events, edges, "edge"))
-
-
 def mrr_bridge(t: TablesMap, p: Params) -> DataFrame:
     """Opening, movements and closing per month, all from one pass over the events.
 
@@ -172,26 +168,51 @@ def mrr_bridge(t: TablesMap, p: Params) -> DataFrame:
 
 
 def _churn_rows(t: TablesMap, p: Params, periods: Sequence[Period]) -> DataFrame:
-    """Stacked rows of a churn report: opening states, organizations live at the end, lost MRR.
+    """Rows of a churn report, the events read once: opening MRR by organization and plan, lost MRR by plan.
 
-    (period, organization_id, plan_id, opening_mrr | ended_live | churned_mrr)
+    (period, organization_id | NULL, plan_id, opening_mrr, ended_live, churned_mrr)
+
+    A subscription's states at all edges and its cancellations are aggregated together, first per period and plan of the
+    cancellation, so that what a subscription carries on is bounded by periods times plans.
     """
-    events = state_events(t, p)
-    edges = _at_edges(events, periods).select(
-        F.split_part("edge", F.lit(":"), F.lit(2)).alias("period"),
-        (F.split_part("edge", F.lit(":"), F.lit(1)) == "open").alias("is_open"),
-        "organization_id",
-        F.col("plan_version_after_id").alias("plan_id"),
-        F.col("normalized_mrr_after").alias("opening_mrr"),
-    )
-    opening = edges.filter("is_open").drop("is_open")
-    at_end = edges.filter("NOT is_open").select("period", "organization_id", F.lit(True).alias("ended_live")).distinct()
-    with_fate = opening.join(at_end, ["period", "organization_id"], "left")
-    lost = bucket_by_period(cancellations(t, p, events), "effective_at", periods).select(
-        "period", F.col("plan_version_before_id").alias("plan_id"),
-        F.col("normalized_mrr_before").alias("churned_mrr"),
+    edges = [(q, side, at) for q in periods for side, at in (("open", q.start), ("close", q.end))]
+    kept = ["organization_id", "status_after", "plan_version_after_id", "normalized_mrr_after"]
+    order = ["effective_at", "subscription_state_event_id"]
+    states = {f"s{i}": F.when(F.col("effective_at") < instant(at), F.struct(*order, *kept)) for i, (_, _, at) in enumerate(edges)}
+    cancelled = F.col("event_type") == "cancellation_effective"
+    lost_in = F.filter(F.array(*[F.when(cancelled & q.holds(F.col("effective_at")), F.lit(q.label)) for q in periods]), lambda x: x.isNotNull())
+    by_loss = (
+        state_events(t, p).withColumn("lost_in", lost_in)
+        .withColumn("lost_plan", F.when(F.size("lost_in") > 0, F.col("plan_version_before_id")))
+        .groupBy("subscription_id", "lost_in", "lost_plan")
+        .agg(*[F.max(state).alias(name) for name, state in states.items()], F.sum("normalized_mrr_before").alias("lost"))
     )
-    return stack(with_fate, lost)
+    losses = F.collect_list(F.when(F.size("lost_in") > 0, F.struct("lost_in", "lost_plan", "lost")))
+    per_subscription = by_loss.groupBy("subscription_id").agg(*[F.max(name).alias(name) for name in states], losses.alias("losses"))
+
+    def row(period: Column, organization: Column, plan: Column, opening: Column, ended: Column, lost: Column) -> Column:
+        return F.struct(period.alias("period"), organization.cast("long").alias("organization_id"), plan.cast("long").alias("plan_id"),
+                        opening.cast(MONEY_SUM).alias("opening_mrr"), ended.cast("boolean").alias("ended_live"), lost.cast(MONEY_SUM).alias("churned_mrr"))
+
+    nothing = F.lit(None)
+    found = []
+    for i, (q, side, _) in enumerate(edges):
+        state = F.col(f"s{i}")
+        opening = state["normalized_mrr_after"] if side == "open" else nothing
+        ended = nothing if side == "open" else F.lit(True)
+        plan = state["plan_version_after_id"] if side == "open" else nothing
+        found.append(F.when(_is_live(f"s{i}.status_after", f"s{i}.normalized_mrr_after"),
+                            row(F.lit(q.label), state["organization_id"], plan, opening, ended, nothing)))
+    lost = F.flatten(F.transform("losses", lambda x: F.transform(
+        x["lost_in"], lambda period: row(period, nothing, x["lost_plan"], nothing, nothing, x["lost"]))))
+    rows = per_subscription.select(F.inline(F.concat(F.array_compact(F.array(*found)), lost)))
+    by_plan = rows.groupBy("period", "organization_id", "plan_id").agg(
+        F.sum("opening_mrr").alias("opening_mrr"), F.max("ended_live").alias("ended_live"), F.sum("churned_mrr").alias("churned_mrr"))
+    # the plans of one organization
+    fate = Window.partitionBy("period", "organization_id")
+    opened = F.when(F.col("opening_mrr").isNotNull(), F.col("organization_id"))
+    return by_plan.withColumn("ended_live", F.max("ended_live").over(fate)).select(
+        "period", opened.alias("organization_id"), "plan_id", "opening_mrr", "ended_live", "churned_mrr")
 
 
 def _churn_measures() -> list[Column]:

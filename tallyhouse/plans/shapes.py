@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.calendar import Params
 from tallyhouse.functions.money import money, total
 from tallyhouse.operators import business_rules, lifecycle, quality, suite
-from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, attribute_at, conversions, latest_results
+from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, attribute_at, conversions, latest_results, reattribute
 from tallyhouse.operators.blocks import (
     append_total,
     bucket_by_period,
@@ -68,6 +68,11 @@ def attribution_own_cutoffs(t: TablesMap, p: Params) -> DataFrame:
     return attribute_at(t, asked, p.history_start)
 
 
+def attribution_incremental(t: TablesMap, p: Params) -> DataFrame:
+    """The results at the snapshot cutoff from those at the early one and what became known in between."""
+    return reattribute(t, t["attributed_conversion"], EARLY_CUTOFF, p.snapshot_cutoff, p.history_start)
+
+
 def attribution_latest(t: TablesMap, p: Params) -> DataFrame:
     return latest_results(
         t["attributed_conversion"], p.snapshot_cutoff, ALL_TYPES,
@@ -463,6 +468,7 @@ PLAIN_RULES = {
 }
 ATTRIBUTED = {
     "attribution_two_cutoffs": attribution_two_cutoffs,
+    "attribution_incremental": attribution_incremental,
     "attribution_latest": attribution_latest,
     "window_partition_count": window_partition_count,
     "class_representative": class_representative,

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.operators.attribution import append_results, attribute, latest_results
+from tallyhouse.operators.attribution import append_results, attribute, attribute_at, latest_results, reattribute
 from tallyhouse.sources.tables import in_memory
 from tests.sample import PARAMS, at, channel, dataset, touch
 
@@ -134,3 +136,36 @@ def test_incremental_run_gives_the_same_rows_as_the_whole_one(spark):
     later = run(spark, rows, types=kinds, since=at(6, 10))
     assert later == [r for r in whole if r["conversion_at"] >= at(6, 10)]
     assert [(r["conversion_type"], r["selected_marketing_touch_id"]) for r in later] == [("saas_revenue", 5)]
+
+
+def test_every_result_is_resolved_at_its_own_cutoff(spark):
+    t = in_memory(spark, _many())
+    cutoffs = [at(4, 20), at(5, 20), at(6, 1), at(6, 12), CUTOFF]
+    whole = attribute(t, cutoffs, PARAMS.history_start)
+    fact = F.coalesce("invoice_payment_attempt_id", "commerce_order_id", "platform_fee_charge_id").cast("string")
+    kept = whole.withColumn("fact_key", fact).filter(F.pmod(F.xxhash64("attributed_conversion_id"), F.lit(3)) > 0)
+    asked = kept.select("conversion_type", "fact_key", "source_data_cutoff_at")
+    extra = spark.createDataFrame([("saas_revenue", "404", CUTOFF)], asked.schema)  # no such fact
+    got = attribute_at(t, asked.unionByName(asked).unionByName(extra), PARAMS.history_start)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, kept.drop("fact_key").collect()))
+    assert got.filter("attribution_result = 'non_direct'").count() > 10
+
+
+def test_reattribution_of_what_became_known_equals_a_whole_run(spark):
+    t = in_memory(spark, _many())
+    for old, new in ((at(5, 20), at(6, 1)), (at(6, 1), CUTOFF)):
+        stored = attribute(t, [old], PARAMS.history_start)
+        got = reattribute(t, stored, old, new, PARAMS.history_start)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, attribute(t, [new], PARAMS.history_start).collect()))
+
+
+def _many():
+    """Payments and touches of two organizations in many orders of happening and becoming known."""
+    rng, rows = random.Random(4), dataset()
+    rows["invoice_payment_attempt"] = [
+        rows["invoice_payment_attempt"][0] | {"invoice_payment_attempt_id": k, "succeeded_at": at(4 + k % 3, 10) + timedelta(hours=7 * k)}
+        for k in range(1, 60)]
+    rows["marketing_touch"] = [
+        touch(k, when, organization_id=1) | {"processed_at": when + lag, "recorded_at": when + lag}
+        for k in range(1, 80) for when, lag in [(at(4 + k % 3, 6) + timedelta(hours=5 * k), timedelta(hours=rng.choice([0, 1, 30, 400, 900])))]]
+    return rows
