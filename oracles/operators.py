@@ -379,3 +379,6 @@ SELECT version, table_name, COUNT(*) AS row_count, CAST(SUM(id) AS BIGINT) AS id
   UNION ALL SELECT 'commerce_order', commerce_order_id, consumer_id % 3 <> 0 FROM commerce_order
 ) JOIN (VALUES (1), (2), (3)) v(version) ON CASE version WHEN 1 THEN first WHEN 2 THEN TRUE ELSE table_name = 'consumer' OR NOT first END
 GROUP BY ALL""")
+OPERATORS["nested_dataset"] = query(["commerce_order", "consumer"], """
+SELECT external_order_id, external_consumer_id, first_identified_at, o.status, first_paid_at, o.is_test
+FROM commerce_order o JOIN consumer c USING (consumer_id)""")

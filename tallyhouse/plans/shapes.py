@@ -34,6 +34,7 @@ from tallyhouse.plans.marketing import visible_spend
 from tallyhouse.plans.saas import snapshots, state_events
 from tallyhouse.schemas import INSTANT, INT, LONG, MONEY, SCHEMAS, TEXT, primary_key
 from tallyhouse.session import shared_dir
+from tallyhouse.sources import nested, split_json
 
 TablesMap = Mapping[str, DataFrame]
 EARLY_CUTOFF = datetime(1997, 5, 15, 7)
@@ -296,6 +297,45 @@ def load_then_read(t: TablesMap, p: Params) -> DataFrame:
     return stack(*parts)
 
 
+def _as_text(df: DataFrame, name: str, references: Mapping[str, str]) -> Column:
+    """A row as the dataset's record: every column but the key as text, references as {table, record_id}."""
+    cells = []
+    for field in SCHEMAS[name].fields[1:]:
+        value = F.col(field.name)
+        if field.name in references:
+            value = F.struct(F.lit(references[field.name]).alias("table"), value.cast("string").alias("record_id"))
+        elif field.dataType == INSTANT:
+            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        cells.append(value.alias(field.name))
+    return F.struct(F.col(primary_key(name)).cast("string").alias("record_id"), F.struct(*cells).alias("values"))
+
+
+def nested_dataset(t: TablesMap, p: Params) -> DataFrame:
+    """Consumers and their orders written as nested dataset files, read back by byte ranges, references resolved.
+
+    A file holds two hundred consumer numbers, so that its text stays small whatever the tables hold.
+    """
+    spark = t["consumer"].sparkSession
+    path = f"{shared_dir(spark)}/nested-{uuid4().hex}"
+    part = F.floor(F.col("consumer_id") / 200).alias("part")
+    rows = stack(
+        t["consumer"].select(part, F.lit(0).alias("place"), F.to_json(_as_text(t["consumer"], "consumer", {})).alias("record")),
+        t["commerce_order"].select(part, F.lit(1).alias("place"), F.to_json(
+            _as_text(t["commerce_order"], "commerce_order", {"consumer_id": "consumer"})).alias("record")))
+    tables = rows.groupBy("part", "place").agg(F.concat_ws(", ", F.collect_list("record")).alias("records")).select(
+        "part", "place", F.format_string(
+            '{"table_name": "%s", "match_columns": ["%s"], "records": [%s]}',
+            F.when(F.col("place") == 0, "consumer").otherwise("commerce_order"),
+            F.when(F.col("place") == 0, "external_consumer_id").otherwise("external_order_id"), "records").alias("text"))
+    files = tables.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("tables")).select(
+        "part", F.format_string('{"source_id": "part %s", "tables": [%s]}', F.col("part").cast("string"),
+                                F.concat_ws(", ", F.transform("tables", lambda x: x["text"]))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    back = nested.typed_tables(split_json.read_records(spark, [path]))
+    return back["commerce_order"].join(back["consumer"].select("consumer_id", "external_consumer_id", "first_identified_at"), "consumer_id").select(
+        "external_order_id", "external_consumer_id", "first_identified_at", "status", "first_paid_at", "is_test")
+
+
 def content_counts(t: TablesMap, p: Params) -> DataFrame:
     return lifecycle.row_counts(t)
 
@@ -454,7 +494,7 @@ def response_completeness(t: TablesMap, p: Params) -> DataFrame:
 PLAIN = [
     state_asof_multi, latest_spend_revision, attribution_last_touch, attribution_own_cutoffs, densify_periods, key_union, total_row, required_rows,
     merchants_without_sales, dq_line_key, dq_text_formats, load_upsert_check, verify_rows, unload_rows,
-    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, load_then_read, case_delta, case_reviews, result_sink,
+    ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, load_then_read, nested_dataset, case_delta, case_reviews, result_sink,
     response_completeness,
 ]
 # rules that never read attribution results
