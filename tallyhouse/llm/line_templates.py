@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.arrays import blocks, mix, word_hashes
-from tallyhouse.llm.common import bound, cut, words
+from tallyhouse.llm.common import bound, cut, free_name, own, words
 from tallyhouse.llm.jaccard import PERCENT, shingle_sets
 
 LEAD = 3
@@ -52,10 +52,6 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _leaf(found: Column) -> Column:
-    return F.xxhash64(F.size(found), F.transform(F.slice(found, 1, LEAD), _masked))
-
-
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter(
         F.col("text").isNotNull())
@@ -66,14 +62,43 @@ def _recurring(rows: DataFrame, by: str, min_texts: int) -> DataFrame:
     return rows.select(by, "key").distinct().groupBy(by).count().filter(F.col("count") >= min_texts).select(by)
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, hash of the word sequence, words) of every line with a word."""
+def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, first byte) of every line."""
     breaks = np.flatnonzero(data == 0x0A)
     owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     starts = np.concatenate([offsets[:-1], breaks + 1])
     order = np.lexsort((starts, owner))
     owner, starts = owner[order], starts[order]
-    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return owner, np.arange(len(owner)) - np.searchsorted(owner, owner), starts
+
+
+def line_leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, leaf, first byte, past byte) of every line with a word.
+
+    The leaf stands for the number of words and the first `LEAD` of them, those with a digit all alike.
+    """
+    owner, number, starts = _line_starts(data, offsets)
+    edges = np.append(starts, len(data))
+    found, line = word_hashes(data, edges, lower=False)
+    if not len(found):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+    # a word that changes where its digits do holds one
+    plain, _ = word_hashes(np.where((data >= 0x30) & (data <= 0x39), np.uint8(0x61), data), edges, lower=False)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    counts = np.diff(np.append(first, len(line)))
+    leaf = mix(counts.astype(np.uint64))
+    for k in range(LEAD):
+        has, at = counts > k, np.minimum(first + k, len(found) - 1)
+        word = np.where(plain[at] == found[at], found[at], np.uint64(0))
+        leaf = np.where(has, mix(leaf * np.uint64(0x9FB21C651E98DF25) + word), leaf)
+    rows = line[first]
+    last = np.append(owner[1:] != owner[:-1], True)  # the last line of a text has no line feed
+    return owner[rows], number[rows], leaf, starts[rows], (edges[1:] - ~last)[rows]
+
+
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, hash of the word sequence, words) of every line with a word."""
+    owner, number, starts = _line_starts(data, offsets)
     found, line = word_hashes(data, np.append(starts, len(data)), lower=False)
     if not len(found):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
@@ -97,9 +122,38 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["key", "doc_id", "pos", "line", "size"])
 
 
-def _filter_of(rows: DataFrame) -> Broadcast[np.ndarray]:
-    """A bitmap of `FILTER_BITS` bits with those of all keys set, so that texts need no shuffle to be picked."""
-    at = F.conv(F.substring(F.hex("key"), 1, 12), 16, 10).cast("long") % FILTER_BITS
+def _leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, key) of every text, each once."""
+    for batch in batches:
+        for first, _, data, offsets in blocks(batch.column(1)):
+            owner, _, leaf, _, _ = line_leaves(data, offsets)
+            order = np.lexsort((leaf, owner))
+            owner, leaf = owner[order], leaf[order]
+            fresh = np.ones(len(leaf), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (leaf[1:] != leaf[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf[fresh].view(np.int64)), batch.column(0).take(pa.array(owner[fresh] + first))], names=["leaf", "key"])
+
+
+def _held_lines(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines whose leaves are in the filter, and some others."""
+    for batch in batches:
+        for first, _, data, offsets in blocks(batch.column(2)):
+            owner, number, leaf, start, past = line_leaves(data, offsets)
+            at = (leaf % np.uint64(FILTER_BITS)).astype(np.int64)
+            held = np.flatnonzero((wanted[at >> 6] >> (at & 63)) & 1 == 1)
+            text = data.tobytes()
+            lines = [text[a:b] for a, b in zip(start[held].tolist(), past[held].tolist(), strict=True)]
+            rows = pa.array(owner[held] + first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[held], pa.int32()),
+                 pa.array(leaf[held].view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string())],
+                names=["key", "doc_id", "pos", "leaf", "line"])
+
+
+def _filter_of(rows: DataFrame, number: Column) -> Broadcast[np.ndarray]:
+    """A bitmap of `FILTER_BITS` bits with those of all numbers set, so that texts need no shuffle to be picked."""
+    at = F.pmod(number, F.lit(FILTER_BITS))
     bits = rows.select((at / 64).cast("long").alias("word"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
     found = np.zeros(FILTER_BITS // 64, np.int64)
@@ -154,7 +208,7 @@ def _whole_lines(texts: DataFrame, min_texts: int) -> DataFrame:
     few = holders.join(counted.filter(F.col("n") < min_texts).select("line", "least"), "line").select("line", "least", "key", "doc_id")
     few = cut(few)
     # the copies of one text are cut to one row before the shuffle
-    wanted = _filter_of(few)
+    wanted = _filter_of(few, F.conv(F.substring(F.hex("key"), 1, 12), 16, 10).cast("long"))
     sketches = texts.select("key", "text").mapInArrow(lambda batches: _sketches_of(wanted.value, batches), "key binary, sketch binary")
     sketches = sketches.groupBy("key").agg(F.first("sketch").alias("sketch"))
     gathered = few.join(sketches, "key").groupBy("line").agg(F.max("least").alias("least"), F.sort_array(F.collect_list(
@@ -169,17 +223,14 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(key, positions): the line numbers to drop from each different text."""
     texts = _ids(docs).select(_key(F.col("text")).alias("key"), "doc_id", "text")
     whole = _whole_lines(texts, min_texts)
-    leaves = texts.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", words(F.col("line")).alias("w"))
-    # one exchange serves both the counts and the join
-    leaves = leaves.filter(F.size("w") > 0).select(_leaf(F.col("w")).alias("leaf"), "key").distinct()
-    frequent = leaves.groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf")
-    # only texts that hold a line of a frequent leaf go on
-    marked = leaves.join(frequent, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves"))
-    numbered = texts.join(marked, "key").select("key", "doc_id", "leaves", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = cut(
-        numbered.withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
-        .withColumn("leaf", _leaf(F.col("w"))).filter(F.array_contains("leaves", F.col("leaf")))
-        .select("key", "doc_id", "pos", "leaf", F.transform("w", _masked).alias("w")))
+    leaves = texts.select("key", "text").mapInArrow(_leaves_of, "leaf long, key binary").distinct()
+    frequent = cut(leaves.groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"))
+    # texts stay where they are: a map picks their lines of frequent leaves
+    wanted = _filter_of(frequent, F.col("leaf"))
+    held = texts.select("key", "doc_id", "text").mapInArrow(
+        lambda batches: _held_lines(wanted.value, batches), "key binary, doc_id long, pos int, leaf long, line string")
+    lines = cut(held.join(frequent, "leaf").select(
+        "key", "doc_id", "pos", "leaf", F.transform(words(F.col("line")), _masked).alias("w")))
     fields = lines.select("key", "leaf", F.posexplode("w").alias("at", "word"))
     constant = fields.distinct().groupBy("leaf", "at", "word").count().filter(F.col("count") >= min_texts)
     spelt = lines.distinct().select("key", "doc_id", "pos", "leaf", F.posexplode("w").alias("at", "word"))
@@ -198,9 +249,9 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """The input columns with `text` freed of boilerplate lines, and `_n_dropped`."""
+    """The input columns with `text` freed of boilerplate lines, and `_n_dropped` (led by more underscores if taken)."""
     gone = dropped_lines(docs, min_texts).withColumnRenamed("key", "_key").withColumnRenamed("positions", "_positions")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
+    packed = docs.select(F.struct(*[own(docs, c) for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
     # rows without a text have no key of their own; they are spread by a random one that matches nothing
     packed = packed.withColumn("_key", F.coalesce(_key(F.col("_text")), F.unhex(F.sha1(F.uuid()))))
     joined = packed.join(gone, "_key", "left")
@@ -210,17 +261,17 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     out = joined.withColumn("_new", text)
     columns = []
     for name in docs.columns:
-        own = F.col("_row")[name]
+        value = F.col("_row")[name]
         if name == "text":
-            own = F.col("_new")
+            value = F.col("_new")
         elif name == "n_chars":
-            own = F.when(F.col("_positions").isNull(), own).otherwise(F.char_length("_new").cast(docs.schema[name].dataType))
-        columns.append(own.alias(name))
-    return out.select(*columns, F.coalesce(F.size("_positions"), F.lit(0)).cast("long").alias("_n_dropped"))
+            value = F.when(F.col("_positions").isNull(), value).otherwise(F.char_length("_new").cast(docs.schema[name].dataType))
+        columns.append(value.alias(name))
+    return out.select(*columns, F.coalesce(F.size("_positions"), F.lit(0)).cast("long").alias(free_name(docs, "_n_dropped")))
 
 
 def without_boilerplate(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The pipeline's form: documents that consisted of boilerplate alone go."""
     out = drop_lines(docs, min_texts)
-    own = out.filter((F.col("_n_dropped") == 0) | (F.size(words(F.col("text"))) > 0))
-    return own.select(*docs.columns)
+    left = out.filter((own(out, out.columns[-1]) == 0) | (F.size(words(out["text"])) > 0))
+    return left.select(*[own(left, c) for c in docs.columns])
