@@ -32,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """A column of `df` by its exact name, whatever characters the name has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, led by as many underscores as make it no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")
 

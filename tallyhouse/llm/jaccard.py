@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.arrays import blocks, mix, shingle_hashes, word_hashes
-from tallyhouse.llm.common import cut
+from tallyhouse.llm.common import cut, own
 from tallyhouse.llm.components import components
 
 WIDTH = 5
@@ -329,6 +329,6 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     """
     found = groups(docs, width, percent).select(F.col("doc_id").alias("_id"), "component_id").filter(
         F.col("component_id").eqNullSafe(F.col("_id"))).select(F.col("_id").cast("long")).distinct()
-    packed = docs.select(docs["doc_id"].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    packed = docs.select(docs["doc_id"].cast("long").alias("_id"), F.struct(*[own(docs, c) for c in docs.columns]).alias("_row"))
     kept = packed.join(found, packed["_id"].eqNullSafe(found["_id"]), "left_semi")
     return kept.withColumn("_text", F.md5("_row.text")).dropDuplicates(["_id", "_text"]).select("_row.*")

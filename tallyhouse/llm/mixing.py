@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.llm.arrays import blocks, word_hashes
-from tallyhouse.llm.common import cut
+from tallyhouse.llm.common import cut, own
 from tallyhouse.llm.features import style_and_words
 from tallyhouse.llm.quality_knn import sample_features
 
@@ -89,7 +90,9 @@ def fit_softmax(features: np.ndarray, domains: np.ndarray, shares: np.ndarray, c
     per_row = (1 / np.maximum(sizes, 1))[domains][:, None] / max((sizes > 0).sum(), 1)
     weights, bias = np.zeros((x.shape[1], count)), np.zeros(count)
     speed_w, speed_b = np.zeros_like(weights), np.zeros(count)
-    step = 2.0 / (per_row[:, 0] @ (x.astype(np.float64) ** 2).sum(1))
+    energy = per_row[:, 0] @ (x.astype(np.float64) ** 2).sum(1)
+    # rows without any telling feature (a single one, or empty texts) leave the shares of the table alone
+    step = 2.0 / energy if energy > 0 else 0.0
     for _ in range(250):
         logits = x @ weights + bias
         logits -= logits.max(1, keepdims=True)
@@ -128,9 +131,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, per_domain: int = LABELLE
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """The columns of `docs` other than `_text`, with the number of words `_tokens` and the posteriors `_p` of `_text`."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    own = [c for c in docs.columns if c != "_text"]
-    packed = docs.select(F.struct(*own).alias("_row"), "_text")
-    row_type = packed.schema["_row"].dataType.simpleString()
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "_text"]).alias("_row"), "_text")
+    out = T.StructType([packed.schema["_row"], T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +145,7 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 pa.array(np.arange(0, found.size + 1, len(DOMAINS)), pa.int32()), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), lists], names=["_row", "_tokens", "_p"])
 
-    return packed.mapInArrow(run, f"_row {row_type}, _tokens long, _p array<double>").select("_row.*", "_tokens", "_p")
+    return packed.mapInArrow(run, out).select("_row.*", "_tokens", "_p")
 
 
 def rate(steps: list[np.ndarray], p: Column) -> Column:
@@ -208,9 +210,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, iteration
     return Fit(steps[: best[1]], wanted, best[2])
 
 
-def _rows(docs: DataFrame, own: Column) -> DataFrame:
+def _rows(docs: DataFrame, kept: Column) -> DataFrame:
     """`_own`, the number `_chance` in [0, 1) that rounds the row's rate, and `_text`."""
-    rows = docs.select(own.alias("_own"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"),
+    rows = docs.select(kept.alias("_own"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"),
                        docs["doc_id"].cast("long").alias("_id"), F.monotonically_increasing_id().alias("_place"))
     rows = rows.select("_own", "_text", "_place", F.xxhash64(F.col("_id").isNull(), "_id", "_text", F.lit(3)).alias("_hash"))
     again = cut(rows.groupBy("_hash").count().filter("count > 1").select("_hash", F.lit(True).alias("_again")))
@@ -234,7 +236,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     small = memberships(docs.select(text.alias("_text")), classifier)
     fit = fit_rates(cut(small), targets)
-    rows = _rows(docs, F.struct(*[docs[c] for c in docs.columns]))
+    rows = _rows(docs, F.struct(*[own(docs, c) for c in docs.columns]))
     found = _with_copies(memberships(rows, classifier), fit.steps).filter("_copies > 0")
     return found.select(F.explode(F.array_repeat("_own", F.col("_copies").cast("int"))).alias("_own")).select("_own.*")
 

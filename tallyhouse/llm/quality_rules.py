@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import BLANK, bound, words
+from tallyhouse.llm.common import bound, free_name, own, words, BLANK
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -134,9 +134,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The input columns plus every metric, `base_failed`, `failed_rules` and `kept`."""
     metrics = (*COUNTS, *RATIOS, "base_failed", "failed_rules", "kept")
-    own = [c for c in docs.columns if c.lower() not in metrics]
-    return docs.select(*own, _verdict(docs[text], rules).alias("_quality_verdict")).select(
-        *own, *[F.col("_quality_verdict")[name].alias(name) for name in metrics])
+    kept = [own(docs, c) for c in docs.columns if c.lower() not in metrics]
+    verdict = free_name(docs, "_quality_verdict")
+    judged = docs.select(*kept, _verdict(own(docs, text), rules).alias(verdict))
+    return judged.select(*[own(judged, c) for c in judged.columns[:-1]], *[F.col(verdict)[name].alias(name) for name in metrics])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -8,8 +8,8 @@ Reading walks an archive frame by frame through its seek table; `lookup` reads s
 Deduplication: of records with equal payloads the one with the smallest id is a `response`, the others are
 `revisit` records that refer to it and carry no payload, if the payload has at least `min_bytes` bytes.
 
-Archives go to the shared folder of the session under a name made of the partition number; a repeated
-task writes its own temporary file and renames it, so a lost executor leaves no half archive behind.
+Archives go to the shared folder of the session under a name made of the partition number and the task's attempt, and
+the index names the attempts that counted: a lost or doubled task cannot mix two versions of an archive.
 
 Cases: a null payload is an empty one; a null id never becomes the record others refer to unless all
 equal payloads have null ids, and then all stay responses; repeated rows (same id and payload) with the
@@ -142,14 +142,13 @@ def _filesystem(folder: str):
 def _write(folder: str, frame_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, root = _filesystem(folder)
     task = TaskContext.get()
-    name = f"pages-{task.partitionId():06d}.warc.zst"
-    draft = f"{root}/.{name}-{task.taskAttemptId()}"
+    name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
     writer, sink = None, None
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
             if writer is None:
-                sink = store.open_output_stream(draft)
+                sink = store.open_output_stream(f"{root}/{name}", compression=None)
                 writer = BundleWriter(sink, frame_bytes)
             payload = row["payload"] or b""
             first, own = row["first"], row["page_id"]
@@ -164,7 +163,6 @@ def _write(folder: str, frame_bytes: int, batches: Iterator[pa.RecordBatch]) ->
     if writer is not None:
         writer.close()
         sink.close()
-        store.move(draft, f"{root}/{name}")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
