@@ -59,4 +59,35 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM digits
 """
 
-STATEMENTS: dict[str, str] = {"op5_quality_rules": OP5, "op10_warc": OP10}
+
+
+def _round(i: int) -> str:
+    """Every vector's nearest centroid of round `i`, and the floored means that are the next centroids."""
+    return f"""
+near{i} AS (
+  SELECT r, min({{'d': d, 'k': k}}) AS m FROM (
+    SELECT r, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM vectors, middle{i})
+  GROUP BY r
+), sum{i} AS (
+  SELECT k, place, sum(part)::BIGINT AS s, count(*) AS n FROM (
+    SELECT m.k AS k, generate_subscripts(v, 1) AS place, unnest(v) AS part FROM near{i} JOIN vectors USING (r)) GROUP BY k, place
+), middle{i + 1} AS (
+  SELECT k, coalesce(moved, c) AS c FROM middle{i} LEFT JOIN (
+    SELECT k, list((s - (s % n + n) % n) // n ORDER BY place) AS moved FROM sum{i} GROUP BY k) USING (k)
+)"""
+
+
+#: every round spelt out; all distances, no walk
+OP11 = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(abs(x::DOUBLE) < 262144, false)))
+), middle0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c FROM vectors QUALIFY k < 40
+), """ + ",".join(map(_round, range(6))) + """
+SELECT vec_id, m.k::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near5 JOIN vectors USING (r) JOIN middle5 ON k = m.k
+"""
+
+STATEMENTS: dict[str, str] = {"op5_quality_rules": OP5, "op10_warc": OP10, "op11_centroids": OP11}
