@@ -382,3 +382,31 @@ GROUP BY ALL""")
 OPERATORS["nested_dataset"] = query(["commerce_order", "consumer"], """
 SELECT external_order_id, external_consumer_id, first_identified_at, o.status, first_paid_at, o.is_test
 FROM commerce_order o JOIN consumer c USING (consumer_id)""")
+
+
+def _text_formats() -> str:
+    parts = []
+    for table in SCHEMAS:
+        key = f"CAST({primary_key(table)} AS VARCHAR)"
+        for field in SCHEMAS[table]:
+            name = field.name
+            mark = f"substr(md5({key} || ':{name}'), 1, 2)"
+            row = f"SELECT '{name}' AS column_name, '{{}}' AS problem, COUNT(*) AS cells, '{table}' AS table_name FROM {table} WHERE {name} IS NOT NULL AND {{}} HAVING COUNT(*) > 0"
+            if name.endswith("_at") or name in ("effective_from", "effective_to", "assignment_valid_from", "assignment_valid_to"):
+                parts.append(row.format("not_an_instant", f"{mark} IN ('a1', 'b2')"))
+                if name == "recorded_at":
+                    parts.append(row.format("after_snapshot", f"{mark} NOT IN ('a1', 'b2') AND recorded_at > @cutoff"))
+            elif name.endswith("_amount") or name.startswith("normalized_mrr_"):
+                parts.append(row.format("not_money", f"{mark} = 'b2'"))
+    return " UNION ALL ".join(parts)
+
+
+OPERATORS["dq_text_formats_all"] = query(_ALL, _text_formats(), attribution=True)
+OPERATORS["decode_results"] = query(["commerce_refund"], "SELECT commerce_refund_id, total_refund_amount, succeeded_at, is_test FROM commerce_refund")
+OPERATORS["net_changes"] = query(["subscription_state_event"], """
+SELECT subscription_id, date_trunc('day', effective_at) AS day,
+  arg_min(normalized_mrr_before, (effective_at, subscription_state_event_id)) AS normalized_mrr_before,
+  arg_max(normalized_mrr_after, (effective_at, subscription_state_event_id)) AS normalized_mrr_after
+FROM subscription_state_event GROUP BY 1, 2""")
+OPERATORS["largest_refunds"] = query(["commerce_refund"], """
+SELECT commerce_refund_id, total_refund_amount FROM commerce_refund ORDER BY total_refund_amount DESC, commerce_refund_id LIMIT 100""")

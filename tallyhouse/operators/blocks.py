@@ -266,10 +266,11 @@ def share_of_total(amount: str, keys: Sequence[str]) -> Column:
 
 
 def bounded(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> list:
-    """Collect a result that must be small; fails instead of truncating."""
-    rows = df.limit(max_rows + 1).collect()
+    """Collect a result that must be small; fails instead of truncating. Bytes are those of its rows as JSON text."""
+    size = F.octet_length(F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns]), {"ignoreNullFields": "false"}))
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), size.alias("size")).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"result has more than {max_rows} rows")
-    if max_bytes is not None and sum(len(str(tuple(r)).encode()) for r in rows) > max_bytes:
+    if max_bytes is not None and sum(r["size"] for r in rows) > max_bytes:
         raise ValueError(f"result is larger than {max_bytes} bytes")
-    return rows
+    return [r["row"] for r in rows]

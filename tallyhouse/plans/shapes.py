@@ -19,15 +19,17 @@ from tallyhouse.operators import business_rules, lifecycle, quality, suite
 from tallyhouse.operators.attribution import ALL_TYPES, append_results, attribute, attribute_at, conversions, latest_results, reattribute
 from tallyhouse.operators.blocks import (
     append_total,
+    bounded,
     bucket_by_period,
     complete_rows,
     dense_by_period,
     earliest,
     key_union_join,
+    net_by_instant,
     stack,
 )
 from tallyhouse.operators.compare import _cells as cells_of
-from tallyhouse.operators.compare import compare, digest, response_gaps, suite_rollup
+from tallyhouse.operators.compare import cell_text, compare, decode, digest, response_gaps, suite_rollup
 from tallyhouse.operators.versions import Store
 from tallyhouse.plans.commerce import items, of_real_products, orders, real_merchants, refunded_items, sold_items
 from tallyhouse.plans.marketing import visible_spend
@@ -253,6 +255,41 @@ def dq_text_formats(t: TablesMap, p: Params) -> DataFrame:
     return business_rules.format_violations(cells.withColumn("value", spoiled), p.snapshot_cutoff)
 
 
+def dq_text_formats_all(t: TablesMap, p: Params) -> DataFrame:
+    """Every table as dataset text with some cells spoiled: the problems found, counted by column."""
+    parts = []
+    for name in SCHEMAS:
+        cells = business_rules.text_cells(t[name], primary_key(name))
+        mark = F.substring(F.md5(F.concat_ws(":", "record_id", "column_name")), 1, 2)
+        spoiled = F.when(mark == "a1", F.substring("value", 1, 19)).when(mark == "b2", F.concat(F.lit("-"), "value")).otherwise(F.col("value"))
+        parts.append(business_rules.format_violations(cells.withColumn("value", spoiled), p.snapshot_cutoff)
+                     .groupBy("column_name", "problem").agg(F.count(F.lit(1)).alias("cells")).withColumn("table_name", F.lit(name)))
+    return stack(*parts)
+
+
+def decode_results(t: TablesMap, p: Params) -> DataFrame:
+    """Refunds as stored result text and back to typed columns."""
+    shown = t["commerce_refund"].select("commerce_refund_id", "total_refund_amount", "succeeded_at", "is_test")
+    stored = shown.select(*[cell_text(f.name, f.dataType).alias(f.name) for f in shown.schema])
+    return decode(stored, {"commerce_refund_id": "string", "total_refund_amount": "decimal", "succeeded_at": "datetime", "is_test": "boolean"})
+
+
+def net_changes(t: TablesMap, p: Params) -> DataFrame:
+    """Several changes of one subscription on one day as one."""
+    events = t["subscription_state_event"].withColumn("day", F.date_trunc("day", "effective_at"))
+    order = F.struct("effective_at", "subscription_state_event_id")
+    return net_by_instant(events.withColumn("place", order), ["subscription_id"], "day", "place",
+                          ["normalized_mrr_before"], ["normalized_mrr_after"])
+
+
+def largest_refunds(t: TablesMap, p: Params) -> DataFrame:
+    """The hundred largest refunds, ties by id, within the limits of a result."""
+    top = t["commerce_refund"].select("commerce_refund_id", "total_refund_amount").orderBy(
+        F.desc("total_refund_amount"), "commerce_refund_id").limit(100)
+    rows = bounded(top, 100, 1 << 20)
+    return t["commerce_refund"].sparkSession.createDataFrame(rows, top.schema)
+
+
 def _stored_orders(t: TablesMap) -> DataFrame:
     """A stored copy of the orders: some missing, some changed, some in excess."""
     source = t["commerce_order"]
@@ -493,7 +530,7 @@ def response_completeness(t: TablesMap, p: Params) -> DataFrame:
 # operators over the derived tables alone, and those that also read attribution results
 PLAIN = [
     state_asof_multi, latest_spend_revision, attribution_last_touch, attribution_own_cutoffs, densify_periods, key_union, total_row, required_rows,
-    merchants_without_sales, dq_line_key, dq_text_formats, load_upsert_check, verify_rows, unload_rows,
+    merchants_without_sales, dq_line_key, dq_text_formats, decode_results, net_changes, largest_refunds, load_upsert_check, verify_rows, unload_rows,
     ambiguous_match_keys, compare_multiset, compare_ordered, table_digest, suite_counts, suite_report, load_then_read, nested_dataset, case_delta, case_reviews, result_sink,
     response_completeness,
 ]
@@ -513,6 +550,7 @@ ATTRIBUTED = {
     "window_partition_count": window_partition_count,
     "class_representative": class_representative,
     "dq_checks": dq_checks,
+    "dq_text_formats_all": dq_text_formats_all,
     "dq_check_rows": dq_check_rows,
     "dq_unique": dq_unique,
     "dq_foreign_key": dq_foreign_key,
