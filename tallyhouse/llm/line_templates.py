@@ -151,14 +151,35 @@ def _held_lines(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterat
                 names=["key", "doc_id", "pos", "leaf", "line"])
 
 
-def _filter_of(rows: DataFrame, number: Column) -> Broadcast[np.ndarray]:
-    """A bitmap of `FILTER_BITS` bits with those of all numbers set, so that texts need no shuffle to be picked."""
-    at = F.pmod(number, F.lit(FILTER_BITS))
+def _bits_of(rows: DataFrame, number: Column, size: int) -> np.ndarray:
+    """A bitmap of `size` bits, in words of 64, with those of all numbers set."""
+    at = F.pmod(number, F.lit(size))
     bits = rows.select((at / 64).cast("long").alias("word"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
-    found = np.zeros(FILTER_BITS // 64, np.int64)
+    found = np.zeros(size // 64, np.int64)
     found[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return rows.sparkSession.sparkContext.broadcast(found)
+    return found
+
+
+def _filter_of(rows: DataFrame, number: Column) -> Broadcast[np.ndarray]:
+    """A bitmap of `FILTER_BITS` bits for all tasks, so that texts need no shuffle to be picked."""
+    return rows.sparkSession.sparkContext.broadcast(_bits_of(rows, number, FILTER_BITS))
+
+
+def _number(key: Column) -> Column:
+    return F.conv(F.substring(F.hex(key), 1, 12), 16, 10).cast("long")
+
+
+def _maybe_in(keys: DataFrame, key: Column) -> Column:
+    """Whether a bitmap of the keys has the bit of `key`: true for every one of them, and for few others while there is room."""
+    size = 1 << 16
+    room = 16 * keys.count()
+    while size < min(room, FILTER_BITS):
+        size *= 2
+    bitmap = F.lit(_bits_of(keys, _number(F.col("key")), size).astype("<i8").tobytes())
+    at = F.pmod(_number(key), F.lit(size))
+    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1
 
 
 def _sketches_of(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +229,7 @@ def _whole_lines(texts: DataFrame, min_texts: int) -> DataFrame:
     few = holders.join(counted.filter(F.col("n") < min_texts).select("line", "least"), "line").select("line", "least", "key", "doc_id")
     few = cut(few)
     # the copies of one text are cut to one row before the shuffle
-    wanted = _filter_of(few, F.conv(F.substring(F.hex("key"), 1, 12), 16, 10).cast("long"))
+    wanted = _filter_of(few, _number(F.col("key")))
     sketches = texts.select("key", "text").mapInArrow(lambda batches: _sketches_of(wanted.value, batches), "key binary, sketch binary")
     sketches = sketches.groupBy("key").agg(F.first("sketch").alias("sketch"))
     gathered = few.join(sketches, "key").groupBy("line").agg(F.max("least").alias("least"), F.sort_array(F.collect_list(
@@ -239,7 +260,8 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("at", F.coalesce("field", F.lit(FIELD)).alias("field")))).alias("w"))
     shaped = shaped.select("key", "doc_id", "pos", "leaf", F.transform("w", lambda w: w["field"]).alias("template"))
     shaped = shaped.filter(2 * F.size(F.filter("template", lambda w: w != FIELD)) >= F.size("template"))
-    shaped = shaped.select("key", "doc_id", "pos", F.xxhash64("leaf", "template").alias("template"))
+    # read three times
+    shaped = cut(shaped.select("key", "doc_id", "pos", F.xxhash64("leaf", "template").alias("template")))
     boilerplate = _recurring(shaped, "template", min_texts)
     first = shaped.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("template", F.col("first.key").alias("holder"))
@@ -250,11 +272,13 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The input columns with `text` freed of boilerplate lines, and `_n_dropped` (led by more underscores if taken)."""
-    gone = dropped_lines(docs, min_texts).withColumnRenamed("key", "_key").withColumnRenamed("positions", "_positions")
-    packed = docs.select(F.struct(*[own(docs, c) for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
-    # rows without a text have no key of their own; they are spread by a random one that matches nothing
-    packed = packed.withColumn("_key", F.coalesce(_key(F.col("_text")), F.unhex(F.sha1(F.uuid()))))
-    joined = packed.join(gone, "_key", "left")
+    gone = cut(dropped_lines(docs, min_texts))
+    packed = docs.select(F.struct(*[own(docs, c) for c in docs.columns]).alias("_row"), docs["text"].cast("string").alias("_text"))
+    # only rows whose text may lose lines are shuffled; the others, those without a text among them, stay where they are
+    hit = F.coalesce(_maybe_in(gone, _key(F.col("_text"))), F.lit(False))
+    moved = packed.filter(hit).withColumn("_key", _key(F.col("_text"))).join(
+        gone.select(F.col("key").alias("_key"), F.col("positions").alias("_positions")), "_key", "left").drop("_key")
+    joined = moved.unionByName(packed.filter(~hit).withColumn("_positions", F.lit(None).cast("array<int>")))
     rest = bound(F.split("_text", "\n"), lambda lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_positions")), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("_positions").isNull(), F.col("_text")).otherwise(rest)
