@@ -46,6 +46,7 @@ ATTRIBUTION_ENTITIES = [
     "platform_fee_charge", "marketing_channel", "marketing_campaign", "marketing_touch",
 ]
 
+# materialised, so that a filter on the result cannot turn the joins into something slower
 _ATTRIBUTION = """
 paid_fact AS (
   SELECT 'saas' AS scope, organization_id AS subject, invoice_payment_attempt_id AS pay, NULL::BIGINT AS ord,
@@ -60,7 +61,7 @@ fee_fact AS (
   SELECT 'commerce' AS scope, o.consumer_id AS subject, NULL::BIGINT AS pay, NULL::BIGINT AS ord,
     platform_fee_charge_id AS fee, succeeded_at AS ats, f.is_test AS fact_test
   FROM platform_fee_charge f JOIN commerce_order o USING (commerce_order_id) WHERE f.status = 'succeeded'),
-fact AS (
+fact AS MATERIALIZED (
   SELECT 'saas_revenue' AS kind, * FROM paid_fact
   UNION ALL (SELECT 'saas_first_payment', * FROM paid_fact
     QUALIFY ROW_NUMBER() OVER (PARTITION BY subject ORDER BY ats, CAST(pay AS VARCHAR)) = 1)
@@ -68,7 +69,7 @@ fact AS (
   UNION ALL (SELECT 'commerce_first_payment', * FROM order_fact
     QUALIFY ROW_NUMBER() OVER (PARTITION BY subject ORDER BY ats, CAST(ord AS VARCHAR)) = 1)
   UNION ALL SELECT 'commerce_revenue', * FROM fee_fact),
-candidate AS (
+candidate AS MATERIALIZED (
   SELECT t.marketing_touch_id AS touch, t.source_event_id AS src, t.marketing_channel_id AS channel,
     t.marketing_campaign_id AS campaign, t.occurred_at, t.processed_at, t.recorded_at,
     CASE WHEN t.organization_id IS NULL THEN 'commerce' ELSE 'saas' END AS scope,
@@ -81,18 +82,18 @@ candidate AS (
     AND (t.marketing_campaign_id IS NULL OR (NOT g.is_test AND g.primary_channel_id = t.marketing_channel_id
       AND g.business_scope = CASE WHEN t.organization_id IS NULL THEN 'commerce' ELSE 'saas' END
       AND (t.organization_id IS NULL OR g.organization_id = t.organization_id)))),
-run AS (
+run AS MATERIALIZED (
   SELECT f.*, c.cutoff, f.ats - INTERVAL 168 HOUR AS win,
     f.fact_test OR COALESCE(o.is_test, u.is_test, FALSE) AS is_test
   FROM fact f JOIN {cutoffs}
   LEFT JOIN organization o ON f.scope = 'saas' AND o.organization_id = f.subject
   LEFT JOIN consumer u ON f.scope = 'commerce' AND u.consumer_id = f.subject),
-won AS (
+won AS MATERIALIZED (
   SELECT r.kind, r.pay, r.ord, r.fee, r.cutoff, arg_max(k, (k.occurred_at, k.src)) AS k
   FROM run r JOIN candidate k ON k.scope = r.scope AND k.subject = r.subject
     AND k.occurred_at BETWEEN r.win AND r.ats AND k.processed_at <= r.cutoff AND k.recorded_at <= r.cutoff
   WHERE r.win >= @history GROUP BY ALL),
-attributed_conversion AS (
+attributed_conversion AS MATERIALIZED (
   SELECT r.kind || ':' || COALESCE(r.pay, r.ord, r.fee) || ':' || strftime(r.cutoff, '%Y%m%d%H%M%S%f') AS attributed_conversion_id,
     r.kind AS conversion_type,
     CASE WHEN r.scope = 'saas' THEN r.subject END AS organization_id,
