@@ -13,7 +13,10 @@ only texts with a line in question are sketched. At `min_texts` texts nothing is
 
 Counting is over different texts, so exact copies of one document never make its lines boilerplate. All
 counts are partial aggregates before a shuffle; no leaf and no template is gathered in one task, and of a line only
-the sketches of fewer than `min_texts` texts. Whole lines are told apart by a 64-bit hash of their words.
+the sketches of fewer than `min_texts` texts. Whole lines and leaves are told apart by 64-bit hashes of their words.
+
+Texts are not shuffled to be looked at: bitmaps of `FILTER_BITS` bits pick lines, sketches and documents where they lie,
+and an exact join follows. A bitmap that fills up lets more through and loses nothing.
 
 Cases: null texts stay null; lines without a word are never dropped; a line repeated in one text counts once there;
 null ids come after all others; texts equal to the first holder keep their lines as well; an empty table gives an
@@ -72,67 +75,61 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return owner, np.arange(len(owner)) - np.searchsorted(owner, owner), starts
 
 
-def line_leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, leaf, first byte, past byte) of every line with a word.
-
-    The leaf stands for the number of words and the first `LEAD` of them, those with a digit all alike.
-    """
-    owner, number, starts = _line_starts(data, offsets)
-    edges = np.append(starts, len(data))
+def _grouped(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and the line, first word and number of words of every line with a word."""
     found, line = word_hashes(data, edges, lower=False)
-    if not len(found):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64))
-    # a word that changes where its digits do holds one
-    plain, _ = word_hashes(np.where((data >= 0x30) & (data <= 0x39), np.uint8(0x61), data), edges, lower=False)
     first = np.flatnonzero(np.diff(line, prepend=-1))
-    counts = np.diff(np.append(first, len(line)))
+    return found, line[first], first, np.diff(np.append(first, len(line)))
+
+
+def _sequence_hashes(found: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(found)) - np.repeat(first, counts)
+    hashes = np.add.reduceat(mix(found + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
+    return mix(hashes + counts.astype(np.uint64))
+
+
+def _leaf_hashes(data: np.ndarray, edges: np.ndarray, found: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A leaf stands for the number of words and the first `LEAD` of them, those with a digit all alike."""
     leaf = mix(counts.astype(np.uint64))
+    if not len(first):
+        return leaf
+    # a word that changes where its digits do holds one
+    plain, _ = word_hashes(np.where((data >= 0x30) & (data <= 0x39), np.uint8(0x61), data), edges, lower=False)
     for k in range(LEAD):
-        has, at = counts > k, np.minimum(first + k, len(found) - 1)
+        at = np.minimum(first + k, len(found) - 1)
         word = np.where(plain[at] == found[at], found[at], np.uint64(0))
-        leaf = np.where(has, mix(leaf * np.uint64(0x9FB21C651E98DF25) + word), leaf)
-    rows = line[first]
+        leaf = np.where(counts > k, mix(leaf * np.uint64(0x9FB21C651E98DF25) + word), leaf)
+    return leaf
+
+
+def line_leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, leaf, first byte, past byte) of every line with a word."""
+    owner, number, starts = _line_starts(data, offsets)
+    edges = np.append(starts, len(data))
+    found, rows, first, counts = _grouped(data, edges)
     last = np.append(owner[1:] != owner[:-1], True)  # the last line of a text has no line feed
-    return owner[rows], number[rows], leaf, starts[rows], (edges[1:] - ~last)[rows]
+    return owner[rows], number[rows], _leaf_hashes(data, edges, found, first, counts), starts[rows], (edges[1:] - ~last)[rows]
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, hash of the word sequence, words) of every line with a word."""
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, hash of the word sequence, words, leaf) of every line with a word."""
     owner, number, starts = _line_starts(data, offsets)
-    found, line = word_hashes(data, np.append(starts, len(data)), lower=False)
-    if not len(found):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    counts = np.diff(np.append(first, len(line)))
-    place = np.arange(len(line)) - np.repeat(first, counts)
-    hashes = np.add.reduceat(mix(found + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
-    return owner[line[first]], number[line[first]], mix(hashes + counts.astype(np.uint64)), counts
+    edges = np.append(starts, len(data))
+    found, rows, first, counts = _grouped(data, edges)
+    return owner[rows], number[rows], _sequence_hashes(found, first, counts), counts, _leaf_hashes(data, edges, found, first, counts)
 
 
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = min(size for size, _ in WHOLE)
     for batch in batches:
         for first, _, data, offsets in blocks(batch.column(2)):
-            owner, number, hashes, counts = line_hashes(data, offsets)
-            kept = counts >= least
-            at = pa.array(owner[kept] + first)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number[kept], pa.int32()),
-                 pa.array(hashes[kept].view(np.int64)), pa.array(counts[kept], pa.int32())],
-                names=["key", "doc_id", "pos", "line", "size"])
-
-
-def _leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, key) of every text, each once."""
-    for batch in batches:
-        for first, _, data, offsets in blocks(batch.column(1)):
-            owner, _, leaf, _, _ = line_leaves(data, offsets)
-            order = np.lexsort((leaf, owner))
-            owner, leaf = owner[order], leaf[order]
-            fresh = np.ones(len(leaf), bool)
-            fresh[1:] = (owner[1:] != owner[:-1]) | (leaf[1:] != leaf[:-1])
+            owner, number, hashes, counts, leaf = line_hashes(data, offsets)
+            at = pa.array(owner + first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[fresh].view(np.int64)), batch.column(0).take(pa.array(owner[fresh] + first))], names=["leaf", "key"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()),
+                 pa.array(hashes.view(np.int64)), pa.array(counts, pa.int32()), pa.array(leaf.view(np.int64))],
+                names=["key", "doc_id", "pos", "line", "size", "leaf"])
 
 
 def _held_lines(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +210,9 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["line"])
 
 
-def _whole_lines(texts: DataFrame, min_texts: int) -> DataFrame:
+def _whole_lines(texts: DataFrame, lines: DataFrame, min_texts: int) -> DataFrame:
     """(key, pos) of the lines to drop as repeated whole lines."""
-    lines = texts.select("key", "doc_id", "text").mapInArrow(_lines_of, "key binary, doc_id long, pos int, line long, size int")
+    lines = lines.filter(F.col("size") >= min(size for size, _ in WHOLE)).drop("leaf")
     digest = F.xxhash64("key")
     again = lines.groupBy("line").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("line")
     lines = cut(lines.join(again, "line"))
@@ -243,8 +240,11 @@ def _whole_lines(texts: DataFrame, min_texts: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(key, positions): the line numbers to drop from each different text."""
     texts = _ids(docs).select(_key(F.col("text")).alias("key"), "doc_id", "text")
-    whole = _whole_lines(texts, min_texts)
-    leaves = texts.select("key", "text").mapInArrow(_leaves_of, "leaf long, key binary").distinct()
+    # every text is split into lines once; what the lines are told apart by is written
+    split = cut(texts.select("key", "doc_id", "text").mapInArrow(
+        _lines_of, "key binary, doc_id long, pos int, line long, size int, leaf long"))
+    whole = _whole_lines(texts, split, min_texts)
+    leaves = split.select("leaf", "key").distinct()
     frequent = cut(leaves.groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"))
     # texts stay where they are: a map picks their lines of frequent leaves
     wanted = _filter_of(frequent, F.col("leaf"))

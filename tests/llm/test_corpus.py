@@ -182,8 +182,8 @@ def test_line_hashes_equal_a_plain_loop():
     data, offsets = arrays.text_bytes(pa.array(texts))
     got = list(zip(*line_templates.line_hashes(data, offsets), strict=True))
     want = [(k, n, line.split()) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if line.split()]
-    assert [(k, n, size) for k, n, _, size in got] == [(k, n, len(w)) for k, n, w in want]
-    assert len({h for _, _, h, _ in got}) == len({tuple(w) for _, _, w in want})
+    assert [(k, n, size) for k, n, _, size, _ in got] == [(k, n, len(w)) for k, n, w in want]
+    assert len({h for _, _, h, _, _ in got}) == len({tuple(w) for _, _, w in want})
     assert all((a[2] == b[2]) == (x[2] == y[2]) for a, x in zip(got, want, strict=True) for b, y in zip(got, want, strict=True))
 
 
