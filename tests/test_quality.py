@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.operators import business_rules, quality
 from tallyhouse.operators.attribution import attribute
@@ -195,3 +196,10 @@ def test_text_formats(spark):
     ], "record_id string, column_name string, value string")
     found = {r["record_id"]: r["problem"] for r in business_rules.format_violations(cells, PARAMS.snapshot_cutoff).collect()}
     assert found == {"b": "not_an_instant", "c": "after_snapshot", "e": "not_money", "f": "not_money", "g": "not_an_instant"}
+
+
+def test_text_of_a_cell_is_told_once(spark):
+    cells = spark.range(3).select(F.col("id").cast("string").alias("record_id"), F.lit("paid_at").alias("column_name"), F.md5(F.col("id").cast("string")).alias("value"))
+    found = business_rules.format_violations(cells, PARAMS.snapshot_cutoff)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert {tuple(r) for r in found.collect()} == {(str(i), "paid_at", "not_an_instant") for i in range(3)}
