@@ -1,7 +1,7 @@
 """Strict comparison of result tables, and roll-ups over many comparisons.
 
 Cells are compared as (kind, fixed text) without coercion or tolerance. Everything stays
-distributed: multisets are compared by signed counts, and in an ordered comparison the two sides
+distributed: multisets are compared by signed counts of row digests, and in an ordered comparison the two sides
 meet by their place in the declared order.
 """
 
@@ -22,6 +22,7 @@ ROW_COUNT, NULLS, TYPES, VALUES = "ROW_COUNT_MISMATCH", "NULL_MISMATCH", "TYPE_M
 MULTISET = "UNORDERED_MULTISET_MISMATCH"
 STATUSES = ("PASS", "FAIL_ACTION", "FAIL_STRUCTURE", "FAIL_EXECUTION", "FAIL_RESULT", "NOT_EVALUATED")
 
+_LETTERS = {"integer": "i", "boolean": "b", "decimal": "d", "string": "s", "datetime": "t", "null": "n"}
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -108,23 +109,34 @@ def compare(actual: DataFrame, expected: DataFrame, order_by: Sequence[str] | No
     if order_by is not None:
         return _verdict(_ordered_failure(actual, expected, order_by, descending))
     both = stack(
-        actual.select(_cells(actual.schema).alias("cells"), F.lit(1).alias("side")),
-        expected.select(_cells(expected.schema).alias("cells"), F.lit(-1).alias("side")),
+        actual.select(*_row_key(actual.schema), F.lit(1).alias("side")),
+        expected.select(*_row_key(expected.schema), F.lit(-1).alias("side")),
     )
-    counted = both.groupBy("cells").agg(F.sum("side").alias("surplus"))
+    counted = both.groupBy("kinds", "content").agg(F.sum("side").alias("surplus"))
     return _verdict(_multiset_failure(counted))
 
 
+def _row_key(schema: T.StructType) -> list[Column]:
+    """A row as (kinds, content): one letter per cell, and the SHA-256 of all texts, each behind its length.
+
+    Rows meet by these few bytes, whatever their width.
+    """
+    kinds, texts = [], []
+    for field in schema:
+        text = cell_text(field.name, field.dataType)
+        kinds.append(F.when(F.col(f"`{field.name}`").isNull(), _LETTERS["null"]).otherwise(_LETTERS[kind_of(field.dataType)]))
+        texts.append(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+    return [F.concat(*kinds).alias("kinds"), F.unhex(F.sha2(F.concat_ws("", *texts), 256)).alias("content")]
+
+
 def _verdict(found: DataFrame) -> DataFrame:
     return found.select(F.col("failure_code").isNull().alias("matches"), "failure_code")
 
 
 def _multiset_failure(counted: DataFrame) -> DataFrame:
     """Row count first, then shape of kinds (NULL counts before kinds), then the values."""
-    kinds = F.transform("cells", lambda c: c["kind"])
-    differing = counted.filter("surplus <> 0").withColumn("kinds", kinds)
-    by_shape = differing.groupBy("kinds").agg(F.sum("surplus").alias("surplus"))
-    nulls = F.size(F.filter("kinds", lambda k: k == "null"))
+    by_shape = counted.filter("surplus <> 0").groupBy("kinds").agg(F.sum("surplus").alias("surplus"))
+    nulls = F.length(F.regexp_replace("kinds", f"[^{_LETTERS['null']}]", ""))
     by_nulls = by_shape.groupBy(nulls.alias("nulls")).agg(
         F.sum("surplus").alias("null_surplus"), F.max(F.col("surplus") != 0).alias("shape_differs")
     )

@@ -104,3 +104,12 @@ def test_response_gaps(spark):
     expected = spark.createDataFrame([("a", "execute_sql"), ("b", "deferred"), ("c", "execute_sql")], "case_id string, action string")
     answers = spark.createDataFrame([("a",), ("b",), ("z",)], "case_id string")
     assert sorted(map(tuple, C.response_gaps(expected, answers).collect())) == [("b", "forbidden"), ("c", "missing"), ("z", "unknown")]
+
+
+def test_rows_meet_by_digests_that_tell_cells_apart(spark):
+    a, b = frames(spark, [("1:x", "y"), ("", None)], [("1:x", "y"), (None, "")], "u string, v string")
+    found = C.compare(a, b)
+    assert verdict(found) == C.TYPES
+    assert "cells" not in found._jdf.queryExecution().executedPlan().toString()
+    for left, right in [(("ab", "c"), ("a", "bc")), (("a1:b", ""), ("a", "1:b")), (("1", "11:1"), ("11:1", "1"))]:
+        assert verdict(C.compare(*frames(spark, [left], [right], "u string, v string"))) == C.MULTISET
