@@ -70,3 +70,12 @@ def test_null_keys_and_instants(spark):
     got = last_before(probes, events, ["k"], "ts", "ts", ["v"], {"hit": None})
     assert got.columns == ["k", "ts", "n", "hit"]
     assert sorted((r.n, r.hit and r.hit.v) for r in got.collect()) == [(1, "a"), (2, None), (3, None)]
+
+
+def test_events_cross_few_shuffles_and_no_join(spark):
+    events = spark.range(10).select((F.col("id") % 2).alias("k"), (F.lit(START) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"), "id")
+    got = last_before(events, events, ["k"], "ts", "ts", [], {"hit": None, "odd": F.col("id") % 4 > 1}, columns=["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3 and "Join" not in plan
+    assert sorted((r.id, r.hit.id, r.odd and r.odd.id) for r in got.collect()) == [
+        (0, 0, None), (1, 1, None), *[(i, i, i - i % 4 + 2 + i % 2 if i % 4 > 1 else i - 2) for i in range(2, 10)]]
