@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tallyhouse.operators.blocks import inline_rows, stack
 from tallyhouse.operators.positions import with_positions
+from tallyhouse.session import staged
 
 # Failure codes, earliest stage first, and the statuses of a suite.
 COLUMN_COUNT, COLUMN_NAME, COLUMN_ORDER = "COLUMN_COUNT_MISMATCH", "COLUMN_NAME_MISMATCH", "COLUMN_ORDER_MISMATCH"
@@ -100,14 +101,17 @@ def column_failure(actual: Sequence[str], expected: Sequence[str]) -> str | None
 
 
 def compare(actual: DataFrame, expected: DataFrame, order_by: Sequence[str] | None = None,
-            descending: Sequence[str] = ()) -> DataFrame:
-    """One row (matches, failure_code). With `order_by`, position matters, else only the multiset."""
+            descending: Sequence[str] = (), placed: dict[int, DataFrame] | None = None) -> DataFrame:
+    """One row (matches, failure_code). With `order_by`, position matters, else only the multiset.
+
+    Several comparisons in one order may share `placed`, an empty dict at first: a frame met again is not placed again.
+    """
     failure = column_failure(actual.columns, expected.columns)
     if failure is not None:
         spark = actual.sparkSession
         return inline_rows(spark, "matches boolean, failure_code string", [("false", failure)])
     if order_by is not None:
-        return _verdict(_ordered_failure(actual, expected, order_by, descending))
+        return _verdict(_ordered_failure(actual, expected, order_by, descending, {} if placed is None else placed))
     both = stack(
         actual.select(*_row_key(actual.schema), F.lit(1).alias("side")),
         expected.select(*_row_key(expected.schema), F.lit(-1).alias("side")),
@@ -164,19 +168,27 @@ def first_difference(ours: Column, theirs: Column) -> Column:
     return F.get(F.filter(F.zip_with(ours, theirs, code), lambda c: c.isNotNull()), F.lit(0))
 
 
-def _ordered_failure(actual: DataFrame, expected: DataFrame, order_by: Sequence[str], descending: Sequence[str]) -> DataFrame:
-    """Row count first, then the first differing cell at the first place that differs."""
-    sides = [
-        with_positions(df, order_by, descending, "__place").select("__place", F.lit(side).alias("side"), _cells(df.schema).alias("cells"))
-        for df, side in ((actual, 1), (expected, -1))
-    ]
-    ours, theirs = F.when(F.col("side") > 0, F.col("cells")), F.when(F.col("side") < 0, F.col("cells"))
-    places = stack(*sides).groupBy("__place").agg(F.sum("side").alias("surplus"), F.max(ours).alias("ours"), F.max(theirs).alias("theirs"))
+def _ordered_failure(actual: DataFrame, expected: DataFrame, order_by: Sequence[str], descending: Sequence[str],
+                     placed: dict[int, DataFrame]) -> DataFrame:
+    """Row count first, then the first differing cell at the first place that differs.
+
+    Rows meet by place as digests, half a SHA-256 each; only the two rows of that place are looked at cell by cell.
+    """
+    sides = []
+    for df, side in ((actual, 1), (expected, -1)):
+        if id(df) not in placed:
+            placed[id(df)] = with_positions(df, order_by, descending, "__place")
+        sides.append((placed[id(df)], df.schema, side))
+    keys = stack(*[rows.select("__place", *_row_key(schema), F.lit(side).alias("side")) for rows, schema, side in sides])
+    counted = keys.groupBy("__place", "kinds", F.substring("content", 1, 16).alias("content")).agg(F.sum("side").alias("surplus"))
+    first = staged(counted.filter("surplus <> 0").agg(
+        F.coalesce(F.sum("surplus"), F.lit(0)).alias("row_surplus"), F.min("__place").alias("__place")))
+    there = first.filter("row_surplus = 0").select("__place")
+    found = stack(first.select("row_surplus"), *[
+        rows.join(F.broadcast(there), "__place").select(_cells(schema).alias("ours" if side > 0 else "theirs")) for rows, schema, side in sides
+    ]).agg(F.max("row_surplus").alias("row_surplus"), F.max("ours").alias("ours"), F.max("theirs").alias("theirs"))
     code = first_difference(F.col("ours"), F.col("theirs"))
-    found = places.select("__place", "surplus", code.alias("code")).agg(
-        F.coalesce(F.sum("surplus"), F.lit(0)).alias("row_surplus"),
-        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("__place"))).alias("code"))
-    return found.select(F.when(F.col("row_surplus") != 0, ROW_COUNT).otherwise(F.col("code")).alias("failure_code"))
+    return found.select(F.when(F.col("row_surplus") != 0, ROW_COUNT).otherwise(code).alias("failure_code"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -113,3 +113,13 @@ def test_rows_meet_by_digests_that_tell_cells_apart(spark):
     assert "cells" not in found._jdf.queryExecution().executedPlan().toString()
     for left, right in [(("ab", "c"), ("a", "bc")), (("a1:b", ""), ("a", "1:b")), (("1", "11:1"), ("11:1", "1"))]:
         assert verdict(C.compare(*frames(spark, [left], [right], "u string, v string"))) == C.MULTISET
+
+
+def test_ordered_rows_meet_by_digests_and_share_places(spark):
+    a, b = frames(spark, [(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (2, None), (3, "d")])
+    placed = {}
+    found = C.compare(a, b, ["k"], placed=placed)
+    assert verdict(found) == C.NULLS
+    assert "cells" not in found._jdf.queryExecution().optimizedPlan().toString()
+    first = dict(placed)
+    assert verdict(C.compare(b, b, ["k"], placed=placed)) is None and placed == first
