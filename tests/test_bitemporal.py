@@ -84,3 +84,11 @@ def test_no_window_spans_a_key(spark):
     assert len(windows) == 3
     for line in windows:
         assert "__second" in line or "__day" in line
+
+
+def test_running_folds_without_a_join(spark):
+    frame = spark.range(9).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 1800).cast("timestamp_ntz").alias("at"), "id")
+    found = running(frame, ["k"], "at", "id", F.sum)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 5
+    assert sorted(r.id for r in found.collect()) == [0, 1, 3, 6, 10, 15, 21, 28, 36]
