@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.blocks import inline_rows, stack
@@ -63,24 +63,27 @@ def _with_zeros(counted: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFra
         F.sum("violations").alias("violations"))
 
 
-def _keys(df: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
-    """(rule, key) of every row and rule whose columns are all set: one pass over the table for all its rules."""
-    keys = [
-        F.struct(F.lit(rule).alias("rule"), F.when(
-            reduce(and_, [F.col(c).isNotNull() for c in columns]), F.to_json(F.struct(*[F.col(c).cast("string") for c in columns]))).alias("key"))
-        for rule, columns in rules
-    ]
+def _keys(df: DataFrame, rules: Mapping[int, Sequence[str]]) -> DataFrame:
+    """(rule number, key) of every row and rule whose columns are all set: one pass over the table for all its rules."""
+    def key(columns: Sequence[str]) -> Column:
+        texts = [F.col(c).cast("string") for c in columns]
+        whole = texts[0] if len(columns) == 1 else F.to_json(F.struct(*texts))
+        return F.when(reduce(and_, [F.col(c).isNotNull() for c in columns]), whole)
+
+    keys = [F.struct(F.lit(number).alias("number"), key(columns).alias("key")) for number, columns in rules.items()]
     return df.select(F.inline(F.array(*keys))).filter("key IS NOT NULL")
 
 
 def unique_report(t: TablesMap) -> DataFrame:
     """Keys held by several rows, for all rules: each table is read once and all keys meet in one grouping."""
-    tables: dict[str, list[tuple[str, Sequence[str]]]] = {}
-    for table, rule, columns in UNIQUE:
-        tables.setdefault(table, []).append((rule, columns))
-    keys = stack(*[_keys(t[table], rules).select(F.lit(table).alias("table_name"), "rule", "key") for table, rules in tables.items()])
-    doubled = keys.groupBy("table_name", "rule", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = doubled.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("violations"))
+    tables: dict[str, dict[int, Sequence[str]]] = {}
+    for number, (table, _, columns) in enumerate(UNIQUE):
+        tables.setdefault(table, {})[number] = columns
+    keys = stack(*[_keys(t[table], rules) for table, rules in tables.items()])
+    doubled = keys.groupBy("number", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    names = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule")) for table, rule, _ in UNIQUE])
+    counted = doubled.groupBy("number").agg(F.count(F.lit(1)).alias("violations")).select(
+        F.get(names, F.col("number")).alias("named"), "violations").select("named.*", "violations")
     return _with_zeros(counted, [(table, rule) for table, rule, _ in UNIQUE])
 
 

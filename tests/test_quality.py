@@ -203,3 +203,9 @@ def test_text_of_a_cell_is_told_once(spark):
     found = business_rules.format_violations(cells, PARAMS.snapshot_cutoff)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
     assert {tuple(r) for r in found.collect()} == {(str(i), "paid_at", "not_an_instant") for i in range(3)}
+
+
+def test_unique_rules_meet_by_number_and_plain_key(clean):
+    plan = quality.unique_report(clean)._jdf.queryExecution().optimizedPlan().toString()
+    single = sum(len(columns) == 1 for _, _, columns in UNIQUE)
+    assert "Aggregate [number#" in plan and plan.count("to_json") <= 2 * (len(UNIQUE) - single)
