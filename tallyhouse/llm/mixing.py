@@ -77,16 +77,40 @@ class Classifier:
         return odds / odds.sum(1, keepdims=True)
 
 
-def fit_softmax(features: np.ndarray, domains: np.ndarray, shares: np.ndarray, count: int) -> Classifier:
+@dataclass(frozen=True)
+class Sample:
+    """The features that are not 0 of a number of texts; only some columns at a time are written out."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    count: int
+    width: int
+
+    def columns(self, wanted: np.ndarray) -> np.ndarray:
+        """(texts, wanted) of the sorted positions `wanted`."""
+        place = np.searchsorted(wanted, self.at)
+        hit = place < len(wanted)
+        hit[hit] = wanted[place[hit]] == self.at[hit]
+        out = np.zeros((self.count, len(wanted)), np.float32)
+        out[self.rows[hit], place[hit]] = self.values[hit]
+        return out
+
+
+def fit_softmax(sample: Sample, domains: np.ndarray, shares: np.ndarray, count: int) -> Classifier:
     """Class-balanced fit on the most telling features, moved to the shares of the labelled table."""
     target = np.eye(count)[domains]
     sizes = target.sum(0)
-    means = (target.T @ features) / np.maximum(sizes, 1)[:, None]
-    spread = features.std(0) + 1e-3
+    means, spread = np.zeros((count, sample.width)), np.zeros(sample.width, np.float32)
+    for first in range(0, sample.width, KEPT_FEATURES):
+        part = np.arange(first, min(first + KEPT_FEATURES, sample.width))
+        features = sample.columns(part)
+        means[:, part] = (target.T @ features) / np.maximum(sizes, 1)[:, None]
+        spread[part] = features.std(0) + 1e-3
     telling = np.abs(means - means[sizes > 0].mean(0))[sizes > 0].max(0) / spread
     kept = np.sort(np.argsort(-telling, kind="stable")[:KEPT_FEATURES])
     scale = spread[kept]
-    x = (features[:, kept] / scale).astype(np.float32)
+    x = (sample.columns(kept) / scale).astype(np.float32)
     per_row = (1 / np.maximum(sizes, 1))[domains][:, None] / max((sizes > 0).sum(), 1)
     weights, bias = np.zeros((x.shape[1], count)), np.zeros(count)
     speed_w, speed_b = np.zeros_like(weights), np.zeros(count)
@@ -121,11 +145,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, per_domain: int = LABELLE
     if not chosen:
         return Classifier(np.zeros(0, np.int64), np.ones(0), np.zeros((0, len(DOMAINS))), np.log(np.maximum(shares, 1e-9)))
     width = style_and_words(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
-    features = np.zeros((len(chosen), width), np.float32)
-    for row, r in enumerate(chosen):
-        at, values = found[r.doc_id]
-        features[row, at] = values
-    return fit_softmax(features, np.array([r.domain for r in chosen]), shares, len(DOMAINS))
+    at, values = zip(*[found[r.doc_id] for r in chosen], strict=True)
+    rows = np.repeat(np.arange(len(chosen)), [len(a) for a in at])
+    sample = Sample(rows, np.concatenate(at), np.concatenate(values), len(chosen), width)
+    return fit_softmax(sample, np.array([r.domain for r in chosen]), shares, len(DOMAINS))
 
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:

@@ -97,27 +97,28 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int) -> list[tuple
     return [(r.doc_id, r.label) for r in rows]
 
 
-SPARSE = pa.schema([("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+SPARSE = pa.schema([("doc_id", pa.int64()), ("at", pa.binary()), ("value", pa.binary())])
 
 
 def sparse_rows(features, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, positions, values) of the features of each text."""
+    """(doc_id, positions, values) of the features of each text, as packed 32-bit numbers."""
     for batch in batches:
         for first, past, data, offsets in blocks(batch.column(1)):
             rows = []
             for k, row in enumerate(features(data, offsets)):
                 at = np.flatnonzero(row)
-                rows.append({"doc_id": batch.column(0)[first + k].as_py(), "at": at.astype(np.int32), "value": row[at]})
+                rows.append({"doc_id": batch.column(0)[first + k].as_py(), "at": at.astype(np.int32).tobytes(),
+                             "value": row[at].astype(np.float32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=SPARSE)
 
 
-def sample_features(docs: DataFrame, ids: list[int], features) -> dict[int, tuple[list[int], list[float]]]:
-    """Features of the documents with the given ids, whose number the caller bounds."""
+def sample_features(docs: DataFrame, ids: list[int], features) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Features of the documents with the given ids, whose number the caller bounds; eight bytes each at the driver."""
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(wanted, "doc_id", "left_semi")
-    found = rows.mapInArrow(lambda batches: sparse_rows(features, batches), "doc_id long, at array<int>, value array<float>")
-    return {r.doc_id: (r.at, r.value) for r in found.collect()}
+    found = rows.mapInArrow(lambda batches: sparse_rows(features, batches), "doc_id long, at binary, value binary")
+    return {r.doc_id: (np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in found.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = LABELLED_PER_CLASS) -> Space:

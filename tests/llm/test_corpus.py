@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -308,3 +309,15 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, held, SF).collect()
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
     assert {r.doc_id for r in pieces} == set(texts) and max(r.offset + r.length for r in pieces) <= packing.SEQUENCE
+
+
+def test_fit_of_the_domains_holds_few_columns_at_a_time(spark):
+    frame = docs(spark, [f"text {k} of word{k % 7}" for k in range(400)])
+    labels = spark.createDataFrame([(k, k % 2, int(k % 5 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    classifier = mixing.fit_classifier(frame, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(classifier.kept) == mixing.KEPT_FEATURES
+    # all features of the 400 texts at once would take 20 MB in single precision
+    assert peak < 12_000_000
