@@ -1,9 +1,9 @@
 """A whole suite of result comparisons in one job, one report row per case.
 
 All cases of a suite lie in the same tables: what is expected of a case, what was answered, and the rows of both
-sides as (case_id, position, cells) with cells as (kind, fixed text). Rows meet by (case, position) where the order
-counts and by (case, cells) where it does not, so the work is dealt by row and one large case is spread like many
-small ones; only what differs goes on, and each further grouping holds kinds of rows, not rows.
+sides as (case_id, position, cells) with cells as (kind, fixed text). Rows meet once by (case, position) as
+fingerprints, so the work is dealt by row and one large case is spread like many small ones; only what differs goes
+on, to its place where the order counts and to its cells where it does not, and each further grouping holds kinds of rows, not rows.
 
 A case fails at its earliest stage: action, structure, execution, then columns, row count and cells.
 """
@@ -50,22 +50,44 @@ def result_rows(df: DataFrame, case_id: Column, position: Column | None = None)
     return df.select(case_id.alias("case_id"), place.cast("long").alias("position"), _cells(df.schema).alias("cells"))
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """Rows as (case_id, position, kinds, texts, content): kinds by name, 64 bits of each text, 128 bits of all cells.
+
+    Rows meet by these few bytes, whatever their width.
+    """
+    kinds = F.array_join(F.transform("cells", lambda c: F.coalesce(c["kind"], F.lit(""))), ",")
+    texts = F.transform("cells", lambda c: F.when(c["text"].isNotNull(), F.xxhash64(c["text"])))
+    content = F.unhex(F.substring(F.sha2(_json(F.col("cells")), 256), 1, 32))
+    return rows.select("case_id", "position", kinds.alias("kinds"), texts.alias("texts"), content.alias("content"))
+
+
+def _differing(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """The rows that one side has more often than the other at a place, with their surplus on our side.
+
+    Rows are dealt by place before they are counted: hardly two of a task are equal before that.
+    """
+    both = stack(_fingerprints(actual).withColumn("side", F.lit(1)), _fingerprints(expected).withColumn("side", F.lit(-1)))
+    counted = both.repartition("case_id", "position").groupBy("case_id", "position", "kinds", "texts", "content").agg(F.sum("side").alias("surplus"))
+    return counted.filter("surplus <> 0")
+
+
+def _ordered(differing: DataFrame) -> DataFrame:
     """(case_id, row_surplus, ordered_code): the first place that differs decides."""
-    ours, theirs = F.when(F.col("side") > 0, F.col("cells")), F.when(F.col("side") < 0, F.col("cells"))
-    places = rows.groupBy("case_id", "position").agg(
-        F.sum("side").alias("surplus"), F.max(ours).alias("ours"), F.max(theirs).alias("theirs"))
+    named = F.transform(F.split("kinds", ","), lambda k: F.nullif(k, F.lit("")))
+    cells = F.zip_with(named, "texts", lambda k, x: F.struct(k.alias("kind"), x.alias("text")))
+    ours, theirs = F.when(F.col("surplus") > 0, cells), F.when(F.col("surplus") < 0, cells)
+    places = differing.groupBy("case_id", "position").agg(
+        F.sum("surplus").alias("surplus"), F.max(ours).alias("ours"), F.max(theirs).alias("theirs"))
     found = places.withColumn("code", first_difference(F.col("ours"), F.col("theirs"))).filter("surplus <> 0 OR code IS NOT NULL")
     return found.groupBy("case_id").agg(F.sum("surplus").alias("row_surplus"), F.min_by(
         F.coalesce("code", F.lit(VALUES)), "position").alias("ordered_code"))
 
 
-def _unordered(rows: DataFrame) -> DataFrame:
+def _unordered(differing: DataFrame) -> DataFrame:
     """(case_id, row_surplus, nulls_differ, shapes_differ): from rows to their kinds to their number of NULLs."""
-    differing = rows.groupBy("case_id", "cells").agg(F.sum("side").alias("surplus")).filter("surplus <> 0")
-    kinds = F.transform("cells", lambda c: c["kind"])
-    shapes = differing.groupBy("case_id", kinds.alias("kinds")).agg(F.sum("surplus").alias("surplus"))
-    nulls = F.size(F.filter("kinds", lambda k: k == "null"))
+    rows = differing.groupBy("case_id", "kinds", "content").agg(F.sum("surplus").alias("surplus")).filter("surplus <> 0")
+    shapes = rows.groupBy("case_id", "kinds").agg(F.sum("surplus").alias("surplus"))
+    nulls = F.size(F.filter(F.split("kinds", ","), lambda k: k == "null"))
     by_nulls = shapes.groupBy("case_id", nulls.alias("nulls")).agg(
         F.sum("surplus").alias("surplus"), F.max(F.col("surplus") != 0).alias("shapes_differ"))
     return by_nulls.groupBy("case_id").agg(
@@ -73,14 +95,31 @@ def _unordered(rows: DataFrame) -> DataFrame:
         F.max("shapes_differ").alias("shapes_differ"))
 
 
+def _json(value: Column) -> Column:
+    return F.coalesce(F.to_json(value, {"ignoreNullFields": "false"}), F.lit("null"))
+
+
+def _digests(rows: DataFrame, places: Mapping[str, Column]) -> DataFrame:
+    """(case_id, a digest per name) of each case's rows, each row with its place under that name. Sums of hashes, so no sort."""
+    cells = rows.select("case_id", _json(F.col("cells")).alias("cells"), *[place.cast("string").alias(f"at_{name}") for name, place in places.items()])
+    hashes, numbers, sums, digests = [], [], [], []
+    for name in places:
+        text = F.concat(F.lit('{"at":'), F.coalesce(f"at_{name}", F.lit("null")), F.lit(',"cells":'), "cells", F.lit("}"))
+        hashes.append(F.sha2(text, 256).alias(name))
+        for k in range(4):
+            part = f"{name}_{k}"
+            numbers.append(F.conv(F.substring(name, 1 + 12 * k, 12), 16, 10).cast("long").alias(part))
+            # 48 bits as two halves, whose sums stay far inside a long
+            high, low = F.sum(F.shiftright(part, 24)), F.sum(F.col(part).bitwiseAND((1 << 24) - 1))
+            sums.append((high.cast("decimal(28,0)") * F.lit(1 << 24).cast("decimal(9,0)") + low).cast("decimal(38,0)").cast("string").alias(part))
+        digests.append(F.sha2(F.concat_ws("|", "n", *[f"{name}_{k}" for k in range(4)]), 256).alias(name))
+    summed = cells.select("case_id", *hashes).select("case_id", *numbers).groupBy("case_id").agg(F.count(F.lit(1)).cast("string").alias("n"), *sums)
+    return summed.select("case_id", *digests)
+
+
 def row_digests(rows: DataFrame, mode: Column) -> DataFrame:
-    """(case_id, digest) of each case's rows; positions count where the order does. Sums of hashes, so no sort."""
-    placed = F.when(mode == ORDERED, F.col("position"))
-    text = F.sha2(F.to_json(F.struct(placed.alias("at"), "cells"), {"ignoreNullFields": "false"}), 256)
-    parts = [F.conv(F.substring(text, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)").alias(f"h{k}") for k in range(4)]
-    sums = rows.select("case_id", *parts).groupBy("case_id").agg(
-        F.count(F.lit(1)).cast("string").alias("n"), *[F.sum(f"h{k}").cast("decimal(38,0)").cast("string").alias(f"h{k}") for k in range(4)])
-    return sums.select("case_id", F.sha2(F.concat_ws("|", "n", *[f"h{k}" for k in range(4)]), 256).alias("digest"))
+    """(case_id, digest) of each case's rows; positions count where the order does."""
+    return _digests(rows, {"digest": F.when(mode == ORDERED, F.col("position"))})
 
 
 def _by_priority(codes: Column) -> Column:
@@ -95,18 +134,19 @@ def suite_report(cases: DataFrame, responses: DataFrame, actual: DataFrame, expe
     `cases` are `CASES`, `responses` are `RESPONSES` (at most one per case), `actual` and `expected` are `ROWS`. A case
     without a response is not evaluated. Rows of a case that fails before the comparison count for its digest only.
     """
-    modes = cases.select("case_id", "mode")
-    both = stack(actual.withColumn("side", F.lit(1)), expected.withColumn("side", F.lit(-1))).join(modes, "case_id")
+    differing = _differing(actual, expected).join(cases.select("case_id", "mode"), "case_id")
     in_order = F.col("mode") == ORDERED
-    found = stack(_ordered(both.filter(in_order)), _unordered(both.filter(~in_order)))
+    found = stack(_ordered(differing.filter(in_order)), _unordered(differing.filter(~in_order)))
     answers = responses.select(
         "case_id", F.col("action").alias("actual_action"), F.col("clarification_code").alias("answered_code"),
         _by_priority(F.coalesce("structure_codes", F.array().cast("array<string>"))).alias("structure"),
         "execution_code", F.col("columns").alias("actual_columns"))
     joined = cases.join(answers, "case_id", "left").join(found, "case_id", "left")
+    # a row does not know its case's mode: both digests are summed, and the case takes its own
     for name, side in (("expected_digest", expected), ("actual_digest", actual)):
-        digests = row_digests(side.join(modes, "case_id"), F.col("mode"))
-        joined = joined.join(digests.withColumnRenamed("digest", name), "case_id", "left")
+        digests = _digests(side, {"placed": F.col("position"), "loose": F.lit(None)})
+        joined = joined.join(digests, "case_id", "left").withColumn(
+            name, F.when(in_order, F.col("placed")).otherwise(F.col("loose"))).drop("placed", "loose")
 
     sql = F.col("expected_action") == EXECUTE
     ours, theirs = F.col("actual_columns"), F.col("columns")

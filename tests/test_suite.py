@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -146,3 +147,16 @@ def test_suite_is_written_in_order_and_read_back(spark, tmp_path):
     up = sorted((r.position, tuple(c.text for c in r.cells)) for r in back if r.case_id == "up")
     assert up == [(0, (None, "c")), (1, ("1", None)), (2, ("2", "a")), (3, ("2", "b"))]
     assert [(r.position, r.columns) for r in back if r.case_id == "free"] == [(None, ["k", "v"])]
+
+
+def test_only_fingerprints_of_rows_are_dealt(spark, capsys):
+    cases = spark.createDataFrame([("a", S.EXECUTE, None, S.ORDERED, ["x"]), ("b", S.EXECUTE, None, S.UNORDERED, ["x"])], S.CASES)
+    answers = spark.createDataFrame([(c, S.EXECUTE, None, None, None, ["x"]) for c in "ab"], S.RESPONSES)
+    side = [(c, k, [("string", "long text" * 100)]) for c in "ab" for k in range(20)]
+    other = [(c, 19 - k if c == "b" else k, cells) for c, k, cells in side]
+    report = S.suite_report(cases, answers, spark.createDataFrame(side, S.ROWS), spark.createDataFrame(other, S.ROWS))
+    report.explain("formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", capsys.readouterr().out)
+    assert dealt and not [columns for columns in dealt if "cells#" in columns]
+    assert [(r.case_id, r.status, r.expected_digest == r.actual_digest) for r in report.orderBy("case_id").collect()] == [
+        ("a", "PASS", True), ("b", "PASS", True)]
