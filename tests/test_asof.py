@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -79,3 +80,15 @@ def test_events_cross_few_shuffles_and_no_join(spark):
     assert plan.count("Exchange") <= 3 and "Join" not in plan
     assert sorted((r.id, r.hit.id, r.odd and r.odd.id) for r in got.collect()) == [
         (0, 0, None), (1, 1, None), *[(i, i, i - i % 4 + 2 + i % 2 if i % 4 > 1 else i - 2) for i in range(2, 10)]]
+
+
+def test_probes_carry_key_and_instant_once_and_keep_their_types(spark):
+    events = spark.createDataFrame([(1, START, "a")], "k bigint, ts timestamp_ntz, v string")
+    probes = spark.createDataFrame([(1, START, 1), (None, None, 2)], "k int, ts timestamp_ntz, n int")
+    got = last_before(probes, events, ["k"], "ts", "ts", ["v"], {"hit": None})
+    assert got.dtypes[:3] == [("k", "int"), ("ts", "timestamp_ntz"), ("n", "int")]
+    carried = re.findall(r"struct\((\w+), [^)]*\) AS __probe", got._jdf.queryExecution().analyzed().toString())
+    assert set(carried) == {"n"}
+    assert sorted((r.n, r.k, r.hit and r.hit.v) for r in got.collect()) == [(1, 1, "a"), (2, None, None)]
+    bare = last_before(probes.select("k", "ts"), events, ["k"], "ts", "ts", ["v"], {"hit": None})
+    assert bare.columns == ["k", "ts", "hit"] and bare.count() == 2
