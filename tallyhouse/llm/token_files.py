@@ -28,16 +28,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, groupby
+from itertools import accumulate, groupby, pairwise
 from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.arrays import blocks, text_bytes
 from tallyhouse.llm.common import checkpoint_folder, cut
 from tallyhouse.llm.huffman import BLOCK_IDS, Code, code_lengths
 from tallyhouse.llm.packing import END_ID, TextIds, vocabulary_path
@@ -49,7 +51,9 @@ TASK_SECTIONS = 8
 #: ids per file at most, where spark.sql.shuffle.partitions files would be larger
 FILE_IDS = 1 << 26
 #: stretches whose ids a worker remembers; only speed depends on it
-CACHED_CHUNKS = 250_000
+KNOWN_CHUNKS = 500_000
+#: bytes of texts that are looked up together
+TEXT_BYTES = 4 << 20
 MAGIC = b"TOKHUF01"
 SIZE, HEAD, ENTRY, FOOTER = struct.Struct("<I"), struct.Struct("<QQIII"), struct.Struct("<QQQ"), struct.Struct("<I8s")
 
@@ -59,38 +63,53 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class ChunkIds(TextIds):
-    """Ids of whole texts, remembered by stretch between white space; no token spans white space."""
+    """Ids of whole texts by stretch between white space, which no token spans. Known stretches and their ids are two columns."""
 
     #: what the short way cannot take, besides "<|"; see SIMPLE
     other = re.compile("[^\t\n\r -~¡-ɏ]").search
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunks = _Chunks(self)
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.marks: dict[str, bytes] = {}
 
     def of_chunk(self, chunk: str) -> bytes:
         if chunk.isalpha():
             return self.of_word(chunk)
-        if chunk[:-1].isalpha() and not chunk[-1].isnumeric():
-            return self.chunks[chunk[:-1]] + self.of_word(chunk[-1])
+        mark = chunk[-1:]
+        if chunk[:-1].isalpha() and not mark.isnumeric():
+            if mark not in self.marks:
+                self.marks[mark] = self.of_word(mark)
+            return self.of_word(chunk[:-1]) + self.marks[mark]
         return b"".join(map(self.of_word, self.split(chunk)))
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or self.other(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        simple = ["<|" not in text and not self.other(text) for text in texts]
+        short = iter(self._of_simple([text for text, plain in zip(texts, simple, strict=True) if plain]))
+        return [next(short) if plain else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                for text, plain in zip(texts, simple, strict=True)]
+
+    def _of_simple(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        chunks = pc.utf8_split_whitespace(pa.array([text.lower() for text in texts], pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(place.is_null())
+        numbers = place.fill_null(-1).to_numpy().astype(np.int64)
+        numbers[numbers < 0] = np.arange(len(self.known), len(self.known) + len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.ids = pa.concat_arrays([self.ids, pa.array(map(self.of_chunk, fresh.to_pylist()), pa.large_binary())])
+        data, offsets = text_bytes(self.ids.take(pa.array(numbers[coded.indices.to_numpy()])))
+        if len(self.known) > KNOWN_CHUNKS:
+            # the stretches met last stay
+            self.known, self.ids = coded.dictionary, self.ids.take(pa.array(numbers))
+        ends = offsets[chunks.offsets.to_numpy()].tolist()
+        whole = memoryview(data)
+        return [bytes(whole[first:past]) for first, past in pairwise(ends)]
 
-class _Chunks(dict):
-    def __init__(self, encoder: ChunkIds):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encoder.of_chunk(chunk)
-        return ids
+    def __call__(self, text: str) -> bytes:
+        return self.of_texts([text])[0]
 
 
 @cache
@@ -102,9 +121,9 @@ def _encoder(path: str) -> ChunkIds:
 def _tokenised(path: str, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encode, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [encode(text or "") + end for text in part.column(1).to_pylist()]
+        for first, past, _, _ in blocks(batch.column(1), TEXT_BYTES):
+            part = batch.slice(first, past - first)
+            found = [ids + end for ids in encode.of_texts([text or "" for text in part.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(ids) // 4 for ids in found], pa.int64()),
                 pa.array([zlib.crc32(ids) for ids in found], pa.int64()),

@@ -285,6 +285,20 @@ def test_round_trip_equals_the_tokenizer(spark, section_ids, file_ids):
     assert got == want
 
 
+@pytest.mark.parametrize("known", [0, 5, 500_000])
+def test_texts_looked_up_together_take_each_stretch_once(monkeypatch, known):
+    monkeypatch.setattr(token_files, "KNOWN_CHUNKS", known)
+    encode, asked = token_files.ChunkIds(packing.vocabulary_path()), []
+    monkeypatch.setattr(encode, "of_word", lambda word, of_word=encode.of_word: asked.append(word) or of_word(word))
+    texts = [t or "" for t in id_texts()]
+    tokenizer = packing._tokenizer(packing.vocabulary_path())
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode.of_texts(texts) == want and encode.of_texts([]) == []
+    assert asked.count("word") == asked.count("naïve") == asked.count(",") == 1
+    assert encode.of_texts(texts[3:9]) + encode.of_texts(texts) == want[3:9] + want
+    assert asked.count("word") == (2 if known < 10 else 1)
+
+
 def test_token_files_of_repeated_and_null_ids(spark):
     rows = [(5, "b", None, None, None)] * 30 + [(5, "a", None, None, None), (None, "c", None, None, None), (2, None, None, None, None)]
     frame = spark.createDataFrame(rows, DOCS).repartition(6)
