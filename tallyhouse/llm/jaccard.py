@@ -9,8 +9,9 @@ exact for the 64-bit shingle hashes and never lists the pairs of a group of copi
 3. Classes whose first token under one of several hash orders agrees are compared with the first class of that group:
    one comparison per class and order. The links found give preliminary components, which hold most copies.
 4. For the rest, prefixes are taken under several global orders, rarest shingle first with different tie orders: two
-   similar sets share a token in the prefix of every order. Only pairs of different preliminary components are formed;
-   the pairs of all orders are intersected, and what is left is verified on the whole sets.
+   similar sets share a token in the prefix of every order. Only pairs of different preliminary components are formed,
+   and only those whose parity signs leave the threshold within reach: the signs of two sets differ in at most as many bits
+   as the sets differ in tokens. The pairs of all orders are intersected, and what is left is verified on the whole sets.
 5. Components of all verified links are the groups.
 
 Cases: null, empty and wordless texts have no shingle and link with nothing; a text with fewer words than a shingle is
@@ -37,6 +38,8 @@ PERCENT = 80
 PART_TOKENS = 3_000_000
 FIRST_ORDERS = 4
 PREFIX_ORDERS = 2
+#: longs of parity signs a set
+SIGNS = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -252,38 +255,54 @@ def _with_counts(table: pa.Table) -> pa.Table:
                      "counts": pa.array(kept_counts, pa.binary())})
 
 
+def parity_signs(found: np.ndarray) -> np.ndarray:
+    """One bit per slot of the hash space: whether an odd number of the tokens fall there."""
+    slots = (mix(found ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SIGNS)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * SIGNS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _prefixes(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, token, node, size) for the tokens in the node's prefix under each order that others have too."""
+    """Per node with tokens that others have too: how many are its own alone, the signs of the others, its prefix under each order."""
     for batch in batches:
-        orders, tokens, nodes, sizes = [], [], [], []
+        rows = []
         for node, size, blobs, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             found = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])
             often = np.concatenate([np.frombuffer(b, np.uint32) for b in counts])
             # tokens of this node alone come first in every order and cannot match
-            room = size - int(needed(np.int64(size), percent)) + 1 - (size - len(found))
+            alone = size - len(found)
+            room = size - int(needed(np.int64(size), percent)) + 1 - alone
             if room <= 0:
                 continue
-            for k in range(PREFIX_ORDERS):
-                first = np.lexsort((mix(found + np.uint64(7 + k)), often))[:room]
-                orders.append(np.full(len(first), k))
-                tokens.append(found[first].view(np.int64))
-                nodes.append(np.full(len(first), node))
-                sizes.append(np.full(len(first), size))
-        columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (orders, tokens, nodes, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ord", "token", "node", "size"])
-
-
-def _cross_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different preliminary components that meet in the prefixes of every order."""
+            firsts = [found[np.lexsort((mix(found + np.uint64(7 + k)), often))[:room]].view(np.int64) for k in range(PREFIX_ORDERS)]
+            rows.append((node, size, alone, *parity_signs(found).tolist(), firsts))
+        columns = list(zip(*rows, strict=True)) or [[]] * (4 + SIGNS)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.list_(pa.list_(pa.int64())))],
+            names=["node", "size", "alone", *SIGN_NAMES, "firsts"])
+
+
+SIGN_NAMES = [f"sign{k}" for k in range(SIGNS)]
+NODES = f"node long, size long, alone long, {', '.join(f'{name} long' for name in SIGN_NAMES)}, firsts array<array<long>>"
+
+
+def _cross_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different preliminary components that meet in the prefixes of every order and may be similar enough."""
+    kept = ["node", "size", "alone", "root", *SIGN_NAMES]
+    postings = nodes.select(*kept, F.posexplode("firsts").alias("ord", "tokens")).select(*kept, "ord", F.explode("tokens").alias("token"))
     # a token seen in one preliminary component only forms no pair
     mixed = postings.groupBy("ord", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     used = postings.join(mixed.select("ord", "token"), ["ord", "token"], "left_semi")
-    a = used.select("ord", "token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    b = used.select("ord", "token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    a, b = (used.select("ord", "token", *[F.col(c).alias(f"{side}_{c}") for c in kept]) for side in "ab")
+    sizes = F.col("a_size") + F.col("b_size")
+    apart = F.col("a_alone") + F.col("b_alone")
+    for name in SIGN_NAMES:
+        apart += F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}")))
     pairs = a.join(b, ["ord", "token"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")))
-    met = pairs.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, cast(ord AS int)))").alias("orders"))
+        (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+        & (100 * F.col("a_size") >= percent * F.col("b_size")) & (100 * F.col("b_size") >= percent * F.col("a_size"))
+        & ((100 + percent) * apart <= (100 - percent) * sizes))
+    met = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(
+        F.expr("bit_or(shiftleft(1, cast(ord AS int)))").alias("orders"))
     return met.filter(F.col("orders") == (1 << PREFIX_ORDERS) - 1).select("a", "b")
 
 
@@ -308,11 +327,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     counted = texts.select("node", "text").mapInArrow(
         lambda batches: _dealt_tokens(parts, width, batches), "part long, node long, size long, tokens binary"
     ).groupBy("part").applyInArrow(_with_counts, "node long, size long, tokens binary, counts binary")
-    postings = counted.groupBy("node", "size").agg(F.collect_list(F.struct("tokens", "counts")).alias("x")).select(
+    nodes = counted.groupBy("node", "size").agg(F.collect_list(F.struct("tokens", "counts")).alias("x")).select(
         "node", "size", F.col("x.tokens").alias("tokens"), F.col("x.counts").alias("counts")).mapInArrow(
-        lambda batches: _prefixes(percent, batches), "ord long, token long, node long, size long")
-    postings = cut(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    far = _verified(_cross_pairs(postings, percent), texts.select("node", "text"), width, percent)
+        lambda batches: _prefixes(percent, batches), NODES)
+    nodes = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    far = _verified(_cross_pairs(nodes, percent), texts.select("node", "text"), width, percent)
     linked = components(near.union(far)).withColumnRenamed("node", "c1")
     labelled = classes.join(linked, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("least"))

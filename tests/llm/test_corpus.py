@@ -99,6 +99,25 @@ def test_jaccard_groups_equal_brute_force(spark, monkeypatch, part_tokens):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, (_, root) in want.items() if k == root)
 
 
+def test_signs_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        tokens = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+        x, y = (tokens[rng.random(len(tokens)) < 0.8] for _ in range(2))
+        bits = int(np.bitwise_count((jaccard.parity_signs(x) ^ jaccard.parity_signs(y)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(x, y))
+
+
+def test_unlike_sets_that_share_a_passage_form_no_pair(spark, monkeypatch):
+    texts = [" ".join([*[f"s{k}" for k in range(60)], *[f"d{n}x{k}" for k in range(10)]]) for n in range(60)]
+    texts += [f"{t} tail" for t in texts]
+    met, plain = [], jaccard._cross_pairs
+    monkeypatch.setattr(jaccard, "_cross_pairs", lambda nodes, percent: met.append(plain(nodes, percent)) or met[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_groups(texts)
+    assert met[0].count() <= len(texts)
+
+
 def test_jaccard_of_nothing_and_of_odd_ids(spark):
     assert jaccard.groups(docs(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(20))
