@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyhouse.llm import cross_polytope, substrings, suffixes
@@ -71,6 +73,33 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, split, turn):
     assert [tuple(r)[1:] for r in rows] == brute_spans(texts, 400)
 
 
+def test_equal_segments_of_a_shard_are_sorted_once():
+    rng = random.Random(3)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(1500))
+    rows = [(0, True, k, -k, 10 * k, 1101, text) for k in range(400)]
+    rows += [(0, True, 400, 7, 0, 701, bytes(reversed(text[:800])) + text[:300]), (0, True, 401, 7, 0, 101, text[200:700])]
+    table = pa.table([list(c) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in substrings.CUT.split(", ")])
+    tracemalloc.start()
+    got = substrings._sorted_shard(400, table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    runs = sorted((r["d1"], r["lo"], r["hi"]) for r in got if r["digest"] is None)
+    assert runs == [*[(k, 10 * k, 10 * k + 1100) for k in range(400)], (401, 0, 100)]
+    loose = [r for r in got if r["digest"] is not None]
+    assert len(loose) == len({r["digest"] for r in loose}) == 1101 + 701
+    assert sorted(r["lo"] for r in loose if not r["met"]) == list(range(701))
+    assert peak < 10_000_000
+
+
+def test_parts_of_a_split_hash_have_their_own_shards():
+    text = "x" * 300 + "y" * 300
+    wanted = [{"name": n, "lo": k, "hi": k, "parts": 4 if n else 1} for n in (0, 5, 60) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([wanted])], names=["d1", "d2", "text", "wanted"])
+    rows = pa.Table.from_batches(list(substrings._cut_segments(400, 1, iter([batch]))))
+    assert Counter(zip(rows["hot"].to_pylist(), rows["shard"].to_pylist(), strict=True))[False, 0] == 200
+    assert len(set(rows["shard"].to_pylist())) == 9
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substrings.digest_rows(docs(spark, [])).count() == 0
 
