@@ -11,7 +11,8 @@ exact for the 64-bit shingle hashes and never lists the pairs of a group of copi
 4. For the rest, prefixes are taken under several global orders, rarest shingle first with different tie orders: two
    similar sets share a token in the prefix of every order. Only pairs of different preliminary components are formed,
    and only those whose parity signs leave the threshold within reach: the signs of two sets differ in at most as many bits
-   as the sets differ in tokens. The pairs of all orders are intersected, and what is left is verified on the whole sets.
+   as the sets differ in tokens. A pair is formed at the first token its prefixes share and not again while they go on sharing
+   tokens. The pairs of all orders are intersected, and what is left is verified on the whole sets.
 5. Components of all verified links are the groups.
 
 Cases: null, empty and wordless texts have no shingle and link with nothing; a text with fewer words than a shingle is
@@ -40,6 +41,8 @@ FIRST_ORDERS = 4
 PREFIX_ORDERS = 2
 #: longs of parity signs a set
 SIGNS = 8
+#: tokens before each one of a prefix that tell whether a pair has met already
+EARLIER = 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -285,14 +288,21 @@ SIGN_NAMES = [f"sign{k}" for k in range(SIGNS)]
 NODES = f"node long, size long, alone long, {', '.join(f'{name} long' for name in SIGN_NAMES)}, firsts array<array<long>>"
 
 
-def _cross_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different preliminary components that meet in the prefixes of every order and may be similar enough."""
+def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
+    """(ord, a, b) where nodes of different preliminary components that may be similar enough share a token of their prefixes.
+
+    Both prefixes are in the same order, so the first shared token has none before it and a pair that may link is never missed;
+    later tokens form it again only if none of the last `EARLIER` is shared.
+    """
     kept = ["node", "size", "alone", "root", *SIGN_NAMES]
-    postings = nodes.select(*kept, F.posexplode("firsts").alias("ord", "tokens")).select(*kept, "ord", F.explode("tokens").alias("token"))
+    postings = nodes.select(*kept, F.posexplode("firsts").alias("ord", "tokens")).select(
+        *kept, "ord", "tokens", F.posexplode("tokens").alias("at", "token"))
+    before = F.slice("tokens", F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least(F.col("at"), F.lit(EARLIER)))
+    postings = postings.select(*kept, "ord", "token", before.alias("before"))
     # a token seen in one preliminary component only forms no pair
     mixed = postings.groupBy("ord", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     used = postings.join(mixed.select("ord", "token"), ["ord", "token"], "left_semi")
-    a, b = (used.select("ord", "token", *[F.col(c).alias(f"{side}_{c}") for c in kept]) for side in "ab")
+    a, b = (used.select("ord", "token", *[F.col(c).alias(f"{side}_{c}") for c in [*kept, "before"]]) for side in "ab")
     sizes = F.col("a_size") + F.col("b_size")
     apart = F.col("a_alone") + F.col("b_alone")
     for name in SIGN_NAMES:
@@ -300,9 +310,13 @@ def _cross_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     pairs = a.join(b, ["ord", "token"]).filter(
         (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
         & (100 * F.col("a_size") >= percent * F.col("b_size")) & (100 * F.col("b_size") >= percent * F.col("a_size"))
-        & ((100 + percent) * apart <= (100 - percent) * sizes))
-    met = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(
-        F.expr("bit_or(shiftleft(1, cast(ord AS int)))").alias("orders"))
+        & ((100 + percent) * apart <= (100 - percent) * sizes) & ~F.arrays_overlap("a_before", "b_before"))
+    return pairs.select("ord", F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _cross_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different preliminary components that meet in the prefixes of every order and may be similar enough."""
+    met = _meetings(nodes, percent).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, cast(ord AS int)))").alias("orders"))
     return met.filter(F.col("orders") == (1 << PREFIX_ORDERS) - 1).select("a", "b")
 
 

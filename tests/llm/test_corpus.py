@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyhouse.llm import arrays, jaccard, line_templates, mixing, packing, quality_knn
+from tallyhouse.llm.common import cut
 from tallyhouse.llm.components import components
 from tests.llm.test_native import DOCS, docs
 
@@ -118,6 +119,24 @@ def test_unlike_sets_that_share_a_passage_form_no_pair(spark, monkeypatch):
     assert met[0].count() <= len(texts)
 
 
+def test_a_pair_meets_at_its_first_shared_token_only(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for n in range(12):
+        base = [f"b{n}x{k}" for k in range(2000)]
+        texts += [" ".join(f"e{n}y{e}z{k}" if k in edits else w for k, w in enumerate(base))
+                  for e in range(3) for edits in [set(rng.sample(range(2000), 15))]]
+    met, plain = [], jaccard._cross_pairs
+    monkeypatch.setattr(jaccard, "FIRST_ORDERS", 1)
+    monkeypatch.setattr(jaccard, "_cross_pairs", lambda nodes, percent: met.append(cut(nodes)) or plain(met[0], percent))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_groups(texts)
+    alone = met[0].withColumn("root", F.col("node"))
+    rows = jaccard._meetings(alone, jaccard.PERCENT)
+    # of some three hundred tokens that each pair shares in its prefixes
+    assert plain(alone, jaccard.PERCENT).count() == 36 and 72 <= rows.count() <= 20 * 36
+
+
 def test_jaccard_of_nothing_and_of_odd_ids(spark):
     assert jaccard.groups(docs(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(20))
