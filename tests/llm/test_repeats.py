@@ -100,6 +100,21 @@ def test_parts_of_a_split_hash_have_their_own_shards():
     assert len(set(rows["shard"].to_pylist())) == 9
 
 
+def test_windows_of_a_common_passage_do_not_meet_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SPLIT", 20)
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(2000)]
+    passage = " ".join(rng.choices(words, k=150))
+    texts = [" ".join([*rng.choices(words, k=90), passage, *rng.choices(words, k=90)]) for _ in range(120)]
+    texts += [t[: len(t) // 2] for t in texts[:40]]
+    met, plain = [], substrings.cut
+    monkeypatch.setattr(substrings, "cut", lambda df: met.append(plain(df)) or met[-1])
+    rows = substrings.digest_rows(docs(spark, texts).repartition(3)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_spans(texts, 400)
+    found = next(df for df in met if "met" in df.columns)
+    assert found.filter("digest IS NOT NULL").count() < 20_000
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substrings.digest_rows(docs(spark, [])).count() == 0
 
