@@ -179,3 +179,58 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(2).standard_normal((5, 16))
     assert np.allclose(np.linalg.norm(cross_polytope.rotated(x, 0), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(cross_polytope.hadamard(cross_polytope.hadamard(x)), x)
+
+
+def test_vectors_meet_in_packed_buckets_and_are_verified_by_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(64)
+    vectors = [*rng.standard_normal((500, 64)), *(base + 0.1 * rng.standard_normal((60, 64)))]
+    # different vectors with one sketch, and copies
+    vectors += [vectors[k] + 1e-6 for k in range(6)] + vectors[500:503]
+    rows = [(k, v.astype(np.float32).tolist(), 1, "x") for k, v in enumerate(vectors)]
+    written, plain = [], cross_polytope.cut
+    monkeypatch.setattr(cross_polytope, "cut", lambda df: written.append(plain(df)) or written[-1])
+    # takes effect where blocks are planned: the group is verified in four blocks
+    monkeypatch.setattr(cross_polytope, "BLOCK", 16, raising=False)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cross_polytope.near_copies(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()}
+    assert got == brute_links(rows)[1]
+    assert sum(df.count() for df in written) < 8 * len(rows)
+
+
+def test_more_parts_keep_recall_and_split_buckets():
+    assert [cross_polytope.parts_for(n, 64) for n in (0, 30_000, 1_500_000, 100_000_000)] == [2, 2, 3, 4]
+    rng = np.random.default_rng(4)
+    x, z = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for parts in (3, 4):
+        met = np.zeros(2000, bool)
+        for table in range(cross_polytope.TABLES):
+            a, b = cross_polytope.hashes(x, table, parts), cross_polytope.hashes(y, table, parts)
+            met |= (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+            assert a.max() < 64**parts and len(np.unique(a[:, 0])) > 1900
+        assert met.mean() > 0.95
+    a, b = (cross_polytope.unpacked(*cross_polytope.sketches(v)) for v in (x, y))
+    far = cross_polytope.distances(a, b).astype(int)
+    assert far.tolist() == ((a.astype(int) - b) ** 2).sum(1).tolist()
+    assert (far <= cross_polytope.reach(0.93)).all()
+    assert (cross_polytope.distances(a[1:], a[:-1]) <= cross_polytope.reach(0.93)).mean() < 0.001
+
+
+@pytest.mark.parametrize(("crowd", "pairs"), [(1 << 22, 1 << 18), (1 << 22, 50), (0, 50)])
+def test_sketches_within_reach_are_connected(monkeypatch, crowd, pairs):
+    monkeypatch.setattr(cross_polytope, "CROWD", crowd)
+    monkeypatch.setattr(cross_polytope, "PAIRS", pairs)
+    rng = np.random.default_rng(7)
+    codes = np.clip(np.repeat(rng.integers(0, 8, (30, 32)), 6, axis=0) + rng.integers(-1, 2, (180, 32)), 0, 7).astype(np.int8)
+    bucket = np.sort(rng.integers(0, 12, 180).astype(np.uint32))
+    limit = cross_polytope.reach(0.93)
+    want = [(a, b) for a in range(180) for b in range(a + 1, 180) if bucket[a] >> 1 == bucket[b] >> 1 and not bucket[a] & 1
+            and ((codes[a].astype(int) - codes[b]) ** 2).sum() <= limit]
+    found = [(int(a), int(b)) for part in cross_polytope._near_sketches(limit, bucket, codes) for a, b in zip(*part, strict=True)]
+    assert len(want) > 20
+    if crowd:
+        assert sorted(found) == want
+    roots = brute_components(range(180), found)
+    assert all(roots[a] == roots[b] for a, b in want)
